@@ -1,0 +1,4 @@
+"""All queries of this subpackage."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
