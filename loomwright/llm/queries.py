@@ -1,4 +1,26 @@
 """All queries of this subpackage."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from loomwright.llm import neardup, similar
+from loomwright.session import table
+
+
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.texts_of(
+        [
+            (table(spark, sf_dir, "starter_design"), "id", ["prose", "source"]),
+            (table(spark, sf_dir, "worlds"), "id", ["source"]),
+        ]
+    )
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records that carry lightly reworked forms of one passage."""
+    return neardup.near_duplicate_pairs(_passages(spark, sf_dir), 0.7)
+
+
+QUERIES = {"p1_found": p1_found}
 ORACLES: dict = {}
