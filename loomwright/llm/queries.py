@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwright.llm import neardup, similar
+from loomwright.llm import neardup, overlap, similar
 from loomwright.session import table
 
 
@@ -22,5 +22,21 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_pairs(_passages(spark, sf_dir), 0.7)
 
 
-QUERIES = {"p1_found": p1_found}
+def _sided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.sided_texts(
+        *[table(spark, sf_dir, n) for n in ("starter_design", "pilot_matched_v1", "sft_mask_probes")]
+    )
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation records that also stand, exactly or almost, in training records."""
+    return overlap.overlap_pairs(_sided(spark, sf_dir), 0.7)
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping evaluation records per table."""
+    return overlap.overlap_report(_sided(spark, sf_dir), 0.7)
+
+
+QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p6_report": p6_report}
 ORACLES: dict = {}
