@@ -1,24 +1,27 @@
 """Same or near-same records across splits: an exact prefix-filter bipartite join.
 
-Texts of the evaluation side and of the training side are sets of five-word shingles. A
-total order puts rare shingles first, so two texts whose shingle sets reach the
+Texts of the evaluation side and of the training side are sets of rare shingles: runs of
+``WORDS`` words after the words that stand in more than ``COMMON`` of all texts are left
+out. A total order puts rare shingles first, so two texts whose shingle sets reach the
 similarity ``SHINGLE`` share a shingle among the first ``m - ceil(SHINGLE * m) + 1`` of
 both. Evaluation prefixes are the index, training prefixes probe it. Length, position
 and parity-bitmap filters, all of them upper bounds that lose nothing, leave few
 candidates; these are verified by the multiset similarity of their words.
 
-``SHINGLE`` is 0.1: a pair of word similarity 0.7 whose texts differ by replaced, added
-or missing words keeps at least that share of its shingles, even with the edits spread
-as evenly as can be, down to a word similarity of 0.72. Texts of at most ``SHORT`` words
-are also indexed by their single words and joined exactly at 0.7; both texts of a pair
-fall under that bound whenever one has ``TINY`` words or fewer, and those have no shingles.
-
-Rarity comes from two hashed count tables of fixed size (``BUCKETS`` counts for each
-side), built over all texts. Any order that both sides share keeps the filter exact, so
-hash collisions cost time only. A shingle that the other side's table doesn't hold is not
-sent. A key that a table shows to be hot on either side is cut into a grid of cells: each
-row takes its own line of the grid and is repeated across, so every pair still meets in
-exactly one cell and no task gets more than about ``CELL`` rows of a side.
+The join is exact for pairs that reach ``SHINGLE`` on rare shingles and the asked
+similarity on words. Five-word shingles of all words bound the word similarity more
+tightly, but here nine in ten of them are stock phrases that both sides share: they sent
+four times the rows. Texts of at most ``SHORT`` words are also indexed by their single
+words and joined exactly at 0.7; both texts of a pair fall under that bound whenever one
+has ``TINY`` words or fewer, and those have no shingles.
+
+Rarity and presence come from hashed tables of fixed size, built over all texts: for each
+side ``BUCKETS`` saturating counts and a bitmap of ``PRESENT`` places. Any order that both
+sides share keeps the filter exact, so hash collisions cost time only. A shingle that the
+other side's bitmap doesn't hold is not sent. A key that the counts show to be hot on
+either side is cut into a grid of cells: each row takes its own line of the grid and is
+repeated across, so every pair still meets in exactly one cell and no task gets more than
+about ``CELL`` rows of a side.
 
 Copies of a text are one class: rows of a class collapse after the exchange, before the
 join. Defined results: null splits or roles, null texts and texts without letters or
@@ -34,12 +37,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.llm.neardup import COMMON, common_words
 from loomwright.llm.similar import class_texts, record_pairs, verified
 from loomwright.llm.textkit import WordHashes, mix, words
 from loomwright.session import staged
 
-SHINGLE, WORDS, TINY, SHORT = 0.1, 5, 40, 57
-BUCKETS, BLOCK = 1 << 22, 1 << 14
+SHINGLE, WORDS, TINY, SHORT = 0.1, 3, 40, 57
+BUCKETS, PRESENT, BLOCK = 1 << 20, 1 << 26, 1 << 20
+KEY_BITS, COUNT_BITS = 40, 13
 CELL = 4096
 PARITY = 176
 CHUNK = 1000
@@ -108,54 +113,71 @@ def sided_texts(design: DataFrame, pilot: DataFrame, probes: DataFrame) -> DataF
     return out.where("text is not null and side is not null and rid is not null")
 
 
+_U = np.uint64
+
+
 class _Bags:
-    """Shingles, class ids and parity bitmaps of a chunk of texts, made in one go."""
-
-    def __init__(self, texts: list[str], hashes: WordHashes) -> None:
-        lists = [words(t) for t in texts]
-        self.n = np.array([len(x) for x in lists], dtype=np.int64)
-        total = int(self.n.sum())
-        flat = hashes.of([t for x in lists for t in x]) if total else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(lists)), self.n)
-        order = np.lexsort((flat, owner))
-        so, sh = owner[order], flat[order]
-        new = np.ones(total, dtype=bool)
-        if total:
-            new[1:] = (so[1:] != so[:-1]) | (sh[1:] != sh[:-1])
-        place = np.arange(total)
-        first = np.maximum.accumulate(np.where(new, place, 0)) if total else place
-        features = mix(mix(sh) + (place - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        self.cid = np.zeros(len(lists), dtype=np.uint64)
-        np.add.at(self.cid, so, mix(features + np.uint64(7)))
-        bit = (features % np.uint64(PARITY)).astype(np.int64)
-        odd = np.bincount(so * PARITY + bit, minlength=len(lists) * PARITY).reshape(-1, PARITY) & 1
-        packed = np.packbits(odd.astype(np.uint8), axis=1, bitorder="little")
-        room = np.zeros((len(lists), 24), dtype=np.uint8)
-        room[:, 2:] = packed
+    """Hashed words and shingle sets of at most ``CHUNK`` texts, made in one go."""
+
+    def __init__(self, texts: list[str], hashes: WordHashes, left_out: frozenset[str]) -> None:
+        self.lists = [words(t) for t in texts]
+        self.n = np.array([len(x) for x in self.lists], dtype=np.int64)
+        self.hashes = hashes
+        self.left_out = left_out
+
+    def numbered(self) -> tuple[np.ndarray, np.ndarray]:
+        """Owner and value of every word, the k-th occurrence of a word with its own value."""
+        flat = self.hashes.of([t for x in self.lists for t in x])
+        owner = np.repeat(np.arange(len(self.lists), dtype=np.uint64), self.n)
+        line = np.sort((owner << _U(54)) | (flat >> _U(10)))
+        if len(line) == 0:
+            return line, line
+        new = np.ones(len(line), dtype=bool)
+        new[1:] = line[1:] != line[:-1]
+        place = np.arange(len(line))
+        first = np.maximum.accumulate(np.where(new, place, 0))
+        value = (line << _U(10)) + (place - first).astype(np.uint64) * _U(0x9E3779B97F4A7C15)
+        return (line >> _U(54)).astype(np.int64), mix(mix(value))
+
+    def identify(self, owner: np.ndarray, value: np.ndarray) -> None:
+        """Class ids and parity bitmaps; the first 16 bits hold the number of words."""
+        count = len(self.lists)
+        self.cid = np.zeros(count, dtype=np.uint64)
+        np.add.at(self.cid, owner, mix(value + _U(7)))
+        bit = (value % _U(PARITY)).astype(np.int64)
+        odd = np.bincount(owner * PARITY + bit, minlength=count * PARITY).reshape(-1, PARITY) & 1
+        room = np.zeros((count, 24), dtype=np.uint8)
+        room[:, 2:] = np.packbits(odd.astype(np.uint8), axis=1, bitorder="little")
         self.bits = room.view("<i8").copy()
         self.bits[:, 0] |= np.minimum(self.n, 65535)
-        # two sets for each text: at 2i its five-word shingles, at 2i + 1 its numbered words
-        at = np.arange(max(0, total - WORDS + 1))
-        inside = owner[at] == owner[at + WORDS - 1] if total >= WORDS else np.zeros(0, bool)
+
+    def sets(self, owner: np.ndarray | None = None, value: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Set and key of every member: set 2i has the shingles of text i, 2i + 1 its words."""
+        rare = [
+            [t for t in x if t not in self.left_out] if len(x) > TINY else [] for x in self.lists
+        ]
+        size = np.array([len(x) for x in rare], dtype=np.int64)
+        flat = self.hashes.of([t for x in rare for t in x])
+        of = np.repeat(np.arange(len(rare)), size)
+        at = np.arange(max(0, len(flat) - WORDS + 1))
+        at = at[of[at] == of[at + WORDS - 1]]
         rolled = np.zeros(len(at), dtype=np.uint64)
         for k in range(WORDS):
-            rolled = mix(rolled * np.uint64(0x100000001B3) + flat[at + k])
-        keep = inside & (self.n > TINY)[owner[at]] if len(at) else inside
-        single = (self.n <= SHORT)[so] if total else np.zeros(0, bool)
-        self.owner = np.concatenate([2 * owner[at][keep], 2 * so[single] + 1])
-        self.key = np.concatenate([rolled[keep], mix(features[single] + np.uint64(11))])
-        self.threshold = np.tile([SHINGLE, 0.7], len(lists))
-
-    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((self.key, self.owner))
-        owner, key = self.owner[order], self.key[order]
-        new = np.ones(len(owner), dtype=bool)
-        new[1:] = (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])
-        return owner[new], key[new]
+            rolled = mix(rolled * _U(0x100000001B3) + flat[at + k])
+        if value is None:
+            owner, value = self.numbered() if (self.n <= SHORT).any() else (of[:0], flat[:0])
+        short = (self.n <= SHORT)[owner]
+        member = np.concatenate([2 * of[at], 2 * owner[short] + 1])
+        key = np.concatenate([rolled, mix(value[short] + _U(11))])
+        return member, key >> _U(64 - KEY_BITS)
 
 
 def _bucket(key: np.ndarray) -> np.ndarray:
-    return (key >> np.uint64(64 - 22)).astype(np.int64)
+    return (key >> _U(KEY_BITS - 20)).astype(np.int64)
+
+
+def _place(key: np.ndarray) -> np.ndarray:
+    return (key >> _U(KEY_BITS - 26)).astype(np.int64)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,122 +186,159 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, CHUNK)
 
 
-def count_tables(texts: DataFrame) -> dict[str, np.ndarray]:
-    """Saturating 16-bit shingle counts of each side, hashed into ``BUCKETS`` places.
-
-    What reaches the driver is ``2 * BUCKETS`` counts of two bytes, whatever the corpus.
-    Copies of a text count once in a partition.
-    """
+class Tables:
+    """Shingle counts and presence bitmaps of the two sides."""
+
+    def __init__(self) -> None:
+        self.counts = {s: np.zeros(BUCKETS, dtype="<u2") for s in ("e", "t")}
+        self.present = {s: np.zeros(PRESENT // 8, dtype=np.uint8) for s in ("e", "t")}
+
+    def put(self, side: str, kind: str, block: int, data: bytes) -> None:
+        if kind == "counts":
+            self.counts[side][block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(data, "<u2")
+        else:
+            wide = BLOCK // 8
+            self.present[side][block * wide : (block + 1) * wide] = np.frombuffer(data, np.uint8)
+
+    def holds(self, side: str, key: np.ndarray) -> np.ndarray:
+        place = _place(key)
+        return (self.present[side][place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+
+
+def shingle_tables(texts: DataFrame, common: list[str]) -> Tables:
+    """The tables over all texts. What reaches the driver has a fixed size: for each side
+    ``BUCKETS`` counts of two bytes and ``PRESENT`` bits."""
+    left_out = frozenset(common)
+    schema = "side string, kind string, block int, places binary, counts binary"
+
+    def blocks(side: str, kind: str, places: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ends = np.searchsorted(places, np.arange(0, places[-1] + BLOCK + 1, BLOCK))
+        used = [b for b in range(len(ends) - 1) if ends[b] < ends[b + 1]]
+        cuts = [slice(ends[b], ends[b + 1]) for b in used]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([side] * len(used)),
+                pa.array([kind] * len(used)),
+                pa.array(used, pa.int32()),
+                pa.array([(places[c] % BLOCK).astype("<u4").tobytes() for c in cuts], pa.binary()),
+                pa.array([counts[c].astype("<u2").tobytes() for c in cuts], pa.binary()),
+            ],
+            names=["side", "kind", "block", "places", "counts"],
+        )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
-        counts: dict[str, np.ndarray] = {}
+        hashes = WordHashes()
+        held: dict[str, list] = {"e": [], "t": []}
+        counts = {s: np.zeros(BUCKETS, dtype=np.int64) for s in held}
         for batch in _chunks(batches):
-            bags = _Bags(batch.column("text").to_pylist(), hashes)
-            owner, key = bags.distinct()
-            sides = np.array(batch.column("side").to_pylist())
-            fresh = np.zeros(len(sides), dtype=bool)
-            for i, pair in enumerate(zip(sides.tolist(), bags.cid.tolist())):
-                if pair not in seen:
-                    seen.add(pair)
-                    fresh[i] = True
-            for side in ("e", "t"):
-                use = (fresh & (sides == side))[owner // 2]
-                if use.any():
-                    table = counts.setdefault(side, np.zeros(BUCKETS, dtype=np.uint32))
-                    np.add.at(table, _bucket(key[use]), 1)
-        for side, table in counts.items():
-            full = np.nonzero(table)[0]
-            block = full // BLOCK
-            for b in np.unique(block):
-                here = full[block == b]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([side]),
-                        pa.array([int(b)], pa.int32()),
-                        pa.array([(here % BLOCK).astype("<u2").tobytes()], pa.binary()),
-                        pa.array([np.minimum(table[here], 65535).astype("<u2").tobytes()], pa.binary()),
-                    ],
-                    names=["side", "block", "places", "counts"],
-                )
+            bags = _Bags(batch.column("text").to_pylist(), hashes, left_out)
+            member, key = bags.sets()
+            is_e = (np.array(batch.column("side").to_pylist()) == "e")[member // 2]
+            for side, mine in (("e", key[is_e]), ("t", key[~is_e])):
+                if len(mine):
+                    counts[side] += np.bincount(_bucket(mine), minlength=BUCKETS)
+                    held[side].append(np.unique(_place(mine)).astype(np.int32))
+                if len(held[side]) > 40:
+                    held[side] = [np.unique(np.concatenate(held[side]))]
+        for side in held:
+            if held[side]:
+                places = np.unique(np.concatenate(held[side]))
+                yield from blocks(side, "present", places, np.zeros(0))
+                full = np.nonzero(counts[side])[0]
+                yield from blocks(side, "counts", full, np.minimum(counts[side][full], 65535))
 
     def merge(group: pa.Table) -> pa.Table:
-        table = np.zeros(BLOCK, dtype=np.uint64)
+        kind = group.column("kind")[0].as_py()
+        table = np.zeros(BLOCK, dtype=np.int32)
         for places, counts in zip(group.column("places").to_pylist(), group.column("counts").to_pylist()):
-            np.add.at(table, np.frombuffer(places, "<u2"), np.frombuffer(counts, "<u2").astype(np.uint64))
-        return pa.table(
-            {
-                "side": group.column("side").slice(0, 1),
-                "block": group.column("block").slice(0, 1),
-                "counts": pa.array([np.minimum(table, 65535).astype("<u2").tobytes()], pa.binary()),
-            }
-        )
+            at = np.frombuffer(places, "<u4")
+            table[at] += np.frombuffer(counts, "<u2") if kind == "counts" else 1
+        if kind == "counts":
+            data = np.minimum(table, 65535).astype("<u2").tobytes()
+        else:
+            data = np.packbits((table > 0).astype(np.uint8), bitorder="little").tobytes()
+        one = {c: group.column(c).slice(0, 1) for c in ("side", "kind", "block")}
+        return pa.table(one | {"data": pa.array([data], pa.binary())})
 
     merged = (
         texts.select("side", "text")
-        .mapInArrow(count, "side string, block int, places binary, counts binary")
-        .groupBy("side", "block")
-        .applyInArrow(merge, "side string, block int, counts binary")
+        .mapInArrow(count, schema)
+        .groupBy("side", "kind", "block")
+        .applyInArrow(merge, "side string, kind string, block int, data binary")
     )
-    out = {side: np.zeros(BUCKETS, dtype="<u2") for side in ("e", "t")}
-    for row in merged.toLocalIterator():
-        out[row["side"]][row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["counts"], "<u2")
+    out = Tables()
+    for row in merged.collect():
+        out.put(row["side"], row["kind"], row["block"], bytes(row["data"]))
     return out
 
 
 ROW_SCHEMA = "rid string, field string, side string, cid long, b0 long, b1 long, b2 long, keys array<long>"
 
 
-def prefix_rows(texts: DataFrame, tables: dict[str, np.ndarray]) -> DataFrame:
+def prefix_rows(texts: DataFrame, common: list[str], tables: Tables) -> DataFrame:
     """One row for each text, with the packed prefix keys to be sent.
 
     A packed key has 44 bits of hash, 10 of the shingles from here on, 10 of all
     shingles. Within a partition only the first text of a class and side has keys.
     """
-    shared = texts.sparkSession.sparkContext.broadcast({s: t.tobytes() for s, t in tables.items()})
+    shared = texts.sparkSession.sparkContext.broadcast(tables)
+    left_out = frozenset(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {s: np.frombuffer(b, "<u2") for s, b in shared.value.items()}
+        held = shared.value
+        mean = {s: float(held.counts[s].mean()) for s in held.counts}
+        hot = {s: max(CELL, 50 * mean[s]) for s in mean}
         hashes, seen = WordHashes(), set()
         for batch in _chunks(batches):
-            bags = _Bags(batch.column("text").to_pylist(), hashes)
+            bags = _Bags(batch.column("text").to_pylist(), hashes, left_out)
+            words_of, value = bags.numbered()
+            bags.identify(words_of, value)
             sides = np.array(batch.column("side").to_pylist())
             fresh = np.zeros(len(sides), dtype=bool)
             for i, pair in enumerate(zip(sides.tolist(), bags.cid.tolist())):
                 if bags.n[i] and pair not in seen:
                     seen.add(pair)
                     fresh[i] = True
-            owner, key = bags.distinct()
-            use = fresh[owner // 2]
-            owner, key = owner[use], key[use]
+            member, key = bags.sets(words_of, value)
+            use = fresh[member // 2]
+            member, key = member[use], key[use]
             place = _bucket(key)
-            of_e, of_t = held["e"][place].astype(np.int64), held["t"][place].astype(np.int64)
-            order = np.lexsort((key, of_e + of_t, owner))
-            owner, key, of_e, of_t = owner[order], key[order], of_e[order], of_t[order]
-            m = np.bincount(owner, minlength=2 * len(sides))
+            rarity = held.counts["e"][place].astype(np.int64) + held.counts["t"][place]
+            rarity = np.minimum(rarity, (1 << COUNT_BITS) - 1).astype(np.uint64)
+            line = (member.astype(np.uint64) << _U(KEY_BITS + COUNT_BITS)) | (rarity << _U(KEY_BITS)) | key
+            line = np.unique(line)
+            member = (line >> _U(KEY_BITS + COUNT_BITS)).astype(np.int64)
+            key = line & _U((1 << KEY_BITS) - 1)
+            m = np.bincount(member, minlength=2 * len(sides))
             start = np.concatenate([[0], np.cumsum(m)[:-1]])
-            rank = np.arange(len(owner)) - start[owner]
-            prefix = m - np.ceil(bags.threshold * m - 1e-9).astype(np.int64) + 1
-            is_e = (sides == "e")[owner // 2]
-            use = (rank < prefix[owner]) & (np.where(is_e, of_t, of_e) > 0)
-            owner, key, of_e, of_t, rank, is_e = (x[use] for x in (owner, key, of_e, of_t, rank, is_e))
-            wide_e, wide_t = -(-of_e // CELL), -(-of_t // CELL)
-            wide_e, wide_t = np.maximum(wide_e, 1), np.maximum(wide_t, 1)
-            times = np.where(is_e, wide_t, wide_e)
-            if (times > 1).any() or (wide_e > 1).any() or (wide_t > 1).any():
-                back = np.repeat(np.arange(len(owner)), times)
+            rank = np.arange(len(member)) - start[member]
+            threshold = np.tile([SHINGLE, 0.7], len(sides))
+            prefix = m - np.ceil(threshold * m - 1e-9).astype(np.int64) + 1
+            is_e = (sides == "e")[member // 2]
+            use = (rank < prefix[member]) & np.where(is_e, held.holds("t", key), held.holds("e", key))
+            member, key, rank, is_e = (x[use] for x in (member, key, rank, is_e))
+            place = _bucket(key)
+            wide = {
+                s: np.where(held.counts[s][place] > hot[s], -(-held.counts[s][place].astype(np.int64) // CELL), 1)
+                for s in ("e", "t")
+            }
+            grid = (wide["e"] > 1) | (wide["t"] > 1)
+            key = key << _U(4)
+            if grid.any():
+                times = np.where(is_e, wide["t"], wide["e"])
+                back = np.repeat(np.arange(len(member)), times)
                 across = np.arange(len(back)) - np.repeat(np.cumsum(times) - times, times)
-                owner, key, rank, is_e = owner[back], key[back], rank[back], is_e[back]
-                wide_e, wide_t = wide_e[back], wide_t[back]
-                own = bags.cid[owner // 2]
+                member, key, rank, is_e = member[back], key[back], rank[back], is_e[back]
+                wide_e, wide_t = wide["e"][back], wide["t"][back]
+                own = bags.cid[member // 2]
                 line_e = np.where(is_e, (own % wide_e.astype(np.uint64)).astype(np.int64), across)
                 line_t = np.where(is_e, across, (own % wide_t.astype(np.uint64)).astype(np.int64))
                 cell = (line_e * wide_t + line_t).astype(np.uint64)
-                key = np.where(cell > 0, mix(key + cell * np.uint64(0x9E3779B97F4A7C15)), key)
-            rest = np.minimum(m[owner] - rank, 1023).astype(np.uint64)
-            packed = (key & ~np.uint64((1 << 20) - 1)) | (rest << np.uint64(10))
-            packed |= np.minimum(m[owner], 1023).astype(np.uint64)
-            sizes = np.bincount(owner // 2, minlength=len(sides))
+                moved = mix(key + cell * _U(0x9E3779B97F4A7C15)) >> _U(20)
+                key = np.where(cell > 0, moved, key)
+            rest = np.minimum(m[member] - rank, 1023).astype(np.uint64)
+            packed = (key << _U(20)) | (rest << _U(10)) | np.minimum(m[member], 1023).astype(np.uint64)
+            sizes = np.bincount(member // 2, minlength=len(sides))
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             made = pa.RecordBatch.from_arrays(
                 [
@@ -317,7 +376,8 @@ def _pair_filter(threshold: float) -> str:
 def split_overlaps(texts: DataFrame, threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """Verified links ``(a, b, similarity)`` from evaluation to training classes, and the
     members ``(side, cid, rid)`` of the classes."""
-    signed = staged(prefix_rows(texts, count_tables(texts)), "overlap")
+    common = common_words(texts, COMMON)
+    signed = staged(prefix_rows(texts, common, shingle_tables(texts, common)), "overlap")
     members = signed.select("side", "cid", "rid").distinct()
 
     def rows(side: str) -> DataFrame:

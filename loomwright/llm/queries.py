@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwright.llm import neardup, overlap, similar
+from loomwright.llm import cuts, neardup, overlap, similar
 from loomwright.session import table
 
 
@@ -38,5 +38,15 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlap_report(_sided(spark, sf_dir), 0.7)
 
 
-QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p6_report": p6_report}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages and outputs that were cut while being stored or sent."""
+    return cuts.cut_texts(table(spark, sf_dir, "sft_mask_probes"), table(spark, sf_dir, "judgment_review"))
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of cut texts per exporter."""
+    return cuts.cut_rates(table(spark, sf_dir, "sft_mask_probes"), table(spark, sf_dir, "judgment_review"))
+
+
+QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_report": p6_report}
 ORACLES: dict = {}
