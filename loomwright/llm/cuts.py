@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwright.session import staged
+
 REACH = 12
 FALSE_RATE = 0.001
 LEAST = 4
@@ -175,14 +177,14 @@ def cut_units(endings: DataFrame, limits: DataFrame) -> DataFrame:
 
 def cut_texts(probes: DataFrame, reviews: DataFrame) -> DataFrame:
     """``(record_id, msg_pos)`` of the cut texts."""
-    endings = with_endings(text_units(probes, reviews))
+    endings = staged(with_endings(text_units(probes, reviews)), "cuts")
     units = cut_units(endings, length_limits(endings))
     return units.where("cut").select("record_id", "msg_pos").distinct()
 
 
 def cut_rates(probes: DataFrame, reviews: DataFrame) -> DataFrame:
     """Texts that are not empty, cut ones among them, and their share, for each source."""
-    endings = with_endings(text_units(probes, reviews)).where(F.col("ending") != EMPTY).distinct()
+    endings = staged(with_endings(text_units(probes, reviews)).where(F.col("ending") != EMPTY).distinct(), "cuts")
     units = cut_units(endings, length_limits(endings))
     return units.groupBy("source").agg(
         F.count("*").alias("texts"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwright.llm import cuts, neardup, overlap, similar
+from loomwright.llm import cuts, neardup, overlap, pairs, similar
 from loomwright.session import table
 
 
@@ -48,5 +48,15 @@ def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuts.cut_rates(table(spark, sf_dir, "sft_mask_probes"), table(spark, sf_dir, "judgment_review"))
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_report": p6_report}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies that are no usable answer, with their defect."""
+    return pairs.defective_pairs(table(spark, sf_dir, "sft_mask_probes"), table(spark, sf_dir, "judgment_review"))
+
+
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective pairs per defect."""
+    return pairs.defect_rates(table(spark, sf_dir, "sft_mask_probes"), table(spark, sf_dir, "judgment_review"))
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_rates": p3_rates, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_report": p6_report}
 ORACLES: dict = {}
