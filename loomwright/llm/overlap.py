@@ -18,7 +18,8 @@ has ``TINY`` words or fewer, and those have no shingles.
 Rarity and presence come from hashed tables of fixed size, built over all texts: for each
 side ``BUCKETS`` saturating counts and a bitmap of ``PRESENT`` places. Any order that both
 sides share keeps the filter exact, so hash collisions cost time only. A shingle that the
-other side's bitmap doesn't hold is not sent. A key that the counts show to be hot on
+other side's bitmap doesn't hold is not sent. A pair must also meet in as many prefix
+shingles as its sizes require (what both share, less what can lie beyond a prefix). A key that the counts show to be hot on
 either side is cut into a grid of cells: each row takes its own line of the grid and is
 repeated across, so every pair still meets in exactly one cell and no task gets more than
 about ``CELL`` rows of a side.
@@ -30,6 +31,7 @@ digits overlap with nothing; repeated rows count once.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +44,8 @@ from loomwright.llm.similar import class_texts, record_pairs, verified
 from loomwright.llm.textkit import WordHashes, mix, words
 from loomwright.session import staged
 
-SHINGLE, WORDS, TINY, SHORT = 0.1, 3, 40, 57
+SHINGLE, WORDS, TINY, SHORT = 0.05, 4, 40, 57
+SINGLE = 0.7
 BUCKETS, PRESENT, BLOCK = 1 << 20, 1 << 26, 1 << 20
 KEY_BITS, COUNT_BITS = 40, 13
 CELL = 4096
@@ -180,6 +183,15 @@ def _place(key: np.ndarray) -> np.ndarray:
     return (key >> _U(KEY_BITS - 26)).astype(np.int64)
 
 
+def _pack(places: np.ndarray) -> bytes:
+    """Sorted places as their packed gaps."""
+    return zlib.compress(np.diff(places, prepend=0).astype("<u4").tobytes(), 1)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64))
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, CHUNK):
@@ -220,7 +232,7 @@ def shingle_tables(texts: DataFrame, common: list[str]) -> Tables:
                 pa.array([side] * len(used)),
                 pa.array([kind] * len(used)),
                 pa.array(used, pa.int32()),
-                pa.array([(places[c] % BLOCK).astype("<u4").tobytes() for c in cuts], pa.binary()),
+                pa.array([_pack(places[c] % BLOCK) for c in cuts], pa.binary()),
                 pa.array([counts[c].astype("<u2").tobytes() for c in cuts], pa.binary()),
             ],
             names=["side", "kind", "block", "places", "counts"],
@@ -251,7 +263,7 @@ def shingle_tables(texts: DataFrame, common: list[str]) -> Tables:
         kind = group.column("kind")[0].as_py()
         table = np.zeros(BLOCK, dtype=np.int32)
         for places, counts in zip(group.column("places").to_pylist(), group.column("counts").to_pylist()):
-            at = np.frombuffer(places, "<u4")
+            at = _unpack(places)
             table[at] += np.frombuffer(counts, "<u2") if kind == "counts" else 1
         if kind == "counts":
             data = np.minimum(table, 65535).astype("<u2").tobytes()
@@ -278,8 +290,8 @@ ROW_SCHEMA = "rid string, field string, side string, cid long, b0 long, b1 long,
 def prefix_rows(texts: DataFrame, common: list[str], tables: Tables) -> DataFrame:
     """One row for each text, with the packed prefix keys to be sent.
 
-    A packed key has 44 bits of hash, 10 of the shingles from here on, 10 of all
-    shingles. Within a partition only the first text of a class and side has keys.
+    A packed key has 44 bits of hash, 9 of the set's members from here on, 1 that tells
+    single words, 10 of all members (the highest number stands for it and more). Within a partition only the first text of a class and side has keys.
     """
     shared = texts.sparkSession.sparkContext.broadcast(tables)
     left_out = frozenset(common)
@@ -312,7 +324,7 @@ def prefix_rows(texts: DataFrame, common: list[str], tables: Tables) -> DataFram
             m = np.bincount(member, minlength=2 * len(sides))
             start = np.concatenate([[0], np.cumsum(m)[:-1]])
             rank = np.arange(len(member)) - start[member]
-            threshold = np.tile([SHINGLE, 0.7], len(sides))
+            threshold = np.tile([SHINGLE, SINGLE], len(sides))
             prefix = m - np.ceil(threshold * m - 1e-9).astype(np.int64) + 1
             is_e = (sides == "e")[member // 2]
             use = (rank < prefix[member]) & np.where(is_e, held.holds("t", key), held.holds("e", key))
@@ -336,8 +348,9 @@ def prefix_rows(texts: DataFrame, common: list[str], tables: Tables) -> DataFram
                 cell = (line_e * wide_t + line_t).astype(np.uint64)
                 moved = mix(key + cell * _U(0x9E3779B97F4A7C15)) >> _U(20)
                 key = np.where(cell > 0, moved, key)
-            rest = np.minimum(m[member] - rank, 1023).astype(np.uint64)
-            packed = (key << _U(20)) | (rest << _U(10)) | np.minimum(m[member], 1023).astype(np.uint64)
+            rest = np.minimum(m[member] - rank, 511).astype(np.uint64)
+            kind = (member & 1).astype(np.uint64)
+            packed = (key << _U(20)) | (rest << _U(11)) | (kind << _U(10)) | np.minimum(m[member], 1023).astype(np.uint64)
             sizes = np.bincount(member // 2, minlength=len(sides))
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             made = pa.RecordBatch.from_arrays(
@@ -366,11 +379,18 @@ def _pair_filter(threshold: float) -> str:
     lengths = f"least({n('e')}, {n('t')}) >= {threshold} * greatest({n('e')}, {n('t')}) - 1e-9"
     parity = f"{differ} <= {share} * ({n('e')} + {n('t')}) + 1e-9"
     unknown = f"greatest({n('e')}, {n('t')}) = 65535"
-    rest = lambda x: f"(shiftright({x}.packed, 10) & 1023)"
+    rest = lambda x: f"(shiftright({x}.packed, 11) & 511)"
     size = lambda x: f"({x}.packed & 1023)"
+    single = lambda x: f"({x}.packed & 1024)"
     need = f"{SHINGLE / (1 + SHINGLE)} * ({size('e')} + {size('t')}) - 1e-9"
-    position = f"least({rest('e')}, {rest('t')}) >= {need}"
-    return f"({unknown} or ({lengths} and {parity})) and {position}"
+    position = f"(least({rest('e')}, {rest('t')}) = 511 or least({rest('e')}, {rest('t')}) >= {need})"
+    return f"{single('e')} = {single('t')} and ({unknown} or ({lengths} and {parity})) and {position}"
+
+
+def _meetings() -> str:
+    """The least number of keys in which a true pair meets, from the sizes ``m`` and ``n`` of its sets."""
+    least = lambda t: f"ceil({t / (1 + t)} * (m + n) - 1e-9) - ceil({t} * greatest(m, n) - 1e-9) + 1"
+    return f"if(greatest(m, n) = 1023, 1, if(single, {least(SINGLE)}, {least(SHINGLE)}))"
 
 
 def split_overlaps(texts: DataFrame, threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
@@ -393,10 +413,21 @@ def split_overlaps(texts: DataFrame, threshold: float = 0.7) -> tuple[DataFrame,
         rows("e")
         .alias("e")
         .join(rows("t").alias("t"), F.expr("e.key = t.key and " + _pair_filter(threshold)))
-        .select(F.col("e.cid").alias("a"), F.col("t.cid").alias("b"))
+        .where("e.cid <> t.cid")
+        .groupBy(
+            F.col("e.cid").alias("a"),
+            F.col("t.cid").alias("b"),
+            F.expr("cast(e.packed & 2047 as int)").alias("m"),
+            F.expr("cast(t.packed & 1023 as int)").alias("n"),
+        )
+        .agg(F.count("*").alias("met"))
+        .withColumn("single", F.expr("m >= 1024"))
+        .withColumn("m", F.expr("m & 1023"))
+        .where("met >= " + _meetings())
+        .select("a", "b")
     )
     both = members.where("side = 'e'").select("cid").intersect(members.where("side = 't'").select("cid"))
-    pairs = staged(found.where("a <> b").distinct(), "overlap-pairs")
+    pairs = staged(found.distinct(), "overlap-pairs")
     one = signed.where(F.size("keys") > 0).groupBy("cid").agg(F.first(F.struct("rid", "field")).alias("one"))
     held = class_texts(pairs, ["a", "b"], one.select("cid", "one.*"), texts)
     links = verified(pairs, held, held, threshold)
