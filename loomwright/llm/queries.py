@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwright.llm import cuts, neardup, overlap, pairs, similar
+from loomwright.llm import cuts, neardup, overlap, pairs, similar, splits
 from loomwright.session import table
 
 
@@ -58,5 +58,46 @@ def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defect_rates(table(spark, sf_dir, "sft_mask_probes"), table(spark, sf_dir, "judgment_review"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_rates": p3_rates, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_report": p6_report}
-ORACLES: dict = {}
+def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.keyed_records(table(spark, sf_dir, "starter_design"), table(spark, sf_dir, "sft_mask_probes"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the groups that their recorded splits part."""
+    return splits.parted_records(_keyed(spark, sf_dir))
+
+
+def p2_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train, validation and test at 80, 10 and 10 percent; no group is parted."""
+    return splits.assign_splits(_keyed(spark, sf_dir))
+
+
+def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the assigned splits."""
+    return splits.split_report(p2_assignment(spark, sf_dir))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_assignment": p2_assignment, "p2_shares": p2_shares, "p3_found": p3_found, "p3_rates": p3_rates, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_report": p6_report}
+_P2 = """
+with recursive cleaned as (
+  select id as record_id, regexp_replace(lower(trim(k, E' \\t\\n\\r')), '[\\s_-]+', '-', 'g') as k,
+         case lower(trim(split)) when 'training' then 'train' when 'valid' then 'validation' when 'dev' then 'validation'
+              else nullif(lower(trim(split)), '') end as split
+  from (select id, split, author_id as k from starter_design
+        union all select id, split, 'archive-' || book from starter_design where book is not null
+        union all select id, split, provenance.author_id from sft_mask_probes
+        union all select id, split, unnest(source_groups) from sft_mask_probes)),
+rk as (select distinct record_id, split, k from cleaned where k is not null and k not in ('', 'unknown', 'anonymous', 'n/a')),
+e as (select distinct a.k as u, b.k as v from rk a join (select record_id, min(k) as k from rk group by record_id) b
+      on a.record_id = b.record_id),
+sym as (select u, v from e union select v, u from e),
+reach(node, low) as (select distinct k, k from rk
+  union select s.v, r.low from reach r join sym s on s.u = r.node where r.low < s.v),
+label as (select node, min(low) as group_key from reach group by node),
+placed as (select distinct r.record_id, r.split, l.group_key from rk r join label l on l.node = r.k),
+parted as (select group_key from placed group by group_key having min(split) <> max(split))
+"""
+
+ORACLES: dict = {
+    "p2_found": _P2 + "select distinct record_id, group_key from placed join parted using (group_key)",
+}
