@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwright.llm import cuts, neardup, overlap, pairs, similar, splits
+from loomwright.llm import cuts, leaks, neardup, overlap, pairs, similar, splits
 from loomwright.session import table
 
 
@@ -77,7 +77,17 @@ def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.split_report(p2_assignment(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_assignment": p2_assignment, "p2_shares": p2_shares, "p3_found": p3_found, "p3_rates": p3_rates, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_report": p6_report}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of held-out items."""
+    return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked items with the number of documents and sources."""
+    return leaks.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"))
+
+
+QUERIES = {"p8_found": p8_found, "p8_report": p8_report, "p1_found": p1_found, "p2_found": p2_found, "p2_assignment": p2_assignment, "p2_shares": p2_shares, "p3_found": p3_found, "p3_rates": p3_rates, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_report": p6_report}
 _P2 = """
 with recursive cleaned as (
   select id as record_id, regexp_replace(lower(trim(k, E' \\t\\n\\r')), '[\\s_-]+', '-', 'g') as k,
