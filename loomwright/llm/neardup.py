@@ -22,7 +22,6 @@ nothing; a record is never paired with itself; repeated rows count once.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,33 +46,15 @@ def common_words(texts: DataFrame, share: float = COMMON) -> list[str]:
     ``share``, whatever the size of the corpus.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        total = 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(set(words(text)))
-                total += 1
-            if len(seen) > 300_000:
-                yield _counts(seen, total)
-                seen, total = Counter(), 0
-        if total:
-            yield _counts(seen, total)
-
-    counted = texts.select("text").mapInArrow(run, "word string, n long")
-    # the number of texts travels under the empty word, which no text holds
-    summed = staged(counted.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    counted = texts.select(
+        F.explode(F.array_union(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), F.array(F.lit("")))).alias("word")
+    )
+    # every text also holds the empty word, whose count is the number of texts
+    summed = staged(counted.groupBy("word").agg(F.count("*").alias("n")), "word-counts")
     total = summed.where("word = ''").agg(F.sum("n")).first()[0] or 0
     return [row[0] for row in summed.where((F.col("word") != "") & (F.col("n") > share * total)).select("word").collect()]
 
 
-def _counts(seen: Counter, total: int) -> pa.RecordBatch:
-    names = ["", *seen]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(names, pa.string()), pa.array([total, *seen.values()], pa.int64())], names=["word", "n"]
-    )
-
-
 def _sign(bags: list[np.ndarray], seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Table keys (texts x tables) and sketches of bags."""
     drawn = minhashes(bags, GROUPS * WIDTH + NIBBLES, seed)

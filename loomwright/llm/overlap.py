@@ -122,16 +122,16 @@ _U = np.uint64
 class _Bags:
     """Hashed words and shingle sets of at most ``CHUNK`` texts, made in one go."""
 
-    def __init__(self, texts: list[str], hashes: WordHashes, left_out: frozenset[str]) -> None:
-        self.lists = [words(t) for t in texts]
-        self.n = np.array([len(x) for x in self.lists], dtype=np.int64)
-        self.hashes = hashes
-        self.left_out = left_out
+    def __init__(self, texts: list[str], hashes: WordHashes) -> None:
+        lists = [words(t) for t in texts]
+        self.n = np.array([len(x) for x in lists], dtype=np.int64)
+        number = hashes.numbers([t for x in lists for t in x])
+        self.flat, self.rare = hashes.values[number], hashes.free[number]
+        self.owner = np.repeat(np.arange(len(lists)), self.n)
 
     def numbered(self) -> tuple[np.ndarray, np.ndarray]:
         """Owner and value of every word, the k-th occurrence of a word with its own value."""
-        flat = self.hashes.of([t for x in self.lists for t in x])
-        owner = np.repeat(np.arange(len(self.lists), dtype=np.uint64), self.n)
+        flat, owner = self.flat, self.owner.astype(np.uint64)
         line = np.sort((owner << _U(54)) | (flat >> _U(10)))
         if len(line) == 0:
             return line, line
@@ -144,7 +144,7 @@ class _Bags:
 
     def identify(self, owner: np.ndarray, value: np.ndarray) -> None:
         """Class ids and parity bitmaps; the first 16 bits hold the number of words."""
-        count = len(self.lists)
+        count = len(self.n)
         self.cid = np.zeros(count, dtype=np.uint64)
         np.add.at(self.cid, owner, mix(value + _U(7)))
         bit = (value % _U(PARITY)).astype(np.int64)
@@ -156,12 +156,8 @@ class _Bags:
 
     def sets(self, owner: np.ndarray | None = None, value: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Set and key of every member: set 2i has the shingles of text i, 2i + 1 its words."""
-        rare = [
-            [t for t in x if t not in self.left_out] if len(x) > TINY else [] for x in self.lists
-        ]
-        size = np.array([len(x) for x in rare], dtype=np.int64)
-        flat = self.hashes.of([t for x in rare for t in x])
-        of = np.repeat(np.arange(len(rare)), size)
+        keep = self.rare & (self.n > TINY)[self.owner]
+        flat, of = self.flat[keep], self.owner[keep]
         at = np.arange(max(0, len(flat) - WORDS + 1))
         at = at[of[at] == of[at + WORDS - 1]]
         rolled = np.zeros(len(at), dtype=np.uint64)
@@ -239,11 +235,11 @@ def shingle_tables(texts: DataFrame, common: list[str]) -> Tables:
         )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = WordHashes(left_out)
         held: dict[str, list] = {"e": [], "t": []}
         counts = {s: np.zeros(BUCKETS, dtype=np.int64) for s in held}
         for batch in _chunks(batches):
-            bags = _Bags(batch.column("text").to_pylist(), hashes, left_out)
+            bags = _Bags(batch.column("text").to_pylist(), hashes)
             member, key = bags.sets()
             is_e = (np.array(batch.column("side").to_pylist()) == "e")[member // 2]
             for side, mine in (("e", key[is_e]), ("t", key[~is_e])):
@@ -300,9 +296,9 @@ def prefix_rows(texts: DataFrame, common: list[str], tables: Tables) -> DataFram
         held = shared.value
         mean = {s: float(held.counts[s].mean()) for s in held.counts}
         hot = {s: max(CELL, 50 * mean[s]) for s in mean}
-        hashes, seen = WordHashes(), set()
+        hashes, seen = WordHashes(left_out), set()
         for batch in _chunks(batches):
-            bags = _Bags(batch.column("text").to_pylist(), hashes, left_out)
+            bags = _Bags(batch.column("text").to_pylist(), hashes)
             words_of, value = bags.numbered()
             bags.identify(words_of, value)
             sides = np.array(batch.column("side").to_pylist())

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.textkit import common_share, words
+from loomwright.session import staged
 
 
 def texts_of(tables: list[tuple[DataFrame, str, list[str]]]) -> DataFrame:
@@ -59,16 +60,25 @@ def verified(pairs: DataFrame, first: DataFrame, second: DataFrame, threshold: f
     return with_texts.mapInArrow(run, "a long, b long, similarity double")
 
 
+FILTER = 1 << 18
+"""Places of the filter on record ids: its size, and so what is broadcast, is fixed."""
+
+
 def class_texts(pairs: DataFrame, sides: list[str], representatives: DataFrame, texts: DataFrame) -> DataFrame:
     """``(cid, text)`` for the classes that occur in the given columns of the pairs.
 
-    ``representatives`` has ``(cid, rid, field)``, one text for each class.
+    ``representatives`` has ``(cid, rid, field)``, one text for each class. Texts whose id
+    falls on no place of a hashed filter of ``FILTER`` places are left before the exchange.
     """
     needed = pairs.select(F.col(sides[0]).alias("cid"))
     for side in sides[1:]:
         needed = needed.union(pairs.select(F.col(side).alias("cid")))
-    wanted = representatives.join(needed.distinct(), "cid", "left_semi")
-    return texts.join(wanted, ["rid", "field"]).groupBy("cid").agg(F.first("text").alias("text"))
+    wanted = staged(representatives.join(needed.distinct(), "cid", "left_semi"), "wanted")
+    place = F.pmod(F.xxhash64("rid"), F.lit(FILTER))
+    places = wanted.select(place.alias("place")).distinct()
+    kept = texts.withColumn("place", place).join(F.broadcast(places), "place", "left_semi")
+    found = kept.select("rid", "field", "text").join(wanted, ["rid", "field"])
+    return staged(found.groupBy("cid").agg(F.first("text").alias("text")), "class-texts")
 
 
 def record_pairs(links: DataFrame, left: DataFrame, right: DataFrame, within: DataFrame) -> DataFrame:

@@ -19,24 +19,45 @@ def words(text: str) -> list[str]:
 
 
 class WordHashes:
-    """64-bit hashes of words, kept for the words seen lately."""
+    """64-bit hashes of words by way of small numbers for the words seen lately.
 
-    def __init__(self, most: int = 500_000) -> None:
+    Words of ``marked`` are told apart by :meth:`plain`.
+    """
+
+    def __init__(self, marked: frozenset[str] = frozenset(), most: int = 500_000) -> None:
+        self.marked, self.most = marked, most
+        self._clear()
+
+    def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.most = most
+        self.values = np.zeros(1024, dtype=np.uint64)
+        self.free = np.ones(1024, dtype=bool)
 
-    def of(self, tokens: list[str]) -> np.ndarray:
-        known = self.known
+    def _learn(self, tokens: Iterable[str]) -> None:
+        for t in tokens:
+            if t not in self.known:
+                n = len(self.known)
+                if n == len(self.values):
+                    self.values = np.concatenate([self.values, np.zeros(n, dtype=np.uint64)])
+                    self.free = np.concatenate([self.free, np.ones(n, dtype=bool)])
+                self.known[t] = n
+                self.values[n] = xxhash.xxh64_intdigest(t)
+                self.free[n] = t not in self.marked
+
+    def numbers(self, tokens: list[str]) -> np.ndarray:
+        """Places in ``values`` and ``free``, good until the next call."""
         try:
-            return np.array([known[t] for t in tokens], dtype=np.uint64)
+            return np.array(list(map(self.known.__getitem__, tokens)), dtype=np.int64)
         except KeyError:
             pass
-        if len(known) > self.most:
-            known.clear()
-        for t in tokens:
-            if t not in known:
-                known[t] = xxhash.xxh64_intdigest(t)
-        return np.array([known[t] for t in tokens], dtype=np.uint64)
+        if len(self.known) > self.most:
+            self._clear()
+        self._learn(tokens)
+        return np.array(list(map(self.known.__getitem__, tokens)), dtype=np.int64)
+
+    def of(self, tokens: list[str]) -> np.ndarray:
+        number = self.numbers(tokens)  # may put new arrays in place
+        return self.values[number]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
