@@ -44,11 +44,20 @@ _FILE = re.compile(r"[\w/.-]+\.\w{1,5}$")
 _LINK = re.compile(r"(?:https?://\S+|\[\[[^\[\]]+\]\]|\]\([^()\s]+\))$")
 
 
+_UNSEEN = {ord(c): None for c in _BLANK}
+
+
+def _visible(text: str) -> str:
+    return text if text.isascii() else text.translate(_UNSEEN)
+
+
 def is_blank(text: str | None) -> bool:
     """Nothing, only blanks, or a placeholder such as dots, a dash or N/A."""
     if text is None:
         return True
-    bare = text.translate({ord(c): None for c in _BLANK}).strip()
+    if len(text) > 200 and text[:1].isalnum():
+        return False  # a long text that begins with a letter or digit
+    bare = _visible(text).strip()
     return not bare or (len(bare) <= 24 and _PLACEHOLDER.fullmatch(bare) is not None)
 
 
@@ -56,7 +65,7 @@ def ending(text: str | None) -> int:
     """How a text ends; see the constants."""
     if text is None or is_blank(text):
         return EMPTY
-    body = text.translate({ord(c): None for c in _BLANK}).rstrip()
+    body = _visible(text).rstrip()
     if body[0] in "{[" and (body[0] == "{" or not body.startswith("[[")):
         if body[-1] in "}]":
             try:

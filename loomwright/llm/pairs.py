@@ -137,8 +137,20 @@ REFUSAL_WORDS = 60
 _QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|„[^“]*“|«[^»]*»")
 _SENTENCE = re.compile(r"(?<=[.!?:;])\s+|\n+")
 _TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
-_TEMPLATES = [line.split() for line in REFUSALS.strip().splitlines()]
-_POLITE = [line.split() for line in COURTESY.strip().splitlines()]
+
+
+def _templates(listed: str) -> list[tuple[list[str], frozenset[str], int]]:
+    """Words without the blanks, the words as a set, and the room they may take."""
+    out = []
+    for line in listed.strip().splitlines():
+        told = line.split()
+        wanted = [w for w in told if w != "_"]
+        out.append((wanted, frozenset(wanted), len(told) + (8 if "_" in told else 1)))
+    return out
+
+
+_TEMPLATES = _templates(REFUSALS)
+_POLITE = _templates(COURTESY)
 
 
 def common_length(a: list[str], b: list[str]) -> int:
@@ -171,15 +183,15 @@ def asked_languages(prompt: str) -> set[str]:
     return {_ASKED[w] for w in words(prompt) if w in _ASKED}
 
 
-def _aligned(template: list[str], sentence: list[str]) -> bool:
-    """The template's words stand in the sentence in order and close together."""
-    if common_length([w for w in template if w != "_"], sentence) < len(template) - template.count("_"):
-        return False
-    room = len(template) + (8 if "_" in template else 1)
-    wanted = [w for w in template if w != "_"]
-    for i, word in enumerate(sentence):
-        if word == wanted[0] and common_length(wanted, sentence[i : i + room]) == len(wanted):
-            return True
+def _aligned(templates: list[tuple[list[str], frozenset[str], int]], sentence: list[str]) -> bool:
+    """The words of some template stand in the sentence in order and close together."""
+    held = set(sentence)
+    for wanted, needed, room in templates:
+        if not needed <= held:
+            continue
+        for i, word in enumerate(sentence):
+            if word == wanted[0] and common_length(wanted, sentence[i : i + room]) == len(wanted):
+                return True
     return False
 
 
@@ -190,9 +202,9 @@ def is_refusal(reply: str) -> bool:
     refused, other = False, 0
     for sentence in _SENTENCE.split(_QUOTED.sub(" ", plain.lower())):
         tokens = _TOKEN.findall(sentence)
-        if any(_aligned(t, tokens) for t in _TEMPLATES):
+        if _aligned(_TEMPLATES, tokens):
             refused = True
-        elif not any(_aligned(t, tokens) for t in _POLITE):
+        elif not _aligned(_POLITE, tokens):
             other += len(tokens)
     return refused and other <= 14
 
@@ -209,6 +221,9 @@ def _head(prompt: str) -> list[str]:
 def is_copy(prompt: str, reply: str, asked: list[str], given: list[str]) -> bool:
     if len(asked) < 4 or len(given) < 3:
         return False
+    different = set(asked)
+    if len(different.intersection(given)) < 0.6 * len(different):
+        return False
     shingles = {tuple(asked[i : i + 3]) for i in range(len(asked) - 2)}
     held = {tuple(given[i : i + 3]) for i in range(len(given) - 2)}
     if len(shingles & held) < 0.55 * len(shingles):
