@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwright.llm import cuts, leaks, neardup, overlap, pairs, similar, splits
+from loomwright.llm import cuts, leaks, neardup, overlap, packing, pairs, similar, splits
 from loomwright.session import table
 
 
@@ -87,7 +87,17 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"))
 
 
-QUERIES = {"p8_found": p8_found, "p8_report": p8_report, "p1_found": p1_found, "p2_found": p2_found, "p2_assignment": p2_assignment, "p2_shares": p2_shares, "p3_found": p3_found, "p3_rates": p3_rates, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_report": p6_report}
+def p7_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document placed in windows of each size."""
+    return packing.packed_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_capacities"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows and their fill for each size."""
+    return packing.packing_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_capacities"))
+
+
+QUERIES = {"p7_placement": p7_placement, "p7_report": p7_report, "p8_found": p8_found, "p8_report": p8_report, "p1_found": p1_found, "p2_found": p2_found, "p2_assignment": p2_assignment, "p2_shares": p2_shares, "p3_found": p3_found, "p3_rates": p3_rates, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_report": p6_report}
 _P2 = """
 with recursive cleaned as (
   select id as record_id, regexp_replace(lower(trim(k, E' \\t\\n\\r')), '[\\s_-]+', '-', 'g') as k,
