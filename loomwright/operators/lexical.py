@@ -82,9 +82,9 @@ def overlap_share(df: DataFrame, reference: DataFrame, n: int = 3, text: str = "
 def macro_and_pooled(df: DataFrame, group: str, n: int) -> DataFrame:
     """Distinct-n of each group, averaged over its texts and over the pooled n-grams."""
     words = df.select(group, T.tokens(F.col("text")).alias("_w"))
-    features = words.select(group, T.ngrams(F.col("_w"), n).alias("g"))
+    features = words.select(group, T.ngrams(F.col("_w"), n).alias("_g"))
     macro = features.groupBy(group).agg(
-        F.avg(T.share(F.size(F.array_distinct("g")), F.size("g"))).alias("macro")
+        F.avg(T.share(F.size(F.array_distinct("_g")), F.size("_g"))).alias("macro")
     )
     pooled = gram_counts(df, [group], n).groupBy(group).agg(
         T.share(F.count("*"), F.sum("c")).alias("pooled")
@@ -114,8 +114,8 @@ def self_bleu(df: DataFrame, group: str, order: int = 4) -> DataFrame:
         return F.transform(T.ngrams(F.col("w"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
 
     every = F.flatten(F.array(*[sized(n) for n in range(1, order + 1)]))
-    grams = base.select(group, "doc_id", F.explode(every).alias("g"))
-    counted = grams.groupBy(group, "doc_id", "g.n", "g.gram").agg(F.count("*").alias("c"))
+    grams = base.select(group, "doc_id", F.explode(every).alias("_g"))
+    counted = grams.groupBy(group, "doc_id", "_g.n", "_g.gram").agg(F.count("*").alias("c"))
     top = (
         counted.groupBy(group, "n", "gram")
         .agg(F.max(F.struct("c", "doc_id")).alias("first"))
