@@ -134,7 +134,7 @@ class _Bags:
         flat, owner = self.flat, self.owner.astype(np.uint64)
         line = np.sort((owner << _U(54)) | (flat >> _U(10)))
         if len(line) == 0:
-            return line, line
+            return line.astype(np.int64), line
         new = np.ones(len(line), dtype=bool)
         new[1:] = line[1:] != line[:-1]
         place = np.arange(len(line))
