@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
+from loomwright.session import staged
 
 
 def evaluate(df: DataFrame, text: str = "text") -> DataFrame:
@@ -94,9 +95,10 @@ def overlap_audit(df: DataFrame, key: str, text: str = "text", threshold: float
     pairs are between classes, ``members`` of :func:`shingle_classes` lists the copies.
     Pairs that share none of their smallest hashes are not candidates.
     """
-    classes = shingle_classes(df, key, text).groupBy("cls").agg(
-        F.min("key").alias("key"), F.first("s").alias("s")
-    ).select("key", "s")
+    classes = staged(
+        shingle_classes(df, key, text).groupBy("cls").agg(F.min("key").alias("key"), F.first("s").alias("s")).select("key", "s"),
+        "shingles",
+    )
     index = classes.select("key", F.explode(F.slice("s", 1, sketch)).alias("h"))
     a, b = index.alias("a"), index.alias("b")
     pairs = a.join(b, F.expr("a.h = b.h and a.key < b.key")).select(F.col("a.key").alias("l"), F.col("b.key").alias("r")).distinct()

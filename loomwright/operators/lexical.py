@@ -11,25 +11,27 @@ from loomwright.functions import text as T
 def lexical_features(df: DataFrame, text: str = "text") -> DataFrame:
     """Counts and rates of each text: words, distinct-1 to -3, repeated trigrams, sentence
     and paragraph shapes. A null text has null features; an empty one has zero words."""
+    # n-grams are columns of their own, so that each list is built once
     words = df.withColumn("_w", T.tokens(F.col(text))).withColumn("_s", T.sentences(F.col(text)))
     words = words.withColumn("_p", T.paragraphs(F.col(text)))
+    words = words.withColumns({f"_g{n}": T.ngrams(F.col("_w"), n) for n in (2, 3)}).withColumn(
+        "_o", F.transform("_s", lambda s: F.array_join(F.slice(T.spaced(T.fold(s)), 1, 3), " "))
+    )
+    names = {1: "_w", 2: "_g2", 3: "_g3"}
 
     def distinct(n: int) -> Column:
-        grams = T.ngrams(F.col("_w"), n)
-        return T.share(F.size(F.array_distinct(grams)), F.size(grams))
+        return T.share(F.size(F.array_distinct(names[n])), F.size(names[n]))
 
-    tri = T.ngrams(F.col("_w"), 3)
-    openings = F.transform("_s", lambda s: F.array_join(F.slice(T.spaced(T.fold(s)), 1, 3), " "))
     repeated = lambda a: T.share(F.size(a) - F.size(F.array_distinct(a)), F.size(a))
     return words.select(
         *df.columns,
         F.size("_w").alias("word_count"),
         *[distinct(n).alias(f"distinct_{n}") for n in (1, 2, 3)],
-        repeated(tri).alias("repeated_trigram_rate"),
+        repeated("_g3").alias("repeated_trigram_rate"),
         F.transform("_s", lambda s: F.size(T.spaced(s))).alias("sentence_lengths"),
         F.transform("_p", lambda p: F.size(T.spaced(p))).alias("paragraph_lengths"),
-        repeated(F.col("_p")).alias("duplicate_paragraph_rate"),
-        repeated(openings).alias("repeated_opening_rate"),
+        repeated("_p").alias("duplicate_paragraph_rate"),
+        repeated("_o").alias("repeated_opening_rate"),
     )
 
 
