@@ -49,7 +49,9 @@ SINGLE = 0.7
 BUCKETS, PRESENT, BLOCK = 1 << 20, 1 << 26, 1 << 20
 KEY_BITS, COUNT_BITS = 40, 13
 CELL = 4096
-PARITY = 176
+LANES = 6
+PARITY = 64 * LANES - 16
+_LANES = [f"b{k}" for k in range(LANES)]
 CHUNK = 1000
 
 _ROLE_OF = {
@@ -149,7 +151,7 @@ class _Bags:
         np.add.at(self.cid, owner, mix(value + _U(7)))
         bit = (value % _U(PARITY)).astype(np.int64)
         odd = np.bincount(owner * PARITY + bit, minlength=count * PARITY).reshape(-1, PARITY) & 1
-        room = np.zeros((count, 24), dtype=np.uint8)
+        room = np.zeros((count, 8 * LANES), dtype=np.uint8)
         room[:, 2:] = np.packbits(odd.astype(np.uint8), axis=1, bitorder="little")
         self.bits = room.view("<i8").copy()
         self.bits[:, 0] |= np.minimum(self.n, 65535)
@@ -280,7 +282,7 @@ def shingle_tables(texts: DataFrame, common: list[str]) -> Tables:
     return out
 
 
-ROW_SCHEMA = "rid string, field string, side string, cid long, b0 long, b1 long, b2 long, keys array<long>"
+ROW_SCHEMA = "rid string, field string, side string, cid long, " + ", ".join(f"{b} long" for b in _LANES) + ", keys array<long>"
 
 
 def prefix_rows(texts: DataFrame, common: list[str], tables: Tables) -> DataFrame:
@@ -355,10 +357,10 @@ def prefix_rows(texts: DataFrame, common: list[str], tables: Tables) -> DataFram
                     batch.column("field"),
                     batch.column("side"),
                     pa.array(bags.cid.view(np.int64)),
-                    *[pa.array(bags.bits[:, k]) for k in range(3)],
+                    *[pa.array(bags.bits[:, k]) for k in range(LANES)],
                     pa.ListArray.from_arrays(offsets, pa.array(packed.view(np.int64))),
                 ],
-                names=["rid", "field", "side", "cid", "b0", "b1", "b2", "keys"],
+                names=["rid", "field", "side", "cid", *_LANES, "keys"],
             )
             yield made.filter(pa.array(bags.n > 0))
 
@@ -369,9 +371,7 @@ def _pair_filter(threshold: float) -> str:
     """Join condition on rows ``e`` and ``t``: the filters as SQL, all of them bounds."""
     n = lambda x: f"({x}.b0 & 65535)"
     share = (1 - threshold) / (1 + threshold)
-    differ = (
-        "bit_count((e.b0 ^ t.b0) & -65536L) + bit_count(e.b1 ^ t.b1) + bit_count(e.b2 ^ t.b2)"
-    )
+    differ = " + ".join(["bit_count((e.b0 ^ t.b0) & -65536L)", *[f"bit_count(e.{b} ^ t.{b})" for b in _LANES[1:]]])
     lengths = f"least({n('e')}, {n('t')}) >= {threshold} * greatest({n('e')}, {n('t')}) - 1e-9"
     parity = f"{differ} <= {share} * ({n('e')} + {n('t')}) + 1e-9"
     unknown = f"greatest({n('e')}, {n('t')}) = 65535"
@@ -398,11 +398,11 @@ def split_overlaps(texts: DataFrame, threshold: float = 0.7) -> tuple[DataFrame,
 
     def rows(side: str) -> DataFrame:
         sent = signed.where((F.col("side") == side) & (F.size("keys") > 0)).select(
-            F.explode("keys").alias("packed"), "cid", "b0", "b1", "b2"
+            F.explode("keys").alias("packed"), "cid", *_LANES
         )
         keyed = sent.withColumn("key", F.expr("shiftright(packed, 20)"))
         return (
-            keyed.repartition(F.col("key")).groupBy("key", "packed", "cid", "b0", "b1", "b2").agg(F.lit(1).alias("one"))
+            keyed.repartition(F.col("key")).groupBy("key", "packed", "cid", *_LANES).agg(F.lit(1).alias("one"))
         )
 
     found = (
