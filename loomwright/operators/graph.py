@@ -42,7 +42,7 @@ def page_links(pages: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFr
 
     A page is named by the last word of its first heading, a target by its last word.
     """
-    head = F.regexp_extract(F.col(text), r"(?m)^\s*#{1,6}[  ]+([^\n\r]+)", 1)
+    head = F.regexp_extract(F.col(text), r"(?m)^\s*#{1,6}[ \u00a0]+([^\n\r]+)", 1)
     last = lambda c: F.lower(F.regexp_extract(c, r"([\p{L}\p{N}-]+)[^\p{L}\p{N}]*$", 1))
     named = pages.select(last(head).alias("page"), F.regexp_extract_all(F.col(text), F.lit(r"\[\[([^\[\]]+)\]\]"), F.lit(1)).alias("l"))
     named = named.where("page <> ''")
