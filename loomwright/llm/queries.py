@@ -133,6 +133,39 @@ placed as (select distinct r.record_id, r.split, l.group_key from rk r join labe
 parted as (select group_key from placed group by group_key having min(split) <> max(split))
 """
 
+# Every two texts that share a word, by the definition of the similarity.
+_SIMILAR = """
+w as (select rid, tid, w, count(*) as n from (select rid, tid, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as w from t) group by all),
+z as (select tid, any_value(rid) as rid, sum(n) as size from w group by tid),
+c as (select a.tid as x, b.tid as y, sum(least(a.n, b.n)) as common from w a join w b on a.w = b.w and PAIR group by all),
+s as (select c.x, c.y from c join z a on a.tid = c.x join z b on b.tid = c.y where c.common / (a.size + b.size - c.common) >= 0.7 - 1e-12)
+"""
+_P1 = (
+    """with u as (select distinct id as rid, prose as text from starter_design where prose is not null
+ union select id, source from starter_design where source is not null union select id, source from worlds where source is not null),
+t as (select rid, text, row_number() over () as tid from u),"""
+    + _SIMILAR.replace("PAIR", "a.tid < b.tid and a.rid <> b.rid")
+    + "select distinct least(a.rid, b.rid) as id_a, greatest(a.rid, b.rid) as id_b from s join t a on a.tid = s.x join t b on b.tid = s.y where a.rid <> b.rid"
+)
+_SIDE = """case when lower(trim({0})) in ('train', 'training') then 't' when lower(trim({0})) in ({1}) then 'e' end"""
+_SPLIT = _SIDE.format("split", "'validation', 'valid', 'dev', 'test'")
+_P6 = (
+    f"""with u as (select distinct id as rid, {_SPLIT} as side, prose as text from starter_design union select id, {_SPLIT}, source from starter_design
+ union select id, {_SIDE.format("role", "'development', 'dev', 'final_eval', 'final-eval'")}, text from pilot_matched_v1
+ union select id, {_SPLIT}, array_to_string(list_transform(list_filter(messages, lambda m: m.role in ('user', 'assistant') and m.content is not null), lambda m: m.content), ' ') from sft_mask_probes),
+t as (select rid, side, text, row_number() over () as tid from u where side is not null and text is not null),"""
+    + _SIMILAR.replace("select rid, tid, w, count", "select rid, side, tid, w, count").replace("select rid, tid, unnest", "select rid, side, tid, unnest").replace("PAIR", "a.side = 'e' and b.side = 't'")
+    + "select distinct least(a.rid, b.rid) as id_a, greatest(a.rid, b.rid) as id_b from s join t a on a.tid = s.x join t b on b.tid = s.y"
+)
+
 ORACLES: dict = {
+    "p1_found": _P1,
+    "p6_found": _P6,
+    "p6_report": _P6.replace(
+        "select distinct least(a.rid, b.rid) as id_a, greatest(a.rid, b.rid) as id_b from s join t a on a.tid = s.x join t b on b.tid = s.y",
+        """, h as (select distinct a.rid from s join t a on a.tid = s.x),
+ n as (select distinct rid, case when rid in (select id from starter_design) then 'starter_design' when rid in (select id from pilot_matched_v1) then 'pilot_matched_v1' else 'sft_mask_probes' end as source from t where side = 'e')
+ select source, count(*) as records, count(h.rid) as overlapping from n left join h using (rid) group by source""",
+    ),
     "p2_found": _P2 + "select distinct record_id, group_key from placed join parted using (group_key)",
 }
