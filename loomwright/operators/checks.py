@@ -65,9 +65,9 @@ def judge_scores(reviews: DataFrame, weights: dict[str, float], negative: list[s
     The last value of a criterion wins; values are clamped to 0 and ``most``; negative
     criteria count backwards. A criterion without a weight counts 1.
     """
-    rows = reviews.where("record.status = 'ok'").dropDuplicates(["review_id"]).select(
-        "review_id", "record.judge", F.posexplode("record.assessments").alias("pos", "a")
-    )
+    told = F.transform("record.assessments", lambda a: F.struct(a["metric"].alias("metric"), a["value"].alias("value")))
+    one = reviews.where("record.status = 'ok'").select("review_id", "record.judge", told.alias("told"))
+    rows = one.dropDuplicates(["review_id"]).select("review_id", "judge", F.posexplode("told").alias("pos", "a"))
     last = rows.groupBy("review_id", "judge", F.lower(F.trim("a.metric")).alias("metric")).agg(
         F.max_by(F.col("a.value").cast("double"), "pos").alias("value")
     )
@@ -76,8 +76,8 @@ def judge_scores(reviews: DataFrame, weights: dict[str, float], negative: list[s
         weight = F.when(F.col("metric") == name.lower(), F.lit(float(w))).otherwise(weight)
     clamped = F.greatest(F.lit(0.0), F.least(F.col("value"), F.lit(most)))
     turned = F.when(F.col("metric").isin([n.lower() for n in negative]), most - clamped).otherwise(clamped)
-    told = last.where("value is not null").withColumns({"w": weight, "x": turned})
-    return told.groupBy("review_id", "judge").agg(
+    valued = last.where("value is not null").withColumns({"w": weight, "x": turned})
+    return valued.groupBy("review_id", "judge").agg(
         F.try_divide(F.sum(F.col("x") * F.col("w")), F.sum("w")).alias("score"), F.count("*").alias("criteria")
     )
 

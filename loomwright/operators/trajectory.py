@@ -83,6 +83,18 @@ def crossing_splits(records: DataFrame, keys: dict[str, Column]) -> DataFrame:
     )
 
 
+def slim(records: DataFrame) -> DataFrame:
+    """``(id, messages)`` of the distinct records, messages without their texts.
+
+    Only roles and call ids cross the network when repeated records are dropped.
+    """
+    told = F.expr(
+        "transform(messages, m -> named_struct('role', m.role, 'tool_call_id', m.tool_call_id, "
+        "'tool_calls', transform(m.tool_calls, c -> named_struct('id', c.id))))"
+    )
+    return records.select("id", told.alias("messages")).dropDuplicates(["id"])
+
+
 def numbered_messages(records: DataFrame) -> DataFrame:
     """``(id, pos, segment, m)``: a segment is a message and the tool results after it."""
     rows = records.select("id", F.posexplode("messages").alias("pos", "m"))
@@ -97,7 +109,7 @@ def call_results(records: DataFrame) -> DataFrame:
     without a result is ``not_executed`` in the last segment and ``missing`` elsewhere; a
     result without a call is ``orphan``.
     """
-    rows = numbered_messages(records.dropDuplicates(["id"]).select("id", "messages"))
+    rows = numbered_messages(slim(records))
     last = Window.partitionBy("id")
     rows = rows.withColumn("final", F.max("segment").over(last))
     calls = rows.where("size(m.tool_calls) > 0").select(
@@ -125,7 +137,7 @@ def exchanges(records: DataFrame, keep: int = 2) -> DataFrame:
 
     An exchange is an assistant message with its tool results, or a later user message.
     """
-    rows = numbered_messages(records.dropDuplicates(["id"]).select("id", "messages")).where("m.role <> 'system'")
+    rows = numbered_messages(slim(records)).where("m.role <> 'system'")
     spans = rows.groupBy("id", "segment").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
     back = Window.partitionBy("id").orderBy(F.desc("segment"))
     return spans.withColumn("exchange", F.row_number().over(back)).where(F.col("exchange") <= keep).select(
@@ -135,10 +147,9 @@ def exchanges(records: DataFrame, keep: int = 2) -> DataFrame:
 
 def token_spans(records: DataFrame) -> DataFrame:
     """Token offsets of every message, blanks parting tokens; assistant text is learnt."""
-    rows = records.dropDuplicates(["id"]).select("id", F.posexplode("messages").alias("pos", "m"))
-    sized = rows.select(
-        "id", "pos", F.col("m.role").alias("role"), F.coalesce(F.size(T.spaced(F.col("m.content"))), F.lit(0)).alias("n")
-    ).withColumn("n", F.greatest("n", F.lit(0)))
+    rows = records.select("id", F.posexplode("messages").alias("pos", "m"))
+    count = F.greatest(F.coalesce(F.size(T.spaced(F.col("m.content"))), F.lit(0)), F.lit(0))
+    sized = rows.select("id", "pos", F.col("m.role").alias("role"), count.alias("n")).dropDuplicates(["id", "pos"])
     by = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum("n").over(by)
     return sized.select(
@@ -158,7 +169,7 @@ def call_arguments(records: DataFrame, most_bytes: int = 65_536) -> DataFrame:
     ``missing``, ``too_long``, ``invalid`` (no JSON or repeated keys), ``object``,
     ``encoded_twice`` (a string that holds an object) or ``not_object``.
     """
-    calls = records.dropDuplicates(["id"]).select("id", F.posexplode("messages").alias("pos", "m")).where("size(m.tool_calls) > 0")
+    calls = records.select("id", F.posexplode("messages").alias("pos", "m")).where("size(m.tool_calls) > 0")
     rows = calls.select("id", "pos", F.posexplode("m.tool_calls").alias("place", "c"))
     raw = F.col("c.function.arguments")
     parsed = F.expr("schema_of_variant(try_parse_json(c.function.arguments))")
@@ -173,7 +184,8 @@ def call_arguments(records: DataFrame, most_bytes: int = 65_536) -> DataFrame:
         .when((parsed == "STRING") & inner.startswith("OBJECT"), "encoded_twice")
         .otherwise("not_object")
     )
-    return rows.select("id", "pos", "place", F.col("c.function.name").alias("name"), state.alias("state"))
+    told = rows.select("id", "pos", "place", F.col("c.function.name").alias("name"), state.alias("state"))
+    return told.dropDuplicates(["id", "pos", "place"])
 
 
 # Rejection codes and what they tell; fixed values, compared whole, never by substring.
@@ -187,26 +199,33 @@ REJECTIONS = {
 
 def admission(records: DataFrame) -> DataFrame:
     """Each call accepted or rejected, by the first rule of the ladder that holds."""
-    one = records.dropDuplicates(["id"])
     names = F.expr(
         "transform(filter(coalesce(tools, array()), t -> t is not null), "
         "t -> coalesce(get_json_object(t, '$.function.name'), get_json_object(t, '$.name')))"
     )
     calls = (
-        one.select("id", names.alias("names"), F.posexplode("messages").alias("pos", "m"))
+        records.select("id", names.alias("names"), F.posexplode("messages").alias("pos", "m"))
         .where("size(m.tool_calls) > 0")
         .select("id", "names", "pos", F.posexplode("m.tool_calls").alias("place", "c"))
     )
-    before = Window.partitionBy("id", "c.id").orderBy("pos", "place")
     kind = F.expr("schema_of_variant(try_parse_json(c.function.arguments))")
+    judged = calls.select(
+        "id",
+        "pos",
+        "place",
+        F.col("c.id").alias("call_id"),
+        F.coalesce(F.array_contains("names", F.col("c.function.name")), F.lit(False)).alias("known"),
+        F.coalesce(kind.startswith("OBJECT"), F.lit(False)).alias("sound"),
+    ).dropDuplicates(["id", "pos", "place"])
+    before = Window.partitionBy("id", "call_id").orderBy("pos", "place")
     code = (
-        F.when(F.coalesce("c.id", F.lit("")) == "", "missing_id")
+        F.when(F.coalesce("call_id", F.lit("")) == "", "missing_id")
         .when(F.row_number().over(before) > 1, "repeated_id")
-        .when(~F.coalesce(F.array_contains("names", F.col("c.function.name")), F.lit(False)), "unknown_tool")
-        .when(~F.coalesce(kind.startswith("OBJECT"), F.lit(False)), "bad_arguments")
+        .when(~F.col("known"), "unknown_tool")
+        .when(~F.col("sound"), "bad_arguments")
     )
     told = F.create_map(*[F.lit(x) for pair in REJECTIONS.items() for x in pair])
-    return calls.select("id", "pos", "place", code.alias("code")).withColumn(
+    return judged.select("id", "pos", "place", code.alias("code")).withColumn(
         "reason", F.try_element_at(told, F.col("code"))
     )
 
