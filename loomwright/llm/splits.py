@@ -24,7 +24,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.operators.components import connected_components
@@ -256,7 +256,5 @@ def assign_splits(records: DataFrame, proportions: dict[str, float] | None = Non
 def split_report(assigned: DataFrame) -> DataFrame:
     """Records and their share in each split."""
     sizes = assigned.groupBy("split").agg(F.count("*").alias("records"))
-    whole = sizes.agg(F.sum("records").alias("total"))
-    return sizes.join(F.broadcast(whole), how="inner").select(
-        "split", "records", (F.col("records") / F.col("total")).alias("share")
-    )
+    total = F.sum("records").over(Window.partitionBy(F.lit(0)))  # as many rows as splits
+    return sizes.select("split", "records", (F.col("records") / total).alias("share"))
