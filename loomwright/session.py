@@ -67,4 +67,18 @@ def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.option("compression", compression).parquet(path)
+    _staged.append(path)
     return spark.read.parquet(path)
+
+
+_staged: list[str] = []
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the tables staged so far; results that still read them must be done. Their number."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    count = 0
+    while _staged:
+        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        count += path.getFileSystem(conf).delete(path, True)
+    return count

@@ -61,6 +61,15 @@ def test_manifest_and_edges(spark):
     assert {r.n: (r.edge, r.status) for r in R.select_edge(edges, "n", "p", "e").collect()} == {"n": ("a", "ok"), "m": (None, "tie")}
 
 
+def test_staged_tables_are_read_again_and_dropped(spark):
+    from loomwright.session import drop_staged, staged
+
+    df = staged(spark.range(10), "ten")
+    assert df.count() == 10 and drop_staged(spark) >= 1
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|PATH_NOT_FOUND"):
+        df.count()
+
+
 def test_every_oracle_has_a_query():
     import __spark_entry__ as entry
 
