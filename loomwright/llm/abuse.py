@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.llm.textkit import kept
 from loomwright.session import staged
 
 ORDER, BEAM, THRESHOLD = 4, 300, 1.0
@@ -434,8 +435,7 @@ def score_documents(documents: DataFrame) -> DataFrame:
     schema = "doc_id long, source string, " + ", ".join(f"{c} double" for c in CATEGORIES) + ", score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, common = shared.value
-        reader = Reader(CharModel(grams), frozenset(common) | LEXICON)
+        reader = kept(shared, lambda made: Reader(CharModel(made[0]), frozenset(made[1]) | LEXICON))
         for batch in batches:
             found = [reader.score(t) if t else {} for t in batch.column(2).to_pylist()]
             parts = [pa.array([f.get(c, 0.0) for f in found], pa.float64()) for c in CATEGORIES]

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.textkit import WORD, WordHashes
+from loomwright.llm.textkit import WORD, WordHashes, kept
 
 WINDOW, RADIUS, PASSAGE, ERRORS = 6, 2, 28, 8
 LEAST, BAND = 4, 6
@@ -238,7 +238,7 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = WindowIndex(shared.value)
+            index = kept(shared, WindowIndex)
             hashes = WordHashes()
             for batch in batches:
                 ids, texts = (c.to_pylist() for c in batch.columns)

@@ -3,8 +3,9 @@
 A text is a bag of words; two texts are near-duplicates if their multiset similarity
 (common words over words in either) reaches a threshold. Words that stand in more than
 ``COMMON`` of all texts carry little and are left out of the signatures, never of the
-verification; texts of at most ``SHORT`` words are also signed with all their words, so
-that a short text without rare words is found too.
+verification; texts of at most ``SHORT`` words, and those that keep less than ``FEW`` of
+their words, are also signed with all of them, so that a short text or one of common words
+is found too.
 
 A signature has ``GROUPS`` groups of ``WIDTH`` minhashes. A table key combines two
 groups: the groups are the small collections, and each of them serves several tables, so
@@ -34,8 +35,8 @@ from loomwright.llm.textkit import WordHashes, bag_id, minhashes, mix, numbered,
 from loomwright.session import staged
 
 COMMON = 0.08
-SHORT = 60
-GROUPS, WIDTH, STEPS = 16, 2, (1, 3)
+SHORT, FEW = 60, 0.3
+GROUPS, WIDTH, STEPS = 20, 2, (1, 3)
 NIBBLES, AGREE = 16, 4
 
 
@@ -97,7 +98,7 @@ def signatures(texts: DataFrame, common: list[str]) -> DataFrame:
                 kept = [t for t in tokens if t not in left_out]
                 if kept:
                     rare.append((at, numbered(hashes.of(kept))))
-                if len(tokens) <= SHORT or not kept:
+                if len(tokens) <= SHORT or len(kept) < FEW * len(tokens):
                     short.append((at, full))
             if not rows:
                 continue

@@ -119,3 +119,14 @@ def common_share(a: list[str], b: list[str]) -> float:
             counts[w] = left - 1
     either = len(a) + len(b) - shared
     return shared / either if either else 0.0
+
+
+def kept(shared, build):
+    """What ``build`` makes of a broadcast value, made once for the life of a Python worker.
+
+    Workers hold their broadcasts from task to task, so later tasks find it on the object.
+    """
+    made = shared.__dict__.get("_kept")
+    if made is None:
+        made = shared._kept = build(shared.value)
+    return made
