@@ -35,9 +35,14 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> Sp
     return spark
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan ``<sf_dir>/<name>.parquet`` (a file or a folder of files)."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, schema: str | None = None) -> DataFrame:
+    """Scan ``<sf_dir>/<name>.parquet`` (a file or a folder of files).
+
+    A narrower ``schema`` leaves out fields of structs inside arrays, which the optimizer
+    can't prune once a lambda has seen the struct.
+    """
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
