@@ -8,6 +8,14 @@ from loomwright.llm import abuse, cuts, leaks, neardup, overlap, packing, pairs,
 from loomwright.session import table
 
 
+# The fields of a conversation that an operator reads; the rest stays in the files.
+_TEXTS = "id string, split string, provenance struct<source:string>, messages array<struct<role:string,content:string>>"
+_TURNS = (
+    "id string, provenance struct<source:string>, "
+    "messages array<struct<role:string,content:string,tool_calls:array<struct<id:string>>>>"
+)
+
+
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.texts_of(
         [
@@ -24,7 +32,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sided(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.sided_texts(
-        *[table(spark, sf_dir, n) for n in ("starter_design", "pilot_matched_v1", "sft_mask_probes")]
+        table(spark, sf_dir, "starter_design"),
+        table(spark, sf_dir, "pilot_matched_v1"),
+        table(spark, sf_dir, "sft_mask_probes", _TEXTS),
     )
 
 
@@ -40,22 +50,22 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages and outputs that were cut while being stored or sent."""
-    return cuts.cut_texts(table(spark, sf_dir, "sft_mask_probes"), table(spark, sf_dir, "judgment_review"))
+    return cuts.cut_texts(table(spark, sf_dir, "sft_mask_probes", _TEXTS), table(spark, sf_dir, "judgment_review"))
 
 
 def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of cut texts per exporter."""
-    return cuts.cut_rates(table(spark, sf_dir, "sft_mask_probes"), table(spark, sf_dir, "judgment_review"))
+    return cuts.cut_rates(table(spark, sf_dir, "sft_mask_probes", _TEXTS), table(spark, sf_dir, "judgment_review"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies that are no usable answer, with their defect."""
-    return pairs.defective_pairs(table(spark, sf_dir, "sft_mask_probes"), table(spark, sf_dir, "judgment_review"))
+    return pairs.defective_pairs(table(spark, sf_dir, "sft_mask_probes", _TURNS), table(spark, sf_dir, "judgment_review"))
 
 
 def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defective pairs per defect."""
-    return pairs.defect_rates(table(spark, sf_dir, "sft_mask_probes"), table(spark, sf_dir, "judgment_review"))
+    return pairs.defect_rates(table(spark, sf_dir, "sft_mask_probes", _TURNS), table(spark, sf_dir, "judgment_review"))
 
 
 def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
