@@ -9,7 +9,7 @@ from loomwright.operators import graph as G
 from loomwright.operators import nested
 from loomwright.plans.measure_queries import _PAGES
 from loomwright.plans.text_queries import _BLANK
-from loomwright.plans.trajectory_queries import _ONE
+from loomwright.plans.trajectory_queries import _ONE, _TEXTS
 from loomwright.session import table
 
 _REQUIRED = {"schema_version": "BIGINT", "benchmark": "STRING", "cases": "ARRAY"}
@@ -53,7 +53,7 @@ def turn_layouts(spark, sf_dir):
     """Offsets of conversations whose turns repeat what came before."""
     from loomwright.operators.trajectory import token_spans
 
-    spans = token_spans(table(spark, sf_dir, "sft_mask_probes")).where("mask = 1 and end > start")
+    spans = token_spans(table(spark, sf_dir, "sft_mask_probes", _TEXTS)).where("mask = 1 and end > start")
     ids = lambda lo, hi: F.when(hi > lo, F.sequence(lo, F.greatest(hi - 1, lo))).otherwise(F.array().cast("array<bigint>"))
     turns = spans.select("id", "pos", ids(F.lit(0).cast("bigint"), F.col("start")).alias("input_ids"), ids(F.col("start"), F.col("end")).alias("generated_ids"))
     return C.turn_layout(turns, "id", "pos")
@@ -83,7 +83,7 @@ def prose_profile(spark, sf_dir):
 
 def folded_results(spark, sf_dir):
     """Tool results folded into the messages that called."""
-    out = C.rendered_messages(table(spark, sf_dir, "sft_mask_probes"))
+    out = C.rendered_messages(table(spark, sf_dir, "sft_mask_probes", _TEXTS))
     return out.select("id", "segment", F.md5("content").alias("content"), F.size("results").alias("results"))
 
 

@@ -8,8 +8,13 @@ from loomwright.operators import trajectory as T
 from loomwright.session import table
 
 
-def _probes(spark, sf_dir):
-    return table(spark, sf_dir, "sft_mask_probes")
+# What the queries read of a message.
+_IDS = "id string, messages array<struct<role:string,tool_call_id:string,tool_calls:array<struct<id:string>>>>"
+_TEXTS = "id string, messages array<struct<role:string,content:string>>"
+
+
+def _probes(spark, sf_dir, schema=None):
+    return table(spark, sf_dir, "sft_mask_probes", schema)
 
 
 def trajectory_violations(spark, sf_dir):
@@ -25,22 +30,22 @@ def trajectory_crossing(spark, sf_dir):
 
 def call_result_pairs(spark, sf_dir):
     """Calls and results by state."""
-    return T.call_results(_probes(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("n"))
+    return T.call_results(_probes(spark, sf_dir, _IDS)).groupBy("status").agg(F.count("*").alias("n"))
 
 
 def completed_exchanges(spark, sf_dir):
     """The last two exchanges of each conversation."""
-    return T.exchanges(_probes(spark, sf_dir))
+    return T.exchanges(_probes(spark, sf_dir, _IDS))
 
 
 def token_layout(spark, sf_dir):
     """Token offsets and loss mask of every message."""
-    return T.token_spans(_probes(spark, sf_dir))
+    return T.token_spans(_probes(spark, sf_dir, _TEXTS))
 
 
 def context_summary(spark, sf_dir):
     """Fixed summaries of the conversations."""
-    return T.fixed_summary(_probes(spark, sf_dir))
+    return T.fixed_summary(_probes(spark, sf_dir, _TEXTS))
 
 
 def argument_states(spark, sf_dir):
