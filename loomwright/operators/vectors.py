@@ -7,8 +7,6 @@ blocks meet in a grid of cells, and each cell gives one number.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -96,41 +94,44 @@ def mmd_squared(df: DataFrame, side: str, vector: str, sigma: float, key: str) -
 def query_distances(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 5) -> DataFrame:
     """For every row whose id is divisible by ``every``, its ``k`` nearest other rows.
 
-    The queries go to the tasks in blocks of ``BLOCK``; each partition keeps its best ``k``
-    of a query, and the best of those are kept. ``(key, neighbour, distance, place)``.
+    Queries and rows are dealt into blocks that meet in a grid of cells; a cell keeps the
+    best ``k`` of each of its queries, and the best of those are kept. Nothing is collected
+    or broadcast. ``(key, neighbour, distance, place)``; ties go to the smaller id.
     """
-    asked = df.where(F.col(key) % every == 0).select(key, F.col(vector).cast("array<double>").alias("v"))
-    queries = [(r[0], r[1]) for r in asked.where("v is not null").toLocalIterator()]
-    out = None
-    spark = df.sparkSession
-    schema = "key long, neighbour long, distance double"
-    rows = df.select(F.col(key).cast("long"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
-    for start in range(0, len(queries), BLOCK):
-        part = queries[start : start + BLOCK]
-        shared = spark.sparkContext.broadcast((np.array([q for q, _ in part]), np.array([v for _, v in part])))
-
-        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            for frame in frames:
-                v = np.stack(frame.iloc[:, 1].to_list())
-                own = frame.iloc[:, 0].to_numpy()
-                gap = np.sqrt(np.maximum(((q[:, None, :] - v[None, :, :]) ** 2).sum(2), 0)) if len(v) * len(q) < 4e5 else np.sqrt(
-                    np.maximum((q**2).sum(1)[:, None] + (v**2).sum(1)[None, :] - 2 * q @ v.T, 0)
-                )
-                gap = np.where(ids[:, None] == own[None, :], np.inf, gap)
-                best = np.argsort(gap, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame(
+    v = df.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    v = v.where("v is not null and key is not null")
+    asked = v.where(F.col("key") % every == 0)
+    total, queries = v.agg(F.count("*"), F.count_if(F.col("key") % every == 0)).first()
+    across, down = max(1, -(-queries // BLOCK)), max(1, -(-total // (BLOCK * 8)))
+    deal = lambda n: F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select(deal(across).alias("q"), spread(down).alias("r"), F.lit(True).alias("asks"), "key", "v")
+    right = v.select(deal(down).alias("r"), spread(across).alias("q"), F.lit(False).alias("asks"), "key", "v")
+
+    def cell(part: pd.DataFrame) -> pd.DataFrame:
+        q, rows = part[part["asks"]], part[~part["asks"]].sort_values("key")
+        if q.empty or rows.empty:
+            return pd.DataFrame({"key": [], "neighbour": [], "distance": []})
+        a, b = np.stack(q["v"].to_list()), np.stack(rows["v"].to_list())
+        ids, own = q["key"].to_numpy(), rows["key"].to_numpy()
+        found = []
+        for start in range(0, len(a), 16):  # the exact differences of a few queries at a time
+            gap = np.sqrt(((a[start : start + 16, None, :] - b[None, :, :]) ** 2).sum(2))
+            gap[ids[start : start + 16, None] == own[None, :]] = np.inf
+            best = np.argsort(gap, axis=1, kind="stable")[:, :k]
+            found.append(
+                pd.DataFrame(
                     {
-                        "key": np.repeat(ids, best.shape[1]),
+                        "key": np.repeat(ids[start : start + 16], best.shape[1]),
                         "neighbour": own[best].ravel(),
                         "distance": np.take_along_axis(gap, best, 1).ravel(),
                     }
-                ).query("distance < inf")
-
-        found = rows.mapInPandas(run, schema)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], schema + ", place int")
-    one = F.sort_array(F.collect_list(F.struct("distance", "neighbour")))
-    ranked = out.groupBy("key").agg(F.slice(one, 1, k).alias("best")).select("key", F.posexplode("best").alias("place", "b"))
+                )
+            )
+        out = pd.concat(found)
+        return out[np.isfinite(out["distance"])]
+
+    cells = left.unionByName(right).groupBy("q", "r").applyInPandas(cell, "key long, neighbour long, distance double")
+    one = F.slice(F.sort_array(F.collect_list(F.struct("distance", "neighbour"))), 1, k)
+    ranked = cells.groupBy("key").agg(one.alias("best")).select("key", F.posexplode("best").alias("place", "b"))
     return ranked.select("key", "b.neighbour", "b.distance", "place")
