@@ -2,17 +2,23 @@
 
 Pairs of rows are never emitted. Mean pairwise cosine distance follows from the sum of the
 unit vectors. Kernel sums need every pair, so vectors are gathered in blocks of ``BLOCK``,
-blocks meet in a grid of cells, and each cell gives one number.
+blocks meet in a grid of cells, and each cell gives one number. The median distance needs
+every pair as well: each cell gives a histogram of at most ``BINS`` counts, and the bins
+that hold the middle are refined until one value is left.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 256
+BINS = 4096
+_INFINITY = 0x7FF0000000000000
 
 
 def dispersion(df: DataFrame, group: str, vector: str = "embedding") -> DataFrame:
@@ -35,17 +41,19 @@ def dispersion(df: DataFrame, group: str, vector: str = "embedding") -> DataFram
     )
 
 
+def _cells(rows: DataFrame) -> DataFrame:
+    """Every row in each cell ``(low, high)`` of the grid in which its block meets another."""
+    blocks = max(1, -(-rows.count() // BLOCK))
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return spread.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+
+
 def kernel_sums(df: DataFrame, side: str, vector: str, sigma: float, key: str) -> DataFrame:
     """``(left, right, pairs, total)``: sums of the Gaussian kernel over all unordered pairs
     of different rows within a side and over all pairs across two sides."""
     rows = df.select(F.col(side).alias("side"), F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
-    rows = rows.where("side is not null and v is not null")
-    count = rows.count()
-    blocks = max(1, -(-count // BLOCK))
-    placed = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
-    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
-        F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "side", "v"
-    )
+    cells = _cells(rows.where("side is not null and v is not null")).select("low", "high", "block", "side", "v")
 
     def cell(key_: tuple, part: pd.DataFrame) -> pd.DataFrame:
         low, high = int(key_[0]), int(key_[1])
@@ -91,6 +99,75 @@ def mmd_squared(df: DataFrame, side: str, vector: str, sigma: float, key: str) -
     )
 
 
+def _pair_bits(part: pd.DataFrame, low: int, high: int) -> Iterator[np.ndarray]:
+    """Distances above 0 of the pairs that meet in a cell, as the bits of the doubles.
+
+    The bits of positive doubles are ordered as their values. Differences are exact, so a
+    pair has the same distance in every pass and equal vectors have 0.
+    """
+    first, second = part[part["block"] == low], part[part["block"] == high]
+    if first.empty or second.empty:
+        return
+    a, b = np.stack(first["v"].to_list()), np.stack(second["v"].to_list())
+    for start in range(0, len(a), 16):
+        gap = np.sqrt(((a[start : start + 16, None, :] - b[None, :, :]) ** 2).sum(2))
+        if low == high:  # every pair stands in the square twice
+            gap[np.arange(start, start + len(gap))[:, None] >= np.arange(len(b))[None, :]] = 0
+        yield gap[gap > 0].view(np.int64)
+
+
+def pair_median(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """``(distance)``: the median distance over all pairs of different vectors; null without any.
+
+    Exact: each pass counts, for the range of each of the two middle pairs, ``BINS`` equal
+    parts of the bits of the distances, with the least and greatest of each part, and goes
+    on with the part that holds the middle pair until that part has one value.
+    """
+    rows = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    cells = _cells(rows).select("low", "high", "block", "v")
+
+    def counted(ranges: list[tuple[int, int]]) -> list[list[tuple[int, int, int]]]:
+        """``(pairs, least, greatest)`` of the parts of each range that hold pairs, in order."""
+
+        def cell(key_: tuple, part: pd.DataFrame) -> pd.DataFrame:
+            shape = (len(ranges), BINS)
+            total, least, most = np.zeros(shape, np.int64), np.full(shape, _INFINITY), np.zeros(shape, np.int64)
+            for bits in _pair_bits(part, int(key_[0]), int(key_[1])):
+                for r, (begin, end) in enumerate(ranges):
+                    held = bits[(bits >= begin) & (bits <= end)]
+                    at = (held - begin) // -(-(end - begin + 1) // BINS)
+                    total[r] += np.bincount(at, minlength=BINS)
+                    np.minimum.at(least[r], at, held)
+                    np.maximum.at(most[r], at, held)
+            r, at = np.nonzero(total)
+            return pd.DataFrame({"r": r, "bin": at, "n": total[r, at], "least": least[r, at], "most": most[r, at]})
+
+        found = cells.groupBy("low", "high").applyInPandas(cell, "r long, bin long, n long, least long, most long")
+        sums = found.groupBy("r", "bin").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+        out: list[list[tuple[int, int, int]]] = [[] for _ in ranges]
+        for row in sorted(sums.collect(), key=lambda x: x["bin"]):
+            out[row["r"]].append((row["n"], row["least"], row["most"]))
+        return out
+
+    whole = (1, _INFINITY)
+    parts = {whole: counted([whole])[0]}
+    total = sum(n for n, _, _ in parts[whole])
+    if not total:
+        return df.sparkSession.createDataFrame([(None,)], "distance double")
+    middle = [(whole, (total - 1) // 2), (whole, total // 2)]  # ranges and ranks within them
+    while any(begin < end for (begin, end), _ in middle):
+        for m, (held, rank) in enumerate(middle):
+            for n, least, most in parts.get(held, []):
+                if rank < n:
+                    middle[m] = ((least, most), rank)
+                    break
+                rank -= n
+        ranges = sorted({held for held, _ in middle if held[0] < held[1]})
+        parts = dict(zip(ranges, counted(ranges))) if ranges else {}
+    low, high = np.array([begin for (begin, _), _ in middle], dtype=np.int64).view(np.float64).tolist()
+    return df.sparkSession.createDataFrame([((low + high) / 2,)], "distance double")
+
+
 def query_distances(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 5) -> DataFrame:
     """For every row whose id is divisible by ``every``, its ``k`` nearest other rows.
 

@@ -43,9 +43,9 @@ def nearest_vectors(spark, sf_dir):
 
 
 def bandwidth_median(spark, sf_dir):
-    """Median distance of the queries divisible by 20 to their nearest rows, equal ones left out."""
-    out = V.query_distances(table(spark, sf_dir, "embeddings"), k=25).where("distance > 0")
-    return out.agg(F.round(F.percentile("distance", 0.5), 6).alias("sigma"))
+    """Median distance of all pairs of different vectors."""
+    out = V.pair_median(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return out.select(F.round("distance", 6).alias("sigma"))
 
 
 def _rubric(spark, sf_dir) -> DataFrame:

@@ -1,7 +1,9 @@
 """Hand values and edge cases of the core operators."""
 
+import itertools
 import json
 import math
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,6 +106,18 @@ def test_nearest_rows_and_empty_tables(spark):
     assert vectors.query_distances(df.where("false")).count() == 0
 
 
+def test_median_distance_is_over_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    rows = [(i, [float(i % 9), float(i * i % 31), i / 7]) for i in range(60)] + [(60, [0.0, 0.0, 0.0]), (61, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    pairs = [math.dist(x, y) for (_, x), (_, y) in itertools.combinations(rows[:-1], 2) if x != y]
+    assert math.isclose(vectors.pair_median(df, "id", "v").first().distance, statistics.median(pairs), rel_tol=1e-12)
+    some = df.where("id in (0, 60, 5, 6)")
+    pairs = [math.dist(x, y) for (_, x), (_, y) in itertools.combinations([rows[i] for i in (0, 60, 5, 6)], 2) if x != y]
+    assert math.isclose(vectors.pair_median(some, "id", "v").first().distance, statistics.median(pairs), rel_tol=1e-12)
+    assert vectors.pair_median(df.where("id in (0, 60)"), "id", "v").first().distance is None
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)]
     df = spark.createDataFrame(chain, "u long, v long").repartition(7)
