@@ -92,7 +92,8 @@ def overlap_audit(df: DataFrame, key: str, text: str = "text", threshold: float
     """Near-duplicate pairs by bottom-``sketch`` shingle hashes: ``(left, right, jaccard)``.
 
     Texts with the same five-word shingles are one class, told by its smallest key; the
-    pairs are between classes, ``members`` of :func:`shingle_classes` lists the copies.
+    pairs are between classes, :func:`overlap_members` lists the texts of each class. All
+    near-duplicate texts are the members of a pair of classes, and those of one class.
     Pairs that share none of their smallest hashes are not candidates.
     """
     classes = staged(
@@ -113,6 +114,15 @@ def overlap_audit(df: DataFrame, key: str, text: str = "text", threshold: float
     )
 
 
+def overlap_members(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``(key, class)``: every text of five words or more with the smallest key of its class,
+    by which :func:`overlap_audit` tells it; texts of a class have similarity 1."""
+    # staged with the shingles: pruned, their tokens would be made anew for every shingle
+    classes = staged(shingle_classes(df, key, text), "shingle-classes").select("key", "cls")
+    named = classes.groupBy("cls").agg(F.min("key").alias("class"))
+    return classes.join(named, "cls").select("key", "class").distinct()
+
+
 def shingle_classes(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``(key, s, cls)``: sorted shingle hashes of each text and the hash of all of them."""
     words = df.select(F.col(key).alias("key"), T.tokens(F.col(text), T.PLAIN_TOKEN).alias("w")).where("size(w) >= 5")

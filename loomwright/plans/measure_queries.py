@@ -93,12 +93,19 @@ def staccato_scores(spark, sf_dir):
 
 
 def near_dup_pairs(spark, sf_dir):
-    """Near-duplicate pairs of held-out items and documents by bottom-12 sketches."""
+    """Near-duplicate pairs of classes of documents by bottom-12 sketches; the
+    documents of each class are the rows of ``near_dup_members``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = C.overlap_audit(docs, "doc_id")
     return out.select("left", "right", F.round("jaccard", 9).alias("jaccard"))
 
 
+def near_dup_members(spark, sf_dir):
+    """The class of every document, told by its smallest id; copies share a class."""
+    out = C.overlap_members(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return out.select(F.col("key").alias("doc_id"), "class")
+
+
 def _wiki(spark, sf_dir):
     pages = table(spark, sf_dir, "documents").where("kind = 'wiki' and text is not null")
     return G.page_links(pages, "doc_id", "text")
@@ -157,7 +164,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         dispersion_by_label, mmd_by_label, nearest_vectors, bandwidth_median, checks_weighted, checks_verdict,
-        judge_report, staccato_scores, near_dup_pairs, wiki_links, wiki_reach, wiki_orphans, wiki_cycles,
+        judge_report, staccato_scores, near_dup_pairs, near_dup_members, wiki_links, wiki_reach, wiki_orphans, wiki_cycles,
         wiki_components, path_conflicts,
     )
 }
@@ -209,6 +216,10 @@ ORACLES = {
  p as (select distinct a.key as l, b.key as r from x a join x b on a.h = b.h and a.key < b.key),
  j as (select l, r, len(list_intersect(a.s, b.s)) as n, len(a.s) as x, len(b.s) as y from p join c a on a.key = l join c b on b.key = r)
  select l as "left", r as "right", round(n::double / (x + y - n), 9) as jaccard from j where n::double / (x + y - n) >= 0.85""",
+    "near_dup_members": r"""with w as (select doc_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}_]+') as w from documents),
+ g as (select doc_id, list_sort(list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: substr(sha256(array_to_string(w[i:i + 4], ' ')), 1, 16)))) as s from w where len(w) >= 5),
+ m as (select doc_id, sha256(array_to_string(s, '')) as s from g), c as (select s, min(doc_id) as class from m group by s)
+ select distinct doc_id, class from m join c using (s)""",
     "wiki_links": f"with {_PAGES} select u as page, count(*) as links, count(*) filter (where v in (select page from pages)) as valid from links where v <> '' group by u",
     "wiki_reach": f"""with recursive {_PAGES}, r(node, depth) as (select min(page), 0 from pages union select v, depth + 1 from r join inside on u = node where depth < 40) select node, min(depth) as depth from r group by node""",
     "wiki_orphans": f"with {_PAGES} select page from pages where page not in (select v from links where u <> v)",

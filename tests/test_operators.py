@@ -187,6 +187,18 @@ def test_audit_pairs_classes_once(spark):
     assert [(r.left, r.right) for r in rows] == [(1, 3)]
 
 
+def test_every_copy_is_a_member_of_its_class(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame(
+        [(1, base), (2, base), (3, base + " end"), (4, "too short"), (5, None), (6, base.upper().replace(" ", ", ")), (6, base)],
+        "id long, text string",
+    )
+    members = [tuple(r) for r in checks.overlap_members(df, "id").orderBy("key").collect()]
+    assert members == [(1, 1), (2, 1), (3, 3), (6, 1)]
+    known = {c for _, c in members}
+    assert all({r.left, r.right} <= known for r in checks.overlap_audit(df, "id").collect())
+
+
 def message(role, content=None, calls=None, answers=None):
     made = [(i, "function", (n, a)) for i, n, a in calls] if calls else None
     return (role, content, answers, made)
