@@ -6,8 +6,11 @@ blocks of the fingerprint finds every item window within ``RADIUS`` bits: two
 fingerprints at most two bits apart agree in at least one of three blocks.
 
 The window is short so that the search can lose nothing: a passage of ``PASSAGE`` words
-with at most one in ``ERRORS`` replaced, misspelt, added or missing has at least
-five windows without an error, and those are at distance 0. Candidates are pairs of a
+or more with at most one in ``ERRORS`` replaced, misspelt, added or missing has at least
+three windows without an error, and those are at distance 0: ``e`` errors leave ``n - e``
+words in ``e + 1`` runs, and a run of ``r`` words has ``r - 5`` windows, so at least
+``n - e - 5 * (e + 1)``. That is 5 for 28 words with 3 errors and 3 for 32 with 4, the least:
+eight further words allow one more error and give two more windows. Candidates are pairs of a
 document and an item with ``LEAST`` near windows about one diagonal. They are verified
 exactly: the document is aligned with the item word by word, every word a shingle of
 weight one, and the pair is kept if some run of at least ``PASSAGE`` item words keeps the
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 from loomwright.llm.textkit import WORD, WordHashes, kept
 
 WINDOW, RADIUS, PASSAGE, ERRORS = 6, 2, 28, 8
-LEAST, BAND = 4, 6
+LEAST, BAND = 3, 6
 BLOCK_WORDS = 2_000_000
 _BITS = (21, 21, 22)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")

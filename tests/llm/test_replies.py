@@ -148,6 +148,17 @@ def holds_ratio(doc, item):
     return False
 
 
+def test_a_passage_with_four_errors_in_32_words_leaves_three_windows(spark):
+    item = [f"x{i}" for i in range(32)]
+    other = list(item)
+    for at in (6, 13, 20, 26):  # runs of 6, 6, 6, 5 and 5 words
+        other[at] = f"other{at}"
+    around = [f"y{i}" for i in range(20)]
+    documents = spark.createDataFrame([(1, " ".join(around + other + around))], "doc_id long, text string")
+    items = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    assert [tuple(r) for r in leaks.leaked_items(documents, items).collect()] == [(1, 5)]
+
+
 def test_every_pair_within_the_radius_is_found():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
