@@ -11,7 +11,7 @@ A signature has ``GROUPS`` groups of ``WIDTH`` minhashes. A table key combines t
 groups: the groups are the small collections, and each of them serves several tables, so
 ``GROUPS * WIDTH`` minhashes feed ``GROUPS * len(STEPS)`` tables of ``2 * WIDTH`` rows.
 Texts that share a key are candidates if enough nibbles of a second, independent sketch
-agree; every candidate is verified on the whole texts.
+of the same words agree; every candidate is verified on the whole texts.
 
 Hot keys: texts with the same bag of words are one class from the start, so copies never
 meet; other hot keys are left to the skew handling of the sort-merge join, whose inputs
@@ -74,10 +74,10 @@ def _sign(bags: list[np.ndarray], seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(texts: DataFrame, common: list[str]) -> DataFrame:
-    """``(rid, field, cid, keys, sketch)``; within a partition only the first text of a
-    class carries keys."""
+    """``(rid, field, cid, keys, sketch, all_keys, all_sketch)``, from the rare words and
+    from all words; within a partition only the first text of a class carries keys."""
     left_out = frozenset(common)
-    schema = "rid string, field string, cid long, keys array<long>, sketch long"
+    schema = "rid string, field string, cid long, keys array<long>, sketch long, all_keys array<long>, all_sketch long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
@@ -102,28 +102,25 @@ def signatures(texts: DataFrame, common: list[str]) -> DataFrame:
                     short.append((at, full))
             if not rows:
                 continue
-            keys: list = [None] * len(rows)
-            sketches = np.zeros(len(rows), dtype=np.int64)
-            for seed, signed in ((2, short), (1, rare)):  # the sketch of the rare words holds
+            columns = []
+            for seed, signed in ((1, rare), (2, short)):
+                sizes, sketches = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=np.int64)
+                flat = np.zeros(0, dtype=np.int64)
                 if signed:
                     made, sketch = _sign([b for _, b in signed], seed)
-                    made, sketch = made.view(np.int64), sketch.view(np.int64)
-                    for i, (at, _) in enumerate(signed):
-                        keys[at] = made[i] if keys[at] is None else np.concatenate([keys[at], made[i]])
-                        sketches[at] = sketch[i]
-            sizes = [0 if k is None else len(k) for k in keys]
-            flat = np.concatenate([k for k in keys if k is not None] or [np.zeros(0, np.int64)])
-            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                    at = [n for n, _ in signed]
+                    sizes[at], sketches[at], flat = made.shape[1], sketch.view(np.int64), made.view(np.int64).ravel()
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                columns += [pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64())), pa.array(sketches)]
             rid, field, cid = (list(c) for c in zip(*rows))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(rid, pa.string()),
                     pa.array(field, pa.string()),
                     pa.array(cid, pa.int64()),
-                    pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64())),
-                    pa.array(sketches),
+                    *columns,
                 ],
-                names=["rid", "field", "cid", "keys", "sketch"],
+                names=["rid", "field", "cid", "keys", "sketch", "all_keys", "all_sketch"],
             )
 
     return texts.select("rid", "field", "text").mapInArrow(run, schema)
@@ -134,11 +131,14 @@ def near_duplicates(texts: DataFrame, threshold: float = 0.7) -> tuple[DataFrame
     signed = staged(signatures(texts, common_words(texts)), "neardup")
     members = signed.select("cid", "rid").distinct()
     classes = (
-        signed.where("size(keys) > 0")
+        signed.where("size(keys) + size(all_keys) > 0")
         .groupBy("cid")
-        .agg(F.first(F.struct("rid", "field", "keys", "sketch")).alias("one"))
+        .agg(F.first(F.struct("rid", "field", "keys", "sketch", "all_keys", "all_sketch")).alias("one"))
     )
-    rows = classes.select(F.explode("one.keys").alias("key"), F.col("cid"), F.col("one.sketch").alias("sketch"))
+    # a key goes with the sketch of the words that it was made of
+    told = "transform({0}keys, k -> named_struct('key', k, 'sketch', {0}sketch))"
+    both = F.explode(F.expr(f"concat({told.format('one.')}, {told.format('one.all_')})"))
+    rows = classes.select("cid", both.alias("k")).select("k.key", "cid", "k.sketch")
     x, y = rows.alias("x"), rows.alias("y")
     # nibbles that differ leave a bit in the masked word; 16 less their number agree
     folded = "(x.sketch ^ y.sketch)"

@@ -74,6 +74,15 @@ def test_near_duplicates_equal_brute_force(spark):
     assert len(got - want) == 0 and len(want - got) <= 0.02 * len(want)
 
 
+def test_keys_of_all_words_go_with_their_sketch(spark):
+    stock = [f"stock{i}" for i in range(85)]
+    rows = [(f"r{p}", " ".join(stock + [f"p{p}rare{i}" for i in range(15)])) for p in range(12)]
+    rows += [(f"f{i}", f"filler{i} other{i}") for i in range(60)]
+    got = {tuple(r) for r in neardup.near_duplicate_pairs(frame(spark, rows)).collect()}
+    want = brute(rows, 0.7)
+    assert len(want) == 66 and got <= want and len(want - got) <= 0.1 * len(want)
+
+
 def test_near_duplicates_of_odd_texts(spark):
     long = " ".join(VOCABULARY * 30)
     rows = [
