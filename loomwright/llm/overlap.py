@@ -375,12 +375,17 @@ def _pair_filter(threshold: float) -> str:
     lengths = f"least({n('e')}, {n('t')}) >= {threshold} * greatest({n('e')}, {n('t')}) - 1e-9"
     parity = f"{differ} <= {share} * ({n('e')} + {n('t')}) + 1e-9"
     unknown = f"greatest({n('e')}, {n('t')}) = 65535"
-    rest = lambda x: f"(shiftright({x}.packed, 11) & 511)"
-    size = lambda x: f"({x}.packed & 1023)"
     single = lambda x: f"({x}.packed & 1024)"
-    need = f"{SHINGLE / (1 + SHINGLE)} * ({size('e')} + {size('t')}) - 1e-9"
-    position = f"(least({rest('e')}, {rest('t')}) = 511 or least({rest('e')}, {rest('t')}) >= {need})"
-    return f"{single('e')} = {single('t')} and ({unknown} or ({lengths} and {parity})) and {position}"
+    return f"{single('e')} = {single('t')} and ({unknown} or ({lengths} and {parity}))"
+
+
+def _position() -> str:
+    """Members from the first meeting of a pair on, at least what its sizes ``m`` and ``n`` require.
+
+    ``rest`` is the most over the meetings. It holds for the first alone: later meetings of
+    a true pair may have less left, and all of them count towards :func:`_meetings`.
+    """
+    return f"(rest = 511 or rest >= {SHINGLE / (1 + SHINGLE)} * (m + n) - 1e-9)"
 
 
 def _meetings() -> str:
@@ -416,10 +421,13 @@ def split_overlaps(texts: DataFrame, threshold: float = 0.7) -> tuple[DataFrame,
             F.expr("cast(e.packed & 2047 as int)").alias("m"),
             F.expr("cast(t.packed & 1023 as int)").alias("n"),
         )
-        .agg(F.count("*").alias("met"))
+        .agg(
+            F.count("*").alias("met"),
+            F.expr("max(least(shiftright(e.packed, 11) & 511, shiftright(t.packed, 11) & 511))").alias("rest"),
+        )
         .withColumn("single", F.expr("m >= 1024"))
         .withColumn("m", F.expr("m & 1023"))
-        .where("met >= " + _meetings())
+        .where("met >= " + _meetings() + " and " + _position())
         .select("a", "b")
     )
     both = members.where("side = 'e'").select("cid").intersect(members.where("side = 't'").select("cid"))

@@ -133,6 +133,19 @@ def test_copies_on_both_sides_and_odd_texts(spark):
     assert overlap.overlap_pairs(sided(spark, rows).where("false")).count() == 0
 
 
+def test_meetings_that_rank_last_count(spark):
+    rng = random.Random(11)
+    common = " ".join(f"stock{i}" for i in range(60))
+    rows = []
+    for p in range(12):  # each text has 15 rare words, of which a pair shares a run of five
+        own = [[f"p{p}{s}{i}" for i in range(10)] for s in "et"]
+        shared = [f"p{p}shared{i}" for i in range(5)]
+        rows += [(f"{s}{p}", s, f"{common} {' '.join(o)} {' '.join(shared)}") for s, o in zip("et", own)]
+    rows += [(f"f{i}", rng.choice("et"), " ".join(rng.choices(VOCABULARY, k=80))) for i in range(40)]
+    got = {tuple(r) for r in overlap.overlap_pairs(sided(spark, rows)).collect()}
+    assert {(f"e{p}", f"t{p}") for p in range(12)} <= got == across(rows)
+
+
 def test_sides_of_spellings(spark):
     df = spark.createDataFrame([(" TRAIN ",), ("Dev",), ("final-eval",), (None,), ("other",)], "s string")
     got = [tuple(r) for r in df.select(overlap.side_of(F.col("s")), overlap.side_of(F.col("s"), overlap._PILOT_ROLE_OF)).collect()]
