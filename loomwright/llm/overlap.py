@@ -81,8 +81,22 @@ def side_of(column: Column, names: dict[str, str] = _ROLE_OF) -> Column:
     return out
 
 
+_SPLIT_OF = {"training": "train", "valid": "validation", "dev": "validation"}
+_PILOT_SPLIT_OF = {"train": "training", "dev": "development", "final-eval": "final_eval"}
+
+
+def split_of(column: Column, names: dict[str, str] = _SPLIT_OF) -> Column:
+    """A split or role by its one name; case and outer blanks don't count."""
+    out = cleaned = F.lower(F.regexp_replace(column, r"^\s+|\s+$", ""))
+    for spelling, name in names.items():
+        out = F.when(cleaned == spelling, F.lit(name)).otherwise(out)
+    return out
+
+
 def sided_texts(design: DataFrame, pilot: DataFrame, probes: DataFrame) -> DataFrame:
-    """``(rid, field, side, source, text)`` of the three tables; rows of neither side are left out."""
+    """``(rid, field, side, table, split, source, text)`` of the three tables; rows of neither
+    side are left out. The source is ``provenance.source`` of probes, ``provenance`` of pilot
+    passages and the book of designs, ``archive-<book>`` as in the keys of ``splits.py``."""
     told = F.expr(
         "concat_ws(' ', transform(filter(messages, m -> m.role in ('user', 'assistant')), m -> m.content))"
     )
@@ -92,7 +106,9 @@ def sided_texts(design: DataFrame, pilot: DataFrame, probes: DataFrame) -> DataF
                 F.col("id").alias("rid"),
                 F.lit(name).alias("field"),
                 side_of(F.col("split")).alias("side"),
-                F.lit("starter_design").alias("source"),
+                F.lit("starter_design").alias("table"),
+                split_of(F.col("split")).alias("split"),
+                F.concat(F.lit("archive-"), F.col("book").cast("string")).alias("source"),
                 F.col(name).alias("text"),
             )
             for name in ("prose", "source")
@@ -101,14 +117,18 @@ def sided_texts(design: DataFrame, pilot: DataFrame, probes: DataFrame) -> DataF
             F.col("id").alias("rid"),
             F.lit("text").alias("field"),
             side_of(F.col("role"), _PILOT_ROLE_OF).alias("side"),
-            F.lit("pilot_matched_v1").alias("source"),
+            F.lit("pilot_matched_v1").alias("table"),
+            split_of(F.col("role"), _PILOT_SPLIT_OF).alias("split"),
+            F.col("provenance").alias("source"),
             F.col("text"),
         ),
         probes.select(
             F.col("id").alias("rid"),
             F.lit("messages").alias("field"),
             side_of(F.col("split")).alias("side"),
-            F.lit("sft_mask_probes").alias("source"),
+            F.lit("sft_mask_probes").alias("table"),
+            split_of(F.col("split")).alias("split"),
+            F.col("provenance.source").alias("source"),
             told.alias("text"),
         ),
     ]
@@ -448,7 +468,7 @@ def overlap_pairs(texts: DataFrame, threshold: float = 0.7) -> DataFrame:
 
 
 def overlap_report(texts: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """For each table: records of the evaluation side, and how many of them overlap."""
+    """For each table, split and source: records of the evaluation side, and how many of them overlap."""
     links, members = split_overlaps(texts, threshold)
     hit = (
         links.select(F.col("a").alias("cid"))
@@ -458,9 +478,9 @@ def overlap_report(texts: DataFrame, threshold: float = 0.7) -> DataFrame:
         .distinct()
         .withColumn("hit", F.lit(1))
     )
-    asked = texts.where("side = 'e'").select("rid", "source").distinct()
+    asked = texts.where("side = 'e'").select("rid", "table", "split", "source").distinct()
     return (
         asked.join(hit, "rid", "left")
-        .groupBy("source")
+        .groupBy("table", "split", "source")
         .agg(F.count("*").alias("records"), F.count("hit").alias("overlapping"))
     )

@@ -44,7 +44,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping evaluation records per table."""
+    """Overlapping evaluation records per table, split and source."""
     return overlap.overlap_report(_sided(spark, sf_dir), 0.7)
 
 

@@ -146,6 +146,28 @@ def test_meetings_that_rank_last_count(spark):
     assert {(f"e{p}", f"t{p}") for p in range(12)} <= got == across(rows)
 
 
+def test_report_is_per_split_and_source(spark):
+    same, other = "one two three four", "five six seven eight"
+    design = spark.createDataFrame(
+        [("d1", 7, " Dev", same, None), ("d2", 7, "test", other, None), ("d3", None, "train", same, None)],
+        "id string, book long, split string, prose string, source string",
+    )
+    pilot = spark.createDataFrame(
+        [("p1", "final-eval", "human", same), ("p2", "development", "human", other), ("p3", "training", "human", other)],
+        "id string, role string, provenance string, text string",
+    )
+    probes = spark.createDataFrame(
+        [("m1", "test", ("north",), [("user", same)]), ("m2", "TEST ", ("south",), [("user", "nine ten")])],
+        "id string, split string, provenance struct<source:string>, messages array<struct<role:string,content:string>>",
+    )
+    got = {tuple(r) for r in overlap.overlap_report(overlap.sided_texts(design, pilot, probes)).collect()}
+    assert got == {
+        ("starter_design", "validation", "archive-7", 1, 1), ("starter_design", "test", "archive-7", 1, 1),
+        ("pilot_matched_v1", "final_eval", "human", 1, 1), ("pilot_matched_v1", "development", "human", 1, 1),
+        ("sft_mask_probes", "test", "north", 1, 1), ("sft_mask_probes", "test", "south", 1, 0),
+    }
+
+
 def test_sides_of_spellings(spark):
     df = spark.createDataFrame([(" TRAIN ",), ("Dev",), ("final-eval",), (None,), ("other",)], "s string")
     got = [tuple(r) for r in df.select(overlap.side_of(F.col("s")), overlap.side_of(F.col("s"), overlap._PILOT_ROLE_OF)).collect()]
