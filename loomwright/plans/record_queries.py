@@ -17,7 +17,16 @@ def _docs(spark, sf_dir):
 
 def document_sections(spark, sf_dir):
     """Sections of each document with their slugs."""
-    return R.sections(_docs(spark, sf_dir).where("kind in ('wiki', 'notes')"), "doc_id", "text")
+    return R.sections(_docs(spark, sf_dir), "doc_id", "text")
+
+
+def anchor_containment(spark, sf_dir):
+    """How many documents of any kind hold the title of each held-out item. The statement
+    of this name searches briefs only."""
+    items = table(spark, sf_dir, "heldout_items").select("item_id", "title")
+    held = _docs(spark, sf_dir).select("text").join(F.broadcast(items), F.contains(F.col("text"), F.col("title")))
+    rows = held.select("item_id", F.lit(1).alias("n")).unionAll(items.select("item_id", F.lit(0)))
+    return rows.groupBy("item_id").agg(F.sum("n").alias("holders"))
 
 
 def delimited_prose(spark, sf_dir):
@@ -164,13 +173,13 @@ STATEMENTS = {
     "rendered_steps": "select title, concat(title, ': ', style, ' (', genre, ')') as heading, count(*) as n from {starter_design} group by title, style, genre",
 }
 
-QUERIES = {
+QUERIES = {name: statement(sql) for name, sql in STATEMENTS.items()} | {
     f.__name__: f
     for f in (
-        document_sections, delimited_prose, blinded_packets, evidence_quotes, rouge_of_outputs, source_manifests,
+        document_sections, anchor_containment, delimited_prose, blinded_packets, evidence_quotes, rouge_of_outputs, source_manifests,
         unresolved_parents, chosen_edges, exact_rewards, token_bytes, resolved_links, held_out_authors, search_lines, same_rows,
     )
-} | {name: statement(sql) for name, sql in STATEMENTS.items()}
+}
 
 _BLANK = r"[\s\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _SLUG = "regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.session import table
+from loomwright.session import staged, table
 
 
 def _names(sql: str) -> set[str]:
@@ -150,8 +150,22 @@ def props_usage_merge(spark, sf_dir):
     return leaves.groupBy("path").agg(F.round(F.sum("value"), 6).alias("total"), F.count("*").alias("n"))
 
 
+def recursive_chain(spark, sf_dir):
+    """The ancestry of every customer: ``(start, node, depth)``, by the half of each key. The
+    statement of this name walks from three customers only."""
+    customers = table(spark, sf_dir, "customer").where("c_custkey is not null").select(F.col("c_custkey").cast("long").alias("node"))
+    walk = customers.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth"))
+    out = walk
+    while True:
+        up = walk.where("node > 0").select("start", F.floor(F.col("node") / 2).alias("node"), F.expr("depth + 1").alias("depth"))
+        walk = staged(up.join(customers, "node").select("start", "node", "depth"), "chain")
+        if walk.isEmpty():
+            return out
+        out = out.unionByName(walk)
+
+
 QUERIES = {name: statement(sql) for name, sql in STATEMENTS.items()} | {
-    f.__name__: f for f in (pivot_status, approx_parts, props_usage_merge)
+    f.__name__: f for f in (pivot_status, approx_parts, props_usage_merge, recursive_chain)
 }
 ORACLES = {name: sql.format(**{n: n for n in _names(sql)}) for name, sql in STATEMENTS.items()} | {
     "pivot_status": """select o_orderpriority, count(*) filter (where o_orderstatus = 'F') as "F", count(*) filter (where o_orderstatus = 'O') as "O", count(*) filter (where o_orderstatus = 'P') as "P" from orders group by 1""",

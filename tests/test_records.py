@@ -70,6 +70,22 @@ def test_staged_tables_are_read_again_and_dropped(spark):
         df.count()
 
 
+def test_all_customers_and_documents_are_read(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    keys = [1, 2, 3, 5, 10]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame(
+        [(1, "scene", "# One\nan anchor"), (2, "brief", "the anchor"), (3, "wiki", "none"), (4, None, None)], "doc_id long, kind string, text string"
+    ).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, "anchor"), (8, "absent"), (9, None)], "item_id long, title string").write.parquet(str(tmp_path / "heldout_items.parquet"))
+    rows = lambda name: sorted(tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).collect())
+    chains = {1: [1], 2: [2, 1], 3: [3, 1], 5: [5, 2, 1], 10: [10, 5, 2, 1]}
+    assert rows("recursive_chain") == sorted((s, n, d) for s, chain in chains.items() for d, n in enumerate(chain))
+    assert rows("anchor_containment") == [(7, 2), (8, 0), (9, 0)]
+    assert {r[0] for r in rows("document_sections")} == {1, 2, 3}
+
+
 def test_every_oracle_has_a_query():
     import __spark_entry__ as entry
 
