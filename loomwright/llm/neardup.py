@@ -34,14 +34,14 @@ from loomwright.llm.similar import class_texts, record_pairs, verified
 from loomwright.llm.textkit import WordHashes, bag_id, minhashes, mix, numbered, words
 from loomwright.session import staged
 
-COMMON = 0.08
+COMMON, FLOOR = 0.08, 50
 SHORT, FEW = 60, 0.3
 GROUPS, WIDTH, STEPS = 20, 2, (1, 3)
 NIBBLES, AGREE = 16, 4
 
 
 def common_words(texts: DataFrame, share: float = COMMON) -> list[str]:
-    """Words that stand in more than ``share`` of all texts, counted over all of them.
+    """Words that stand in more than ``share`` of all texts and in more than ``FLOOR``, counted over all of them.
 
     Their number is bounded by the mean number of different words of a text divided by
     ``share``, whatever the size of the corpus.
@@ -53,7 +53,7 @@ def common_words(texts: DataFrame, share: float = COMMON) -> list[str]:
     # every text also holds the empty word, whose count is the number of texts
     summed = staged(counted.groupBy("word").agg(F.count("*").alias("n")), "word-counts")
     total = summed.where("word = ''").agg(F.sum("n")).first()[0] or 0
-    return [row[0] for row in summed.where((F.col("word") != "") & (F.col("n") > share * total)).select("word").collect()]
+    return [row[0] for row in summed.where((F.col("word") != "") & (F.col("n") > max(share * total, FLOOR))).select("word").collect()]
 
 
 def _sign(bags: list[np.ndarray], seed: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,27 +2,32 @@
 
 Texts of the evaluation side and of the training side are sets of rare shingles: runs of
 ``WORDS`` words after the words that stand in more than ``COMMON`` of all texts are left
-out. A total order puts rare shingles first, so two texts whose shingle sets reach the
+out. Poor texts, which keep less than ``POOR`` of their words then, also are sets of
+shingles of all their words. A total order puts rare shingles first, so two texts whose shingle sets reach the
 similarity ``SHINGLE`` share a shingle among the first ``m - ceil(SHINGLE * m) + 1`` of
 both. Evaluation prefixes are the index, training prefixes probe it. Length, position
 and parity-bitmap filters, all of them upper bounds that lose nothing, leave few
 candidates; these are verified by the multiset similarity of their words.
 
-The join is exact for pairs that reach ``SHINGLE`` on rare shingles and the asked
-similarity on words. Five-word shingles of all words bound the word similarity more
+The join is exact for pairs that reach ``SHINGLE`` on rare shingles, or on shingles of all
+words if both are poor, and the asked similarity on words. A text that keeps less than
+``BARE`` has next to no rare shingles, and an edited form of it may keep up to ``RICH``:
+texts between ``POOR`` and ``RICH`` send those of their shingles of all words that a bare
+text of the other side holds. Five-word shingles of all words bound the word similarity more
 tightly, but here nine in ten of them are stock phrases that both sides share: they sent
 four times the rows. Texts of at most ``SHORT`` words are also indexed by their single
 words and joined exactly at 0.7; both texts of a pair fall under that bound whenever one
 has ``TINY`` words or fewer, and those have no shingles.
 
 Rarity and presence come from hashed tables of fixed size, built over all texts: for each
-side ``BUCKETS`` saturating counts and a bitmap of ``PRESENT`` places. Any order that both
+side ``BUCKETS`` counts and a bitmap of ``PRESENT`` places. Any order that both
 sides share keeps the filter exact, so hash collisions cost time only. A shingle that the
 other side's bitmap doesn't hold is not sent. A pair must also meet in as many prefix
-shingles as its sizes require (what both share, less what can lie beyond a prefix). A key that the counts show to be hot on
-either side is cut into a grid of cells: each row takes its own line of the grid and is
-repeated across, so every pair still meets in exactly one cell and no task gets more than
-about ``CELL`` rows of a side.
+shingles as its sizes require (what both share, less what can lie beyond a prefix). A key
+whose bucket has more than ``CELL`` rows on a side, and more than four times the mean
+bucket, is cut into a grid of cells: each row takes its own line of the grid and is
+repeated across, so every pair still meets in exactly one cell, and a cell gets about the
+greater of the two numbers of rows of a side, however hot the key is.
 
 Copies of a text are one class: rows of a class collapse after the exchange, before the
 join. Defined results: null splits or roles, null texts and texts without letters or
@@ -31,11 +36,13 @@ digits overlap with nothing; repeated rows count once.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +52,9 @@ from loomwright.llm.textkit import WordHashes, mix, words
 from loomwright.session import staged
 
 SHINGLE, WORDS, TINY, SHORT = 0.05, 4, 40, 57
+BARE, POOR, RICH = 0.15, 0.3, 0.52
 SINGLE = 0.7
+FAN = 16
 BUCKETS, PRESENT, BLOCK = 1 << 20, 1 << 26, 1 << 20
 KEY_BITS, COUNT_BITS = 40, 13
 CELL = 4096
@@ -139,6 +148,7 @@ def sided_texts(design: DataFrame, pilot: DataFrame, probes: DataFrame) -> DataF
 
 
 _U = np.uint64
+_MOST = (1 << 32) - 1
 
 
 class _Bags:
@@ -176,23 +186,45 @@ class _Bags:
         self.bits = room.view("<i8").copy()
         self.bits[:, 0] |= np.minimum(self.n, 65535)
 
-    def sets(self, owner: np.ndarray | None = None, value: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Set and key of every member: set 2i has the shingles of text i, 2i + 1 its words."""
-        keep = self.rare & (self.n > TINY)[self.owner]
+    def _runs(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Owner and value of every run of ``WORDS`` of the kept words of a text."""
         flat, of = self.flat[keep], self.owner[keep]
         at = np.arange(max(0, len(flat) - WORDS + 1))
         at = at[of[at] == of[at + WORDS - 1]]
         rolled = np.zeros(len(at), dtype=np.uint64)
         for k in range(WORDS):
             rolled = mix(rolled * _U(0x100000001B3) + flat[at + k])
+        return of[at], rolled
+
+    def richness(self) -> np.ndarray:
+        """The share of rare words of each text; texts that have no shingles count as rich."""
+        kept = np.bincount(self.owner[self.rare], minlength=len(self.n))
+        return np.where(self.n > TINY, kept / np.maximum(self.n, 1), 1.0)
+
+    def sets(
+        self, owner: np.ndarray | None = None, value: np.ndarray | None = None, rich: float = POOR
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Set and key of every member: set 3i has the rare shingles of text i, 3i + 1 its
+        words, 3i + 2 all its shingles if it is poorer than ``rich``."""
+        long = (self.n > TINY)[self.owner]
+        of, rolled = self._runs(self.rare & long)
+        share = self.richness()
+        poor_of, poor_rolled = of[:0], rolled[:0]
+        if (share < rich).any():
+            poor_of, poor_rolled = self._runs((share < rich)[self.owner])
         if value is None:
-            owner, value = self.numbered() if (self.n <= SHORT).any() else (of[:0], flat[:0])
+            owner, value = self.numbered() if (self.n <= SHORT).any() else (of[:0], rolled[:0])
         short = (self.n <= SHORT)[owner]
-        member = np.concatenate([2 * of[at], 2 * owner[short] + 1])
-        key = np.concatenate([rolled, mix(value[short] + _U(11))])
+        member = np.concatenate([3 * of, 3 * owner[short] + 1, 3 * poor_of + 2])
+        key = np.concatenate([rolled, mix(value[short] + _U(11)), mix(poor_rolled + _U(13))])
         return member, key >> _U(64 - KEY_BITS)
 
 
+def _bare(key: np.ndarray) -> np.ndarray:
+    """The keys under which the shingles of bare texts are marked a second time."""
+    return mix(key + _U(17)) >> _U(64 - KEY_BITS)
+
+
 def _bucket(key: np.ndarray) -> np.ndarray:
     return (key >> _U(KEY_BITS - 20)).astype(np.int64)
 
@@ -220,85 +252,102 @@ class Tables:
     """Shingle counts and presence bitmaps of the two sides."""
 
     def __init__(self) -> None:
-        self.counts = {s: np.zeros(BUCKETS, dtype="<u2") for s in ("e", "t")}
+        self.counts = {s: np.zeros(BUCKETS, dtype="<u4") for s in ("e", "t")}
+        self.bare = {s: False for s in ("e", "t")}
         self.present = {s: np.zeros(PRESENT // 8, dtype=np.uint8) for s in ("e", "t")}
 
-    def put(self, side: str, kind: str, block: int, data: bytes) -> None:
+    def merge(self, side: str, kind: str, block: int, places: np.ndarray, counts: bytes) -> None:
+        at = block * BLOCK + places
         if kind == "counts":
-            self.counts[side][block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(data, "<u2")
+            known = self.counts[side][at] + np.frombuffer(zlib.decompress(counts), "<u4").astype(np.int64)
+            self.counts[side][at] = np.minimum(known, _MOST)
+        elif kind == "present":
+            np.bitwise_or.at(self.present[side], at >> 3, (1 << (at & 7)).astype(np.uint8))
         else:
-            wide = BLOCK // 8
-            self.present[side][block * wide : (block + 1) * wide] = np.frombuffer(data, np.uint8)
+            self.bare[side] = True
 
     def holds(self, side: str, key: np.ndarray) -> np.ndarray:
         place = _place(key)
         return (self.present[side][place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
 
 
-def shingle_tables(texts: DataFrame, common: list[str]) -> Tables:
-    """The tables over all texts. What reaches the driver has a fixed size: for each side
-    ``BUCKETS`` counts of two bytes and ``PRESENT`` bits."""
+def shingle_tables(texts: DataFrame, common: list[str], rich: float = POOR) -> Tables:
+    """The tables over all texts; if some are bare, over the shingles up to ``RICH``. What reaches the driver has a fixed size: for each side
+    ``BUCKETS`` counts of four bytes and ``PRESENT`` bits. The tables of the tasks are
+    merged in a tree, ``FAN`` at a time."""
     left_out = frozenset(common)
-    schema = "side string, kind string, block int, places binary, counts binary"
+    schema = "side string, kind string, block int, part int, places binary, counts binary"
 
-    def blocks(side: str, kind: str, places: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ends = np.searchsorted(places, np.arange(0, places[-1] + BLOCK + 1, BLOCK))
-        used = [b for b in range(len(ends) - 1) if ends[b] < ends[b + 1]]
-        cuts = [slice(ends[b], ends[b + 1]) for b in used]
-        yield pa.RecordBatch.from_arrays(
+    def rows(side: str, kind: str, part: int, cut: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
             [
-                pa.array([side] * len(used)),
-                pa.array([kind] * len(used)),
-                pa.array(used, pa.int32()),
-                pa.array([_pack(places[c] % BLOCK) for c in cuts], pa.binary()),
-                pa.array([counts[c].astype("<u2").tobytes() for c in cuts], pa.binary()),
+                pa.array([side] * len(cut)),
+                pa.array([kind] * len(cut)),
+                pa.array([b for b, _, _ in cut], pa.int32()),
+                pa.array([part] * len(cut), pa.int32()),
+                pa.array([_pack(places) for _, places, _ in cut], pa.binary()),
+                pa.array([zlib.compress(counts.astype("<u4").tobytes(), 1) for _, _, counts in cut], pa.binary()),
             ],
-            names=["side", "kind", "block", "places", "counts"],
+            names=["side", "kind", "block", "part", "places", "counts"],
         )
 
+    def blocks(side: str, kind: str, part: int, places: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        ends = np.searchsorted(places, np.arange(0, places[-1] + BLOCK + 1, BLOCK))
+        used = [b for b in range(len(ends) - 1) if ends[b] < ends[b + 1]]
+        return rows(side, kind, part, [(b, places[ends[b] : ends[b + 1]] % BLOCK, counts[ends[b] : ends[b + 1]]) for b in used])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
         hashes = WordHashes(left_out)
         held: dict[str, list] = {"e": [], "t": []}
         counts = {s: np.zeros(BUCKETS, dtype=np.int64) for s in held}
+        bare = {s: False for s in held}
         for batch in _chunks(batches):
             bags = _Bags(batch.column("text").to_pylist(), hashes)
-            member, key = bags.sets()
-            is_e = (np.array(batch.column("side").to_pylist()) == "e")[member // 2]
-            for side, mine in (("e", key[is_e]), ("t", key[~is_e])):
-                if len(mine):
-                    counts[side] += np.bincount(_bucket(mine), minlength=BUCKETS)
-                    held[side].append(np.unique(_place(mine)).astype(np.int32))
+            member, key = bags.sets(rich=rich)
+            is_e = np.array(batch.column("side").to_pylist()) == "e"
+            none_left = (bags.richness() < BARE)[member // 3] & (member % 3 == 2)
+            is_e = is_e[member // 3]
+            for side, mine in (("e", is_e), ("t", ~is_e)):
+                if mine.any():
+                    counts[side] += np.bincount(_bucket(key[mine]), minlength=BUCKETS)
+                    twice = _bare(key[mine & none_left])
+                    bare[side] |= len(twice) > 0
+                    held[side].append(np.unique(_place(np.concatenate([key[mine], twice]))).astype(np.int32))
                 if len(held[side]) > 40:
                     held[side] = [np.unique(np.concatenate(held[side]))]
         for side in held:
             if held[side]:
                 places = np.unique(np.concatenate(held[side]))
-                yield from blocks(side, "present", places, np.zeros(0))
+                yield blocks(side, "present", part, places, np.zeros(0))
                 full = np.nonzero(counts[side])[0]
-                yield from blocks(side, "counts", full, np.minimum(counts[side][full], 65535))
+                yield blocks(side, "counts", part, full, np.minimum(counts[side][full], _MOST))
+            if bare[side]:
+                yield rows(side, "bare", part, [(0, np.zeros(1, dtype=np.int64), np.zeros(1))])
 
     def merge(group: pa.Table) -> pa.Table:
-        kind = group.column("kind")[0].as_py()
-        table = np.zeros(BLOCK, dtype=np.int32)
-        for places, counts in zip(group.column("places").to_pylist(), group.column("counts").to_pylist()):
-            at = _unpack(places)
-            table[at] += np.frombuffer(counts, "<u2") if kind == "counts" else 1
-        if kind == "counts":
-            data = np.minimum(table, 65535).astype("<u2").tobytes()
-        else:
-            data = np.packbits((table > 0).astype(np.uint8), bitorder="little").tobytes()
-        one = {c: group.column(c).slice(0, 1) for c in ("side", "kind", "block")}
-        return pa.table(one | {"data": pa.array([data], pa.binary())})
-
-    merged = (
-        texts.select("side", "text")
-        .mapInArrow(count, schema)
-        .groupBy("side", "kind", "block")
-        .applyInArrow(merge, "side string, kind string, block int, data binary")
-    )
+        side, kind, block, part = (group.column(c)[0].as_py() for c in ("side", "kind", "block", "part"))
+        table = np.zeros(BLOCK, dtype=np.int64)
+        for places, counts in zip(group.column("places"), group.column("counts")):
+            at = _unpack(places.as_py())
+            table[at] += np.frombuffer(zlib.decompress(counts.as_py()), "<u4") if kind == "counts" else 1
+        at = np.nonzero(table)[0]
+        merged = np.minimum(table[at], _MOST) if kind == "counts" else np.zeros(0)
+        return pa.Table.from_batches([rows(side, kind, part, [(block, at, merged)])])
+
+    merged = texts.select("side", "text").mapInArrow(count, schema)
+    tasks = texts.rdd.getNumPartitions()
+    while True:
+        tasks = -(-tasks // FAN)
+        fanned = merged.withColumn("part", F.floor(F.col("part") / FAN).cast("int"))
+        merged = fanned.groupBy("side", "kind", "block", "part").applyInArrow(merge, schema)
+        if tasks <= 1:
+            break
     out = Tables()
     for row in merged.collect():
-        out.put(row["side"], row["kind"], row["block"], bytes(row["data"]))
+        out.merge(row["side"], row["kind"], row["block"], _unpack(row["places"]), bytes(row["counts"]))
+    if rich == POOR and (out.bare["e"] or out.bare["t"]):
+        return shingle_tables(texts, common, RICH)
     return out
 
 
@@ -317,7 +366,8 @@ def prefix_rows(texts: DataFrame, common: list[str], tables: Tables) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         mean = {s: float(held.counts[s].mean()) for s in held.counts}
-        hot = {s: max(CELL, 50 * mean[s]) for s in mean}
+        hot = {s: max(CELL, math.ceil(4 * mean[s])) for s in mean}
+        bare = held.bare["e"] or held.bare["t"]
         hashes, seen = WordHashes(left_out), set()
         for batch in _chunks(batches):
             bags = _Bags(batch.column("text").to_pylist(), hashes)
@@ -329,8 +379,9 @@ def prefix_rows(texts: DataFrame, common: list[str], tables: Tables) -> DataFram
                 if bags.n[i] and pair not in seen:
                     seen.add(pair)
                     fresh[i] = True
-            member, key = bags.sets(words_of, value)
-            use = fresh[member // 2]
+            member, key = bags.sets(words_of, value, RICH if bare else POOR)
+            share = bags.richness()
+            use = fresh[member // 3]
             member, key = member[use], key[use]
             place = _bucket(key)
             rarity = held.counts["e"][place].astype(np.int64) + held.counts["t"][place]
@@ -339,17 +390,23 @@ def prefix_rows(texts: DataFrame, common: list[str], tables: Tables) -> DataFram
             line = np.unique(line)
             member = (line >> _U(KEY_BITS + COUNT_BITS)).astype(np.int64)
             key = line & _U((1 << KEY_BITS) - 1)
-            m = np.bincount(member, minlength=2 * len(sides))
+            m = np.bincount(member, minlength=3 * len(sides))
             start = np.concatenate([[0], np.cumsum(m)[:-1]])
             rank = np.arange(len(member)) - start[member]
-            threshold = np.tile([SHINGLE, SINGLE], len(sides))
+            threshold = np.tile([SHINGLE, SINGLE, SHINGLE], len(sides))
             prefix = m - np.ceil(threshold * m - 1e-9).astype(np.int64) + 1
-            is_e = (sides == "e")[member // 2]
-            use = (rank < prefix[member]) & np.where(is_e, held.holds("t", key), held.holds("e", key))
+            is_e = (sides == "e")[member // 3]
+            there = np.where(is_e, held.holds("t", key), held.holds("e", key))
+            if bare:
+                every = member % 3 == 2
+                twice = _bare(key)
+                near_bare = np.where(is_e, held.holds("t", twice), held.holds("e", twice))
+                there = np.where(every & (share >= POOR)[member // 3], near_bare, there)
+            use = (rank < prefix[member]) & there
             member, key, rank, is_e = (x[use] for x in (member, key, rank, is_e))
             place = _bucket(key)
             wide = {
-                s: np.where(held.counts[s][place] > hot[s], -(-held.counts[s][place].astype(np.int64) // CELL), 1)
+                s: np.where(held.counts[s][place] > hot[s], -(-held.counts[s][place].astype(np.int64) // hot[s]), 1)
                 for s in ("e", "t")
             }
             grid = (wide["e"] > 1) | (wide["t"] > 1)
@@ -360,16 +417,16 @@ def prefix_rows(texts: DataFrame, common: list[str], tables: Tables) -> DataFram
                 across = np.arange(len(back)) - np.repeat(np.cumsum(times) - times, times)
                 member, key, rank, is_e = member[back], key[back], rank[back], is_e[back]
                 wide_e, wide_t = wide["e"][back], wide["t"][back]
-                own = bags.cid[member // 2]
+                own = bags.cid[member // 3]
                 line_e = np.where(is_e, (own % wide_e.astype(np.uint64)).astype(np.int64), across)
                 line_t = np.where(is_e, across, (own % wide_t.astype(np.uint64)).astype(np.int64))
                 cell = (line_e * wide_t + line_t).astype(np.uint64)
                 moved = mix(key + cell * _U(0x9E3779B97F4A7C15)) >> _U(20)
                 key = np.where(cell > 0, moved, key)
             rest = np.minimum(m[member] - rank, 511).astype(np.uint64)
-            kind = (member & 1).astype(np.uint64)
+            kind = (member % 3 == 1).astype(np.uint64)
             packed = (key << _U(20)) | (rest << _U(11)) | (kind << _U(10)) | np.minimum(m[member], 1023).astype(np.uint64)
-            sizes = np.bincount(member // 2, minlength=len(sides))
+            sizes = np.bincount(member // 3, minlength=len(sides))
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             made = pa.RecordBatch.from_arrays(
                 [

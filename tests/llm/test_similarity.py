@@ -38,10 +38,11 @@ def corpus(seed, bases=40, size=90):
 
 
 def brute(rows, threshold):
+    bags = [(a, words(x)) for a, x in rows if x]
     return {
         tuple(sorted((a, b)))
-        for (a, x), (b, y) in itertools.combinations(rows, 2)
-        if a != b and x and y and common_share(words(x), words(y)) >= threshold
+        for (a, x), (b, y) in itertools.combinations(bags, 2)
+        if a != b and x and y and len({*x} & {*y}) * 4 >= len({*x}) and common_share(x, y) >= threshold
     }
 
 
@@ -146,6 +147,42 @@ def test_meetings_that_rank_last_count(spark):
     assert {(f"e{p}", f"t{p}") for p in range(12)} <= got == across(rows)
 
 
+@pytest.mark.parametrize("size", [2, 10, 32, 1000])
+def test_overlaps_of_stock_words_in_tables_of_any_size(spark, size):
+    rng = random.Random(size)
+    stock = [f"stock{i}" for i in range(600)]
+    rows = []
+    for p in range(size // 2):
+        told = rng.sample(stock, 100)
+        other = list(told)
+        for at in rng.sample(range(100), 2):
+            other[at] = rng.choice(stock) if p % 2 else f"own{p}n{at}"
+        rows += [(f"e{p}", "e", " ".join(told)), (f"t{p}", "t", " ".join(other))]
+    got = {tuple(r) for r in overlap.overlap_pairs(sided(spark, rows).repartition(3)).collect()}
+    assert len(got) >= size // 2 and got == across(rows)
+
+
+def test_a_bare_text_meets_its_form_with_rare_words(spark):
+    rng = random.Random(5)
+    stock = [f"stock{i}" for i in range(130)]
+    rows = [(f"f{i}", rng.choice("et"), " ".join(rng.sample(stock, 70) + [f"f{i}w{k}" for k in range(50)])) for i in range(300)]
+    for p in range(8):  # one side has no rare word, the other 40 of 140
+        told = rng.sample(stock, 100)
+        more = [w for i, w in enumerate(told) for w in ([w, f"p{p}w{i}"] if 5 <= i < 45 else [w])]
+        rows += [(f"e{p}", "e", " ".join(told)), (f"t{p}", "t", " ".join(more))]
+    got = {tuple(r) for r in overlap.overlap_pairs(sided(spark, rows)).collect()}
+    want = across(rows)
+    assert len(want) >= 8 and got == want
+
+
+def test_counts_do_not_saturate(spark):
+    tables = overlap.Tables()
+    places, more = np.array([3, 9]), overlap.zlib.compress(np.array([70_000, 2], dtype="<u4").tobytes())
+    tables.merge("e", "counts", 0, places, more)
+    tables.merge("e", "counts", 0, places, more)
+    assert tables.counts["e"][[3, 9]].tolist() == [140_000, 4]
+
+
 def test_report_is_per_split_and_source(spark):
     same, other = "one two three four", "five six seven eight"
     design = spark.createDataFrame(
