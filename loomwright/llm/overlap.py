@@ -61,7 +61,8 @@ CELL = 4096
 LANES = 6
 PARITY = 64 * LANES - 16
 _LANES = [f"b{k}" for k in range(LANES)]
-CHUNK = 1000
+CHUNK = (1 << 64 - KEY_BITS - COUNT_BITS) // 3
+"""Texts whose three sets can be numbered in the bits beside a key and its count."""
 
 _ROLE_OF = {
     "train": "t",
