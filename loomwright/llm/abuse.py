@@ -3,19 +3,24 @@
 Disguised words (digits and signs for letters, asterisks, repeated letters, letters set
 apart, invisible characters) pass a noisy-channel decoder: the characters of a word become
 a lattice of the letters they may stand for, each with a channel cost, and a Viterbi search
-finds the likeliest reading under a character language model. The model counts character
-n-grams (``ORDER``) over all words of the corpus and over the lexicon below; its size is
-bounded by the alphabet. The likeliest
-reading that is a term of the lexicon counts, else the likeliest common corpus word.
-
-The restored text is scored sentence by sentence. A cue is a set of words that must stand
+finds the likeliest reading under a character language model. The search is exact: it runs
+over the lattice and the tree of the known words at once and keeps the cheapest path to
+every node of the tree. Known are the common words of the corpus and the lexicon below,
+which has no precedence. The model counts character n-grams (``ORDER``) over all words of
+the corpus and over the lexicon; its size is bounded by the alphabet.
+
+The restored text is scored sentence by sentence by a logistic model whose features are
+cues, words and pairs of neighbouring words. A cue is a set of words that must stand
 together in a sentence, some of them from word classes (insults, slurs against a people,
-sexual acts, threats). An insult needs somebody it is aimed at: a second person, a name
-addressed, or a demeaned group; words such as "stupid", "cock" or "naked" alone are none.
-A document's score is the sum of the weights of its cues; it is listed from ``THRESHOLD``.
+sexual acts, threats). Words that are insults only when aimed at somebody (pig, trash) need
+a person right before them. Every cue starts with the prior weight ``CUE``, every word with
+none; :func:`fit` moves them by the labels of at most ``FIT`` labelled documents, allowing
+for wrong labels. A document's score is the highest probability of its sentences; it is
+listed from ``THRESHOLD``.
 
 Defined results: null, empty and blank texts score 0; repeated documents count once; a
-document of several languages is scored in each of them.
+document of several languages is scored in each of them; without labels the prior weights
+stand; a document that reviewers disagree on evenly counts as toxic.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ import math
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,17 +38,43 @@ from pyspark.sql import functions as F
 from loomwright.llm.textkit import kept
 from loomwright.session import staged
 
-ORDER, BEAM, THRESHOLD = 4, 300, 1.0
+ORDER, THRESHOLD = 4, 0.5
+LISTED = 4.0
+"""Weight of a word of the lexicon in the character model."""
+FIT = 4000
+"""The most labelled documents that the scores are fitted on."""
+CUE, BIAS = 8.0, -4.0
+CUE_SPREAD, WORD_SPREAD = 1.5, 0.4
+"""Prior weights of a cue and of none, and how far the labels may move a cue and a word."""
+WRONG_TOXIC, WRONG_CLEAN = 0.05, 0.05
+"""Assumed shares of toxic labels on clean documents and of the other way round."""
+LEADS, SUPPORT = 0.4, 4
+"""Weight from which a learned word makes a sentence worth scoring; documents it must stand in."""
 COMMON_SHARE = 0.0005
 ALPHABET = "abcdefghijklmnopqrstuvwxyzàâäáçéèêëíîïñóôöúùûüßœæ"
 
 # Word classes; fixed values.
 INSULTS = {
-    "en": "idiot idiots moron morons imbecile imbeciles cretin halfwit dimwit bastard bastards bitch bitches cunt cunts dick dicks dickhead dickheads dumbass dumbasses asshole assholes arsehole prick pricks wanker wankers whore whores slut sluts shithead shitheads twat twats scumbag scumbags scum pig pigs maggot maggots filth loser losers retard fool failure cow trash garbage",
-    "fr": "connard connards connasse salope salopes salaud salauds ordure ordures enculé pute putes abruti crétin imbécile débile merde pourriture raclure",
-    "de": "hurensohn hurensöhne arschloch arschlöcher wichser wichsers schlampe fotze vollidiot idiot missgeburt drecksau schwein dreckskerl abschaum",
-    "es": "gilipollas cabrón cabrones puta putas zorra imbécil idiota hijoputa capullo mierda escoria basura desgraciado maricón",
+    "en": "idiot idiots moron morons imbecile imbeciles cretin halfwit dimwit bastard bastards bitch bitches cunt cunts dickhead dickheads dumbass dumbasses asshole assholes arsehole wanker wankers whore whores slut sluts shithead shitheads twat twats scumbag scumbags retard",
+    "fr": "connard connards connasse salope salopes salaud salauds enculé pute putes abruti crétin imbécile",
+    "de": "hurensohn hurensöhne arschloch arschlöcher wichser wichsers fotze vollidiot idiot missgeburt drecksau dreckskerl",
+    "es": "gilipollas cabrón cabrones puta putas imbécil idiota hijoputa desgraciado maricón",
+}
+# Insults only when aimed at somebody.
+AIMED = {
+    "en": "dick dicks prick pricks scum pig pigs maggot maggots filth loser losers fool failure cow trash garbage",
+    "fr": "ordure ordures débile merde pourriture raclure porc con conne",
+    "de": "schlampe schwein abschaum",
+    "es": "zorra capullo mierda escoria basura",
+}
+SLURS = {
+    "en": "nigger niggers kike kikes faggot faggots tranny trannies wetback wetbacks raghead ragheads paki pakis gook gooks",
+    "fr": "bougnoule bougnoules youpin youpins tarlouze tarlouzes",
+    "de": "kanake kanaken schwuchtel schwuchteln judensau",
+    "es": "sudaca sudacas negrata negratas",
 }
+# What may stand between a person and an insult aimed at it.
+BETWEEN = "are re r is a an the such so just but little fat old absolute complete utter total damn lazy lying miserable sind bist ist ein eine elender elende petit petite gros grosse pauvre espèce de d es êtes un une eres una tan maldito maldita pedazo"
 SCORN = {
     "en": "worthless pathetic useless disgusting filthy ugly stupid dumb dumbest shitty goddamn stinking bloody fucking",
     "fr": "sale sales minable pathétique inutile dégoûtant",
@@ -69,9 +101,13 @@ PERSON = {
 }
 
 # Cues: category, weight, and terms that must all stand in one sentence. "A|B" is either
-# word, "@insult", "@scorn", "@vermin", "@sexual" and "@person" a word of that class.
+# word, "@insult", "@slur", "@scorn", "@vermin", "@sexual" and
+# "@person" a word of that class, "@aimed" one of AIMED right after a person.
 CUES = """
 insult 1 @person @insult
+insult 1 @aimed
+hate 1 @slur
+hate 1 those|all|every|the @slur|@vermin must|should|deserve die|hang|burn|rot|go
 insult 1 @person worthless|pathetic|useless|disgusting waste|failure|read|life|nothing|creature|excuse
 insult 1 you are|re nothing
 insult 1 you are dumbest|stupidest|ugliest|worst|disgusting @insult|read|met
@@ -182,7 +218,7 @@ _SENTENCE = re.compile(r"(?<=[.!?])[\"”»“']*\s+|[\r\n]+")
 _EDGE = ".,;:?\"'`´’‘“”„«»‹›()[]{}…-–—_<>/\\~#=&%^"
 _PARTS = re.compile(r"[^\W\d_]+")
 _STRANGE = re.compile(r"[^\W\d_][*@$!|€+(0-9]|[*@$!|€+0-9][^\W\d_]|([^\W\d_])\1\1", re.I)
-_CLASSES = {"insult": INSULTS, "scorn": SCORN, "vermin": VERMIN, "sexual": SEXUAL, "person": PERSON}
+_CLASSES = {"insult": INSULTS, "aimed": AIMED, "slur": SLURS, "scorn": SCORN, "vermin": VERMIN, "sexual": SEXUAL, "person": PERSON}
 
 
 def _class(name: str) -> frozenset[str]:
@@ -197,6 +233,8 @@ def _read_cues() -> list[tuple[str, float, list[frozenset[str]]]]:
         for term in terms:
             one: set[str] = set()
             for word in term.split("|"):
+                if word == "@insult" and len(terms) > 2:
+                    one |= _class("aimed")  # the other words aim it
                 one |= _class(word[1:]) if word.startswith("@") else set(_PARTS.findall(word))
             sets.append(frozenset(one))
         out.append((category, float(weight), sets))
@@ -204,9 +242,27 @@ def _read_cues() -> list[tuple[str, float, list[frozenset[str]]]]:
 
 
 _CUES = _read_cues()
-TERMS = frozenset(w for name in ("insult", "scorn", "vermin", "sexual") for w in _class(name) if len(w) > 2)
+TERMS = frozenset(w for name in ("insult", "aimed", "slur", "scorn", "vermin", "sexual") for w in _class(name) if len(w) > 2)
 LEXICON = TERMS | frozenset(w for _, _, sets in _CUES for s in sets for w in s if len(w) > 3)
 _LEAD = [min(sets, key=len) for _, _, sets in _CUES]
+_AIMED = _class("aimed")
+_FILLERS = _class("scorn") | frozenset(BETWEEN.split())
+
+
+def is_aimed(told: list[str]) -> bool:
+    """A word of ``AIMED`` follows a person, or stands before "like you"."""
+    person = _class_of_person
+    for i, word in enumerate(told):
+        if word in _AIMED:
+            back = i - 1
+            while back >= 0 and i - back <= 5 and told[back] in _FILLERS and told[back] not in person:
+                back -= 1
+            if back >= 0 and told[back] in person or told[i + 1 : i + 3] in (["like", "you"], ["as", "you"]):
+                return True
+    return False
+
+
+_class_of_person = _class("person")
 
 
 class CharModel:
@@ -252,7 +308,8 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             run += 1
         length = run - i
         if c == "*":
-            out.append([(a, 1.5) for a in ALPHABET])
+            edge = i == 0 or run == len(token)
+            out.append([("", 2.0)] * edge + [(a, 1.5) for a in ALPHABET])
         elif c in _LEET and not c.isalpha():
             for _ in range(min(length, 2)):
                 out.append([(a, 0.5) for a in _LEET[c]])
@@ -265,41 +322,57 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(token: str, model: CharModel, accepted: frozenset[str] | set[str]) -> str | None:
-    """The likeliest accepted reading of a disguised word, or null."""
-    paths: list[tuple[float, str]] = [(0.0, "")]
-    places = lattice(token)
-    if not places or len(places) > 30:
-        return None
-    for options in places:
-        grown: list[tuple[float, str]] = []
-        for cost, text in paths:
+class Known:
+    """The known words and their beginnings, the nodes of the tree that a reading walks."""
+
+    def __init__(self, words: Iterable[str]) -> None:
+        self.words = frozenset(words)
+        self.nodes = frozenset(w[:n] for w in self.words for n in range(len(w) + 1))
+
+    def __contains__(self, word: str) -> bool:
+        return word in self.words
+
+
+def decode(token: str, model: CharModel, known: Known) -> str | None:
+    """The likeliest known reading of a disguised word, or null if no known word fits."""
+    best: dict[str, float] = {"": 0.0}
+    for options in lattice(token):
+        grown: dict[str, float] = {}
+        for text, cost in best.items():
             for letters, extra in options:
                 now, total = text, cost + extra
                 for a in letters:
-                    context = ("^" * (ORDER - 1) + now)[-(ORDER - 1) :]
-                    total += model.cost(context, a)
+                    total += model.cost(("^" * (ORDER - 1) + now)[-(ORDER - 1) :], a)
                     now += a
-                grown.append((total, now))
-        grown.sort()
-        paths = grown[:BEAM]
-    ended = sorted((cost + model.cost(("^" * (ORDER - 1) + t)[-(ORDER - 1) :], "$"), t) for cost, t in paths)
-    for listed in (TERMS, LEXICON, accepted):
-        for _, text in ended:
-            if text in listed:
-                return text
-    return None
+                if now in known.nodes and total < grown.get(now, math.inf):
+                    grown[now] = total
+        best = grown
+    ended = [
+        (cost + model.cost(("^" * (ORDER - 1) + t)[-(ORDER - 1) :], "$"), t)
+        for t, cost in best.items()
+        if t and t in known
+    ]
+    return min(ended)[1] if ended else None
+
+
+class Weights:
+    """Bias and weights of the features; cues that are not listed have their prior weight."""
+
+    def __init__(self, bias: float = BIAS, learned: dict[str, float] | None = None) -> None:
+        self.bias, self.learned = bias, learned or {}
+        self.cues = [CUE * weight + self.learned.get(f"cue {n}", 0.0) for n, (_, weight, _) in enumerate(_CUES)]
+        self.leads = _LEAD_WORDS | {f for f, w in self.learned.items() if " " not in f and w >= LEADS}
 
 
 class Reader:
     """Restores and scores texts; readings of tokens are kept for later texts."""
 
-    def __init__(self, model: CharModel, accepted: frozenset[str]) -> None:
-        self.model, self.accepted = model, accepted
+    def __init__(self, model: CharModel, known: Known, weights: Weights | None = None) -> None:
+        self.model, self.known, self.weights = model, known, weights or Weights()
         self.kept: dict[str, tuple[tuple[str, ...], bool]] = {}
 
     def read(self, token: str) -> tuple[tuple[str, ...], bool]:
-        """The words of a raw token, and whether one of them can lead a cue."""
+        """The words of a raw token, and whether one of them makes a sentence worth scoring."""
         got = self.kept.get(token)
         if got is None:
             if len(self.kept) > 400_000:
@@ -313,16 +386,14 @@ class Reader:
         if "!" in core[-1:]:
             core = core.rstrip("!")
         words: tuple[str, ...] = tuple(_PARTS.findall(core))
-        if core not in self.accepted and len(core) > 2 and _STRANGE.search(core):
+        if core not in self.known and len(core) > 2 and _STRANGE.search(core):
             if core.strip("*").isalpha() and core.count("*") in (2, 4) and core[0] == core[-1] == "*":
                 words = (core.strip("*"),)  # emphasis
             else:
-                found = decode(core, self.model, self.accepted)
-                if found is None and core.rstrip("*") != core:
-                    found = decode(core.rstrip("*"), self.model, self.accepted)
+                found = decode(core, self.model, self.known)
                 if found is not None:
                     words = (found,)
-        return words, any(w in _LEAD_WORDS for w in words)
+        return words, any(w in self.weights.leads for w in words)
 
     def words(self, sentence: str) -> list[str]:
         """The restored words of a sentence; letters set apart are joined."""
@@ -332,7 +403,7 @@ class Reader:
         def join() -> None:
             whole = "".join(single)
             if len(single) >= 4 or len(single) == 3 and whole in TERMS:
-                found = decode(whole, self.model, self.accepted) if not whole.isalpha() else whole
+                found = decode(whole, self.model, self.known) if not whole.isalpha() else whole
                 out.append(found or whole)
             else:
                 out.extend(x for x in single if x.isalpha())
@@ -356,36 +427,68 @@ class Reader:
             join()
         return out
 
-    def score(self, text: str) -> dict[str, float]:
-        """Weights of the cues of a text by category."""
+    def sentences(self, text: str) -> Iterator[list[str]]:
+        """The restored words of each sentence."""
+        if "&" in text:
+            text = html.unescape(text)
+        for sentence in _SENTENCE.split(text):
+            yield self.words(sentence)
+
+    def judge(self, text: str) -> tuple[dict[str, float], float]:
+        """Probabilities by category of the sentences that reach ``THRESHOLD``, and the highest of all."""
         if "&" in text:
             text = html.unescape(text)
-        tokens = set(text.split())
         lead, apart = False, 0
-        for token in tokens:
+        for token in set(text.split()):
             if self.read(token)[1]:
                 lead = True
                 break
             apart += len(token) == 1 and token.isalpha()
         out: dict[str, float] = {}
-        shut_out = len(_NO_ENTRY.findall(text))
-        if shut_out:
-            out["hate"] = float(shut_out)
+        most = 0.0
+        if _NO_ENTRY.search(text):
+            most = out["hate"] = 1.0 / (1.0 + math.exp(-self.weights.bias - CUE))
         if not lead and apart < 3:
-            return out
+            return out, most
+        weights = self.weights
         for sentence in _SENTENCE.split(text):
-            held = set(self.words(sentence))
-            if held.isdisjoint(_LEAD_WORDS):
+            told = self.words(sentence)
+            held = set(told)
+            if held.isdisjoint(weights.leads):
                 continue
-            for (category, weight, sets), first in zip(_CUES, _LEAD):
-                if held.isdisjoint(first):
-                    continue
-                if all(not held.isdisjoint(s) for s in sets):
-                    out[category] = out.get(category, 0.0) + weight
-                    break
-        return out
+            cues = matched_cues(told, held)
+            z = weights.bias + sum(weights.cues[n] for n in cues)
+            if weights.learned:
+                z += sum(weights.learned.get(f, 0.0) for f in word_features(told, held))
+            p = 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
+            most = max(most, p)
+            if p >= THRESHOLD:
+                for name in {_CUES[n][0] for n in cues} or {"other"}:
+                    out[name] = max(out.get(name, 0.0), p)
+        return out, most
+
+    def score(self, text: str) -> dict[str, float]:
+        """Probabilities by category of the sentences that reach ``THRESHOLD``."""
+        return self.judge(text)[0]
+
+
+def matched_cues(told: list[str], held: set[str]) -> list[int]:
+    """The cues that a sentence fulfils."""
+    out = []
+    for n, first in enumerate(_LEAD):
+        if held.isdisjoint(first) or any(held.isdisjoint(s) for s in _CUES[n][2]):
+            continue
+        if n != _AIMED_CUE or is_aimed(told):
+            out.append(n)
+    return out
+
+
+def word_features(told: list[str], held: set[str]) -> set[str]:
+    """The words of a sentence and the pairs of neighbours."""
+    return held.union(f"{a} {b}" for a, b in zip(told, told[1:]))
 
 
+_AIMED_CUE = next(n for n, (_, _, sets) in enumerate(_CUES) if sets == [_AIMED])
 _LEAD_WORDS = frozenset(w for s in _LEAD for w in s)
 # a people shut out: "No <name> in our <place>"
 _NO_ENTRY = re.compile(r"\b(?:No|NO) [A-Z][\w'’]+(?: people)? (?:in|IN) (?:our|OUR) \w[\w-]*[!.]")
@@ -420,26 +523,119 @@ def language_model(documents: DataFrame) -> tuple[dict[str, float], list[str]]:
     summed = counts.select("word", "n").mapInArrow(count, "gram string, n double").groupBy("gram").agg(F.sum("n").alias("n"))
     grams = {row[0]: row[1] for row in summed.where("n > 1").collect()}
     for word in LEXICON:
-        for gram, w in word_grams(word, 10.0):
+        for gram, w in word_grams(word, LISTED):
             grams[gram] = grams.get(gram, 0.0) + w
     return grams, [row[0] for row in common.select("word").collect()]
 
 
-CATEGORIES = ("insult", "threat", "hate", "sexual")
+CATEGORIES = ("insult", "threat", "hate", "sexual", "other")
+
+
+def fit(reader: Reader, texts: list[str], toxic: list[bool], rounds: int = 400) -> Weights:
+    """Weights at the mode of their posterior, by gradient steps.
+
+    The prior of a cue is normal around ``CUE``, that of a word around 0; words and pairs
+    must stand in ``SUPPORT`` documents. A document is as toxic as its likeliest sentence;
+    its label teaches the sentences in proportion to their odds.
+    """
+    rows: list[set[str]] = []
+    owner: list[int] = []
+    support: dict[str, int] = {}
+    for i, text in enumerate(texts):
+        seen: set[str] = set()
+        for told in reader.sentences(text):
+            held = set(told)
+            if held:
+                found = word_features(told, held)
+                seen |= found
+                rows.append(found | {f"cue {n}" for n in matched_cues(told, held)})
+                owner.append(i)
+        for f in seen:
+            support[f] = support.get(f, 0) + 1
+    names = [f"cue {n}" for n in range(len(_CUES))] + sorted(f for f, n in support.items() if n >= SUPPORT and not f.startswith("cue "))
+    place = {f: n for n, f in enumerate(names)}
+    lists = [[place[f] for f in row if f in place] for row in rows]
+    if not lists or not any(toxic):
+        return Weights()
+    sizes = np.array([len(x) for x in lists])
+    flat = np.array([f for x in lists for f in x], dtype=np.int64)
+    of = np.repeat(np.arange(len(lists)), sizes)
+    own = np.array(owner)
+    starts = np.nonzero(np.diff(own, prepend=-1))[0]
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(lists))))
+    label = np.array(toxic)[own[starts]]
+    mean = np.array([CUE * _CUES[n][1] if n < len(_CUES) else 0.0 for n in range(len(names))])
+    spread = np.where(np.arange(len(names)) < len(_CUES), CUE_SPREAD, WORD_SPREAD)
+    w, bias = mean.copy(), BIAS
+    rate, moment = 0.05, np.zeros(len(names) + 1)
+    square = np.zeros(len(names) + 1)
+    for step in range(1, rounds + 1):
+        z = bias + np.bincount(of, weights=w[flat], minlength=len(lists))
+        top = np.maximum.reduceat(z, starts)
+        share = np.exp(z - top[group])
+        share /= np.bincount(group, weights=share)[group]
+        p = 1.0 / (1.0 + np.exp(-np.clip(top, -30, 30)))
+        slope = 1.0 - WRONG_TOXIC - WRONG_CLEAN
+        says = WRONG_TOXIC + slope * p
+        pull = slope * p * (1 - p) * np.where(label, -1.0 / says, 1.0 / (1.0 - says))
+        by_row = pull[group] * share
+        gradient = np.append(
+            np.bincount(flat, weights=by_row[of], minlength=len(names)) + (w - mean) / spread**2, pull.sum() + (bias - BIAS)
+        )
+        moment = 0.9 * moment + 0.1 * gradient
+        square = 0.99 * square + 0.01 * gradient**2
+        move = rate * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-6) * (1 - step / (rounds + 1))
+        w, bias = w - move[:-1], bias - move[-1]
+    learned = {
+        f: float(x - m if n < len(_CUES) else x) for n, (f, x, m) in enumerate(zip(names, w, mean)) if abs(x - m) >= 0.05
+    }
+    return Weights(float(bias), learned)
+
+
+def fitted_weights(documents: DataFrame, labels: DataFrame, shared) -> Weights:
+    """The weights from the labels of at most ``FIT`` documents, drawn by a hash of their ids.
+
+    The fit is one task over these documents; only the weights reach the driver.
+    """
+    voted = (
+        labels.where("toxic is not null and doc_id is not null")
+        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+        .agg((F.avg("toxic") >= 0.5).alias("is_toxic"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .limit(FIT)
+    )
+    texts = documents.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known = (
+        texts.join(F.broadcast(voted), "doc_id").groupBy("doc_id").agg(F.first("text").alias("text"), F.first("is_toxic").alias("is_toxic"))
+    )
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(group.column(c).to_pylist() for c in ("doc_id", "text", "is_toxic"))))
+        reader = Reader(CharModel(shared.value[0]), Known(shared.value[1]))
+        made = fit(reader, [r[1] for r in rows], [r[2] for r in rows])
+        told = {"": made.bias, **made.learned}
+        return pa.table({"feature": pa.array(list(told)), "weight": pa.array(list(told.values()), pa.float64())})
+
+    whole = known.withColumn("whole", F.col("doc_id") * 0)
+    got = {r[0]: r[1] for r in whole.groupBy("whole").applyInArrow(run, "feature string, weight double").collect()}
+    return Weights(got.pop("", BIAS), got)
 
 
-def score_documents(documents: DataFrame) -> DataFrame:
-    """``(doc_id, source, insult, threat, hate, sexual, score)`` of every document."""
+def score_documents(documents: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, source, insult, threat, hate, sexual, other, score)`` of every document."""
     grams, common = language_model(documents)
-    shared = documents.sparkSession.sparkContext.broadcast((grams, common))
+    context = documents.sparkSession.sparkContext
+    base = context.broadcast((grams, frozenset(common) | LEXICON))
+    weights = Weights() if labels is None else fitted_weights(documents, labels, base)
+    shared = context.broadcast((base.value[0], base.value[1], weights))
     schema = "doc_id long, source string, " + ", ".join(f"{c} double" for c in CATEGORIES) + ", score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = kept(shared, lambda made: Reader(CharModel(made[0]), frozenset(made[1]) | LEXICON))
+        reader = kept(shared, lambda made: Reader(CharModel(made[0]), Known(made[1]), made[2]))
         for batch in batches:
-            found = [reader.score(t) if t else {} for t in batch.column(2).to_pylist()]
-            parts = [pa.array([f.get(c, 0.0) for f in found], pa.float64()) for c in CATEGORIES]
-            whole = pa.array([sum(f.values()) for f in found], pa.float64())
+            found = [reader.judge(t) if t else ({}, 0.0) for t in batch.column(2).to_pylist()]
+            parts = [pa.array([f.get(c, 0.0) for f, _ in found], pa.float64()) for c in CATEGORIES]
+            whole = pa.array([p for _, p in found], pa.float64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *parts, whole],
                 names=["doc_id", "source", *CATEGORIES, "score"],
@@ -449,14 +645,14 @@ def score_documents(documents: DataFrame) -> DataFrame:
     return picked.mapInArrow(run, schema)
 
 
-def abusive_documents(documents: DataFrame) -> DataFrame:
+def abusive_documents(documents: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """``(doc_id)`` of the documents whose score reaches ``THRESHOLD``."""
-    return score_documents(documents).where(F.col("score") >= THRESHOLD).select("doc_id").distinct()
+    return score_documents(documents, labels).where(F.col("score") >= THRESHOLD).select("doc_id").distinct()
 
 
-def abuse_rates(documents: DataFrame) -> DataFrame:
+def abuse_rates(documents: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """Documents, abusive ones and their share for each source."""
-    scored = score_documents(documents)
+    scored = score_documents(documents, labels)
     return scored.groupBy("source").agg(
         F.count_distinct("doc_id").alias("documents"),
         F.count_distinct(F.when(F.col("score") >= THRESHOLD, F.col("doc_id"))).alias("abusive"),
@@ -466,14 +662,14 @@ def abuse_rates(documents: DataFrame) -> DataFrame:
     )
 
 
-def model_of(texts: Iterable[str]) -> tuple[CharModel, frozenset[str]]:
+def model_of(texts: Iterable[str]) -> tuple[CharModel, Known]:
     """The model of a few texts, for tests and single machines."""
     counts: dict[str, int] = {}
     for text in texts:
         for word in set(_PARTS.findall(text.lower())):
             counts[word] = counts.get(word, 0) + 1
     grams: dict[str, float] = {}
-    for word, weight in [*((w, math.log1p(n)) for w, n in counts.items()), *((w, 10.0) for w in LEXICON)]:
+    for word, weight in [*((w, math.log1p(n)) for w, n in counts.items()), *((w, LISTED) for w in LEXICON)]:
         for gram, w in word_grams(word, weight):
             grams[gram] = grams.get(gram, 0.0) + w
-    return CharModel(grams), frozenset(w for w, n in counts.items() if n >= 5) | LEXICON
+    return CharModel(grams), Known(frozenset(w for w, n in counts.items() if n >= 5) | LEXICON)

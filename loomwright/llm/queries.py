@@ -109,17 +109,17 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with abusive, hateful or sexual language."""
-    return abuse.abusive_documents(table(spark, sf_dir, "documents"))
+    return abuse.abusive_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
 
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A score for every document."""
-    return abuse.score_documents(table(spark, sf_dir, "documents"))
+    return abuse.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
 
 
 def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of such documents per source."""
-    return abuse.abuse_rates(table(spark, sf_dir, "documents"))
+    return abuse.abuse_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
 
 
 QUERIES = {"p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates, "p7_placement": p7_placement, "p7_report": p7_report, "p8_found": p8_found, "p8_report": p8_report, "p1_found": p1_found, "p2_found": p2_found, "p2_assignment": p2_assignment, "p2_shares": p2_shares, "p3_found": p3_found, "p3_rates": p3_rates, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_report": p6_report}

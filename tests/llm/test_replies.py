@@ -194,6 +194,7 @@ def reader():
         "What kind of blllloody dumbass writes this?", "The Velmari breed like v e r m i n.", "No Quellish in our library!",
         "Come near it again and I will cut your throat.", "Halt die Fresse, du H u r e n s o h n.", "Sale connaaaard, va crever.",
         "He wanted her on her knees with his di​ck in her mouth.", "Vete a la mierda, c**brón.",
+        "Those n1ggers should hang", "All faggots must die", "u r a k1ke", "You b i t c h", "He f.u.c.k.e.d her senseless", "You fat, lazy cow!",
     ],
 )
 def test_abuse_is_found_through_disguise(reader, text):
@@ -206,12 +207,53 @@ def test_abuse_is_found_through_disguise(reader, text):
         EN, "", "   ", "Rats and lice had ruined the plough.", "The damn lock stuck again.", "The oldest bitch had thirty pups in the canal.",
         "The cock crowed at low water.", "She posed naked for the sculptor.", '"That was a stupid plan of mine," he admitted.',
         "Avoid slurs and insults, even when the midwife is angry.", "The clinic leaflet about breast cancer lay there.", "*viejo* was kept",
+        "You can put the garbage out before breakfast.", "Have you fed the pigs?", "Your engine failure light came on.", "Tu as sorti les ordures ?",
     ],
 )
 def test_plain_language_is_none(reader, text):
     assert reader.score(text) == {}
 
 
+def test_the_likeliest_reading_needs_no_lexicon():
+    model, known = abuse.model_of(["The docks were full of ducks near the dock"] * 2000)
+    assert [abuse.decode(t, model, known) for t in ("d*cks", "d0ck", "l1c3", "w*rthless")] == ["docks", "dock", "lice", "worthless"]
+    assert abuse.decode("q*" * 40, model, known) is None
+
+
+def test_decoding_equals_a_search_of_all_readings():
+    model, known = abuse.model_of([EN] * 9)
+
+    def cost(token, word):
+        best = {"": 0.0}
+        for options in abuse.lattice(token):
+            best = {t + a: min(best[t] + x for t in best for b, x in options if t + b == t2) for t in best for a, _ in options for t2 in (t + a,)}
+        told = "^^^" + word + "$"
+        return best[word] + sum(model.cost(told[i - 3 : i], told[i]) for i in range(3, len(told))) if word in best else None
+
+    for token in ("l4nt3rn", "*f", "th*", "teeerm", "a$ked"):
+        costs = {w: c for w in known.words if len(w) <= 8 and (c := cost(token, w)) is not None} if token.count("*") < 2 else {}
+        assert abuse.decode(token, model, known) == (min(costs, key=lambda w: (costs[w], w)) if costs else None)
+
+
+def test_labels_move_the_weights(reader):
+    bad, good = [f"{EN} The zorgs are krelling number {i}." for i in range(40)], [f"{EN} Number {i} was late." for i in range(120)]
+    texts, toxic = bad + good, [True] * 38 + [False] * 120 + [True] * 2
+    weights = abuse.fit(reader, texts, toxic)
+    fitted = abuse.Reader(reader.model, reader.known, weights)
+    assert all(fitted.judge(t)[1] >= abuse.THRESHOLD for t in bad) and not any(fitted.score(t) for t in good)
+    assert abuse.fit(reader, [], []).learned == {} == abuse.fit(reader, good, [False] * 120).learned
+
+
+def test_labels_of_documents_are_used(spark):
+    rows = [(i, "s", f"{EN} The zorgs are krelling number {i}." if i % 3 == 0 else f"{EN} Number {i}.") for i in range(180)]
+    df = spark.createDataFrame([*rows, rows[0], (999, None, None)], "doc_id long, source string, text string")
+    votes = [(i, int(i % 3 == 0)) for i in range(150)] + [(0, 1), (1, None), (None, 1), (5000, 1)]
+    labels = spark.createDataFrame(votes, "doc_id long, toxic int")
+    got = {r.doc_id for r in abuse.abusive_documents(df, labels).collect()}
+    assert got == {i for i in range(180) if i % 3 == 0}
+    assert abuse.abusive_documents(df, labels.where("false")).count() == 0
+
+
 def test_scores_of_odd_documents(spark):
     df = spark.createDataFrame(
         [(1, "s", "You are a stupid idiot, you pig."), (1, "s", "You are a stupid idiot, you pig."), (2, "s", None), (3, None, ""), (4, "t", EN * 300)],
