@@ -2,15 +2,17 @@
 
 For every source and kind of text, the hazard of a length is the share of the texts
 still running at that length that end there. A field limit is a length whose hazard
-stands out from its neighbours' (``REACH`` lengths on either side, by window functions):
-its count is tested against the count the neighbours' hazard lets expect (a Poisson tail,
-bounded by Chernoff), and the lengths of a group are screened with false-discovery
-control at ``FALSE_RATE`` (Benjamini-Hochberg).
-
-A text is cut if it ends inside a word or sentence; at a significant length also endings
-that a writer may leave open elsewhere count (titles, list items, verse, links), and so
-does a quoted question or cry whose sentence would go on. Elsewhere the loss happened in
-transfer, and only an ending that no writer leaves is flagged.
+stands out from that of all lengths up to ``REACH`` away, those where no text ends
+included (by window functions): its count is tested against the count the neighbours'
+hazard lets expect (a Poisson tail, bounded by Chernoff), and the lengths of a group are
+screened with false-discovery control at ``FALSE_RATE`` (Benjamini-Hochberg). Stock
+sentences also pile up at one length; so the texts that end at a limit must besides be
+unfinished more often than those of the rest of the group, tested the same way.
+
+At a limit every unfinished ending is a cut, those included that a writer may leave open
+elsewhere (titles, list items, verse, links, code, bare answers, a quoted question or cry
+whose sentence would go on); ``how`` tells ``limit``. Elsewhere the loss happened in
+transfer, and only an ending that no writer leaves is flagged; ``how`` tells ``transfer``.
 
 Defined results: null, empty and blank texts and placeholders are not cut; a repeated
 record counts once; a text of only one line is judged as prose.
@@ -19,11 +21,12 @@ record counts once; a text of only one line is judged as prose.
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.session import staged
@@ -41,6 +44,8 @@ _CLOSERS = "\"'”’»“‘)]}*_`›"
 _ITEM = re.compile(r"\s*(?:[-*•+]|\d{1,3}[.)])\s+\S")
 _LABEL = re.compile(r"\s*(?:#{1,6}\s+\S|[^\W\d_][\w' ]{0,24}:\s+\S)")
 _FILE = re.compile(r"[\w/.-]+\.\w{1,5}$")
+_CODE = re.compile(r"(?:^|\s)(?:return|def|import|const|let|var|print)\b.*[(=:]|[;{}]\s*$|\w\(.*\)\s*[:=]|==|=>|->")
+_BARE_ANSWER = re.compile(r"[^.!?,;:…]{0,40}\s[-+]?[$€£]?\d[\d.,]*\s?%?")
 _LINK = re.compile(r"(?:https?://\S+|\[\[[^\[\]]+\]\]|\]\([^()\s]+\))$")
 
 
@@ -100,6 +105,10 @@ def ending(text: str | None) -> int:
         before = lines[-2].rstrip()
         if before.endswith(",") and len(before) <= 60 and len(line) <= 60 and line.strip():
             return OPEN  # verse
+    elif _BARE_ANSWER.fullmatch(body):
+        return OPEN  # one clause that ends on a number
+    if _CODE.search(line):
+        return OPEN
     return BROKEN
 
 
@@ -140,48 +149,77 @@ def with_endings(units: DataFrame) -> DataFrame:
 
 
 def length_limits(lengths: DataFrame) -> DataFrame:
-    """``(source, kind, length, hazard, expected)`` of the significant lengths.
+    """``(source, kind, length, hazard, expected)`` of the field limits.
 
-    ``lengths`` has ``source, kind, length``; a null source is a source of its own. The
-    windows run over counts per length, at most the longest text's length for a group.
+    ``lengths`` has ``source, kind, length, ending``; a null source is a source of its own.
+    The windows run over counts per length, at most the longest text's length for a group;
+    lengths where no text ends get a row of their own if they are near one where some do.
     """
     group = ["source", "kind"]
-    counted = lengths.where("length > 0").groupBy(*group, "length").agg(F.count("*").alias("n"))
+    counted = (
+        lengths.where((F.col("length") > 0) & (F.col("ending") != EMPTY))
+        .groupBy(*group, "length")
+        .agg(F.count("*").alias("n"), F.count_if(F.col("ending") != WHOLE).alias("unfinished"))
+    )
     by_length = Window.partitionBy(*group).orderBy("length")
-    running = counted.withColumn(
-        "at_risk", F.sum("n").over(by_length.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    whole = Window.partitionBy(*group)
+    running = (
+        counted.withColumn("at_risk", F.sum("n").over(by_length.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+        .withColumn("before", F.coalesce(F.lag("length").over(by_length), F.lit(0)))
+        .withColumn("others", F.sum("n").over(whole) - F.col("n"))
+        .withColumn("others_unfinished", F.sum("unfinished").over(whole) - F.col("unfinished"))
     )
+    # the lengths between two that occur, as far as they are near one of them
+    gap = F.expr(
+        f"if(length - before > 1, array_union(sequence(before + 1, least(before + {REACH}, length - 1)), "
+        f"sequence(greatest(before + 1, length - {REACH}), length - 1)), cast(array() as array<int>))"
+    )
+    silent = running.select(
+        *group, F.explode(gap).alias("length"), F.lit(0).cast("long").alias("n"), "at_risk",
+        *[F.lit(0).cast("long").alias(c) for c in ("unfinished", "others", "others_unfinished")],
+    )
     around = by_length.rangeBetween(-REACH, REACH)
     near = (
-        running.withColumn("near_n", F.sum("n").over(around) - F.col("n"))
+        running.drop("before")
+        .unionByName(silent)
+        .withColumn("near_n", F.sum("n").over(around) - F.col("n"))
         .withColumn("near_risk", F.sum("at_risk").over(around) - F.col("at_risk"))
+        .where("n > 0")
         .withColumn("expected", F.col("at_risk") * (F.col("near_n") + 0.5) / (F.col("near_risk") + 1.0))
+        .withColumn("expected_unfinished", F.col("n") * (F.col("others_unfinished") + 0.5) / (F.col("others") + 1.0))
     )
-    excess = F.col("n") * F.log(F.col("n") / F.col("expected")) - (F.col("n") - F.col("expected"))
-    tested = near.withColumn("log_p", F.when(F.col("n") > F.col("expected"), -excess).otherwise(F.lit(0.0)))
-    whole = Window.partitionBy(*group)
     ranked = (
-        tested.withColumn("rank", F.row_number().over(whole.orderBy("log_p", "length")))
+        near.withColumn("log_p", _log_tail("n", "expected"))
+        .withColumn("rank", F.row_number().over(whole.orderBy("log_p", "length")))
         .withColumn("tests", F.count("*").over(whole))
         .withColumn("passes", F.col("log_p") <= F.log(F.lit(FALSE_RATE) * F.col("rank") / F.col("tests")))
         .withColumn("last", F.max(F.when(F.col("passes"), F.col("rank"))).over(whole))
     )
-    return ranked.where((F.col("rank") <= F.col("last")) & (F.col("n") >= LEAST)).select(
+    stands_out = (F.col("rank") <= F.col("last")) & (F.col("n") >= LEAST)
+    unfinished = (F.col("unfinished") >= LEAST) & (_log_tail("unfinished", "expected_unfinished") <= math.log(FALSE_RATE))
+    return ranked.where(stands_out & unfinished).select(
         *group, "length", (F.col("n") / F.col("at_risk")).alias("hazard"), "expected"
     )
 
 
+def _log_tail(count: str, expected: str) -> Column:
+    """Chernoff's bound of the logarithm of a Poisson tail, 0 where the count is not above it."""
+    n, mean = F.col(count), F.col(expected)
+    return F.when(n > mean, n - mean - n * F.log(n / mean)).otherwise(F.lit(0.0))
+
+
 def cut_units(endings: DataFrame, limits: DataFrame) -> DataFrame:
-    """The units with ``cut`` set; ``endings`` as from :func:`with_endings`."""
+    """The units with ``cut`` and ``how`` set; ``endings`` as from :func:`with_endings`."""
     mark = limits.select(
         F.col("source").alias("l_source"), F.col("kind").alias("l_kind"), F.col("length").alias("l_length")
     )
     met = F.col("source").eqNullSafe(F.col("l_source")) & F.col("kind").eqNullSafe(F.col("l_kind")) & (
         F.col("length") == F.col("l_length")
     )
-    at_limit = F.col("l_length").isNotNull()
-    cut = (F.col("ending") == BROKEN) | (at_limit & F.col("ending").isin(OPEN, QUOTED))
-    return endings.join(mark, met, "left").withColumn("cut", cut).drop("l_source", "l_kind", "l_length")
+    at_limit = F.col("l_length").isNotNull() & F.col("ending").isin(OPEN, QUOTED, BROKEN)
+    how = F.when(at_limit, F.lit("limit")).when(F.col("ending") == BROKEN, F.lit("transfer"))
+    marked = endings.join(mark, met, "left").withColumn("how", how).withColumn("cut", F.col("how").isNotNull())
+    return marked.drop("l_source", "l_kind", "l_length")
 
 
 def cut_texts(probes: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -198,5 +236,6 @@ def cut_rates(probes: DataFrame, reviews: DataFrame) -> DataFrame:
     return units.groupBy("source").agg(
         F.count("*").alias("texts"),
         F.count_if("cut").alias("cut"),
+        F.count_if(F.col("how") == "limit").alias("at_limits"),
         (F.count_if("cut") / F.count("*")).alias("share"),
     )
