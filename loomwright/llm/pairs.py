@@ -4,15 +4,17 @@ A pair is a user message and the last assistant message without tool calls befor
 next user message, or a brief and its output. In this order a reply is
 
 * ``empty``: nothing, only blanks, or a placeholder;
-* ``refusal``: short, and a sentence outside quotation marks aligns with a refusal
-  template (longest common subsequence of words), while the rest is courtesy;
+* ``refusal``: a sentence outside quotation marks aligns with a refusal template (longest
+  common subsequence of words), while the rest is courtesy or speaks of the request; other
+  sentences may hold ``ASIDE`` words or a fifth of the reply, whatever its length;
 * ``truncated``: cut as :mod:`loomwright.llm.cuts` finds it;
 * ``copy``: the prompt stands in the reply. Shingle containment finds candidates; the
   longest common subsequence must then cover nearly all of the prompt, its instruction
-  included, and leave little else in the reply. A passage handed back without the
-  instruction that asked for it is no copy;
+  included, and leave little else in the reply. A prompt of under four words must be the
+  whole reply. A passage handed back without the instruction that asked for it is no copy;
 * ``other_language``: both languages are clear, they differ, and the prompt doesn't ask
-  for the reply's language.
+  for the reply's language. Languages are told by function words; texts in letters of
+  another script by their script.
 
 Defined results: a user message without a reply makes no pair; a null prompt can only
 have an empty, truncated or refused reply; null messages are passed over; a repeated
@@ -22,7 +24,8 @@ record counts once; a record without messages gives nothing.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -93,7 +96,41 @@ mis normas no permiten
 queda fuera de lo que puedo
 no voy a redactar
 no voy a escribir esa
+off the table for me
+not something i'm comfortable
+not something i am comfortable
+not something i can
+i'm not comfortable
+i am not comfortable
+i don't feel comfortable
+decline this request
+decline your request
+i refuse to
+je refuse de
+je ne suis pas à l'aise
+je préfère ne pas
+je ne peux pas vous aider
+ich lehne _ ab
+das kann ich nicht
+ich möchte _ nicht schreiben
+ich weigere mich
+me niego a
+prefiero no
+no puedo cumplir
+no puedo escribir
+no estoy en condiciones
+non posso aiutare
+não posso ajudar
+ik kan _ niet helpen
 """
+# Further templates: a person, a denial, and a verb of the task.
+DENIALS = "can't|cannot|can not|won't|will not|could not|couldn't|am not able to|am unable to|i'm unable to|i'm not able to|am not going to|i'm not going to|would rather not|i'd rather not|must decline to|have to refuse to"
+TASKS = "help|assist|write|draft|produce|create|provide|generate|comply|fulfil|fulfill|complete this|continue with|answer this|engage|discuss this|share this|support this"
+# Words of sentences that speak of the request.
+ABOUT = frozenset(
+    "request requests guidelines policy policies content topic assist help instead alternative alternatives rephrase apologize apologise apologies sorry understand appreciate "
+    "demande consignes désolé désolée aider sujet anfrage richtlinien leider helfen thema solicitud normas siento ayudar tema".split()
+)
 
 # Courtesy around a refusal, as word sequences.
 COURTESY = """
@@ -118,38 +155,68 @@ FUNCTION_WORDS = {
     "de": "der die das und ein eine einen einem einer den dem des nicht mit von zu im auf für ist sich war als hatte wie aus bei nach ohne dann er sie am zum vor unter weder noch niemand während seit aber es hieß habe ich",
     "es": "el los las una un y que en por con del al no se su para lo como más sin era desde había luego muy porque cuando nadie ni si pues hacia hasta tras bajo junto mientras de nunca entendió decían",
 }
+# Languages asked about only where none of the above is clear.
+FURTHER_WORDS = {
+    "it": "che non di il della nel anche perché gli più questo sono è del alla dei ma quando lo con una per si le era come",
+    "pt": "não uma os em com para é mais foi ao pela seu você também as do da dos na no que quando mas era como",
+    "nl": "het een van niet dat zijn ook maar voor aan wordt hij de en ik op met was naar bij toen er zij",
+}
+# Scripts of letters by the first words of their Unicode names.
+SCRIPTS = "CYRILLIC GREEK ARABIC HEBREW DEVANAGARI THAI HANGUL HIRAGANA KATAKANA CJK"
 _TELLING = {
     word: [lang for lang, listed in FUNCTION_WORDS.items() if word in listed.split()]
     for listed in FUNCTION_WORDS.values()
     for word in listed.split()
 }
 
+_FURTHER = {
+    word: [lang for lang, listed in FURTHER_WORDS.items() if word in listed.split()]
+    for listed in FURTHER_WORDS.values()
+    for word in listed.split()
+}
+
 # How a language is asked for.
 LANGUAGE_NAMES = {
     "en": "english anglais englisch inglés",
     "fr": "french français französisch francés",
     "de": "german allemand deutsch alemán",
     "es": "spanish espagnol spanisch español castellano",
+    "it": "italian italien italienisch italiano",
+    "pt": "portuguese portugais portugiesisch portugués português",
+    "nl": "dutch néerlandais niederländisch neerlandés holandés",
+    "CYRILLIC": "russian russe russisch ruso ukrainian bulgarian serbian",
+    "GREEK": "greek grec griechisch griego",
+    "ARABIC": "arabic arabe arabisch árabe persian urdu",
+    "HEBREW": "hebrew hébreu hebräisch hebreo",
+    "DEVANAGARI": "hindi sanskrit marathi nepali",
+    "THAI": "thai thaï tailandés",
+    "HANGUL": "korean coréen koreanisch coreano",
+    "CJK": "chinese chinois chinesisch chino mandarin japanese japonais japanisch japonés",
 }
 _ASKED = {name: lang for lang, listed in LANGUAGE_NAMES.items() for name in listed.split()}
 
-REFUSAL_WORDS = 60
+ASIDE = 14
 _QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|„[^“]*“|«[^»]*»")
 _SENTENCE = re.compile(r"(?<=[.!?:;])\s+|\n+")
 _TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
 
 
-def _templates(listed: str) -> list[tuple[list[str], frozenset[str], int]]:
-    """Words without the blanks, the words as a set, and the room they may take."""
-    out = []
+def _templates(listed: str) -> dict[str, list[tuple[list[str], frozenset[str], int]]]:
+    """By first word: words without the blanks, the words as a set, and the room they may take."""
+    out: dict[str, list] = {}
     for line in listed.strip().splitlines():
         told = line.split()
         wanted = [w for w in told if w != "_"]
-        out.append((wanted, frozenset(wanted), len(told) + (8 if "_" in told else 1)))
+        out.setdefault(wanted[0], []).append((wanted, frozenset(wanted), len(told) + (8 if "_" in told else 1)))
     return out
 
 
-_TEMPLATES = _templates(REFUSALS)
+def _crossed() -> str:
+    denials = [d if d.startswith("i'") else f"i {d}" for d in DENIALS.split("|")]
+    return "\n".join(f"{d} {t}" for d in denials for t in TASKS.split("|"))
+
+
+_TEMPLATES = _templates(REFUSALS + _crossed())
 _POLITE = _templates(COURTESY)
 
 
@@ -166,47 +233,71 @@ def common_length(a: list[str], b: list[str]) -> int:
     return len(a) - bin(row).count("1")
 
 
-def language(tokens: list[str]) -> str | None:
-    """The clear language of a text, by its function words; null if none is clear."""
-    counts = {"en": 0.0, "fr": 0.0, "de": 0.0, "es": 0.0}
+def script(text: str) -> str | None:
+    """The script of most letters if it is one of ``SCRIPTS``; kana count as CJK."""
+    if text.isascii():
+        return None
+    counts: dict[str, int] = {}
+    letters = 0
+    for c in text:
+        if c.isalpha():
+            letters += 1
+            if c > "\u036f":
+                name = unicodedata.name(c, "").split(" ")[0].split("-")[0]
+                if name in _SCRIPT_NAMES:
+                    name = "CJK" if name in ("HIRAGANA", "KATAKANA") else name
+                    counts[name] = counts.get(name, 0) + 1
+    best = max(counts, key=counts.get, default=None)
+    return best if best and 2 * counts[best] > letters else None
+
+
+_SCRIPT_NAMES = frozenset(SCRIPTS.split())
+
+
+def _clearest(tokens: list[str], telling: dict[str, list[str]], langs: Iterable[str]) -> str | None:
+    counts = dict.fromkeys(langs, 0.0)
     for t in tokens:
-        of = _TELLING.get(t)
+        of = telling.get(t)
         if of:
             for lang in of:
                 counts[lang] += 1.0 / len(of)
-    ranked = sorted(counts.items(), key=lambda x: -x[1])
-    (best, n), (_, second) = ranked[0], ranked[1]
+    (best, n), (_, second) = sorted(counts.items(), key=lambda x: -x[1])[:2]
     return best if n >= 2 and n >= 1.6 * second and n >= 0.12 * len(tokens) else None
 
 
+def language(tokens: list[str]) -> str | None:
+    """The clear language of a text, by its function words; null if none is clear."""
+    found = _clearest(tokens, _TELLING, FUNCTION_WORDS)
+    return found or _clearest(tokens, _FURTHER, FURTHER_WORDS)
+
+
 def asked_languages(prompt: str) -> set[str]:
     return {_ASKED[w] for w in words(prompt) if w in _ASKED}
 
 
-def _aligned(templates: list[tuple[list[str], frozenset[str], int]], sentence: list[str]) -> bool:
+def _aligned(templates: dict[str, list[tuple[list[str], frozenset[str], int]]], sentence: list[str]) -> bool:
     """The words of some template stand in the sentence in order and close together."""
     held = set(sentence)
-    for wanted, needed, room in templates:
-        if not needed <= held:
-            continue
-        for i, word in enumerate(sentence):
-            if word == wanted[0] and common_length(wanted, sentence[i : i + room]) == len(wanted):
+    for i, word in enumerate(sentence):
+        for wanted, needed, room in templates.get(word, ()):
+            if needed <= held and common_length(wanted, sentence[i : i + room]) == len(wanted):
                 return True
     return False
 
 
 def is_refusal(reply: str) -> bool:
     plain = reply.replace("’", "'")
-    if len(plain) > 1200 or len(_TOKEN.findall(plain)) > REFUSAL_WORDS:
-        return False
+    sentences = [_TOKEN.findall(x) for x in _SENTENCE.split(_QUOTED.sub(" ", plain.lower()))]
+    room = max(ASIDE, 0.2 * sum(map(len, sentences)))
     refused, other = False, 0
-    for sentence in _SENTENCE.split(_QUOTED.sub(" ", plain.lower())):
-        tokens = _TOKEN.findall(sentence)
+    for tokens in sentences:
         if _aligned(_TEMPLATES, tokens):
             refused = True
-        elif not _aligned(_POLITE, tokens):
+        elif ABOUT.isdisjoint(tokens) and not _aligned(_POLITE, tokens):
             other += len(tokens)
-    return refused and other <= 14
+            if other > room:
+                return False
+    return refused
 
 
 def _head(prompt: str) -> list[str]:
@@ -219,7 +310,9 @@ def _head(prompt: str) -> list[str]:
 
 
 def is_copy(prompt: str, reply: str, asked: list[str], given: list[str]) -> bool:
-    if len(asked) < 4 or len(given) < 3:
+    if len(asked) < 4:
+        return len(asked) > 1 and asked == given
+    if len(given) < 3:
         return False
     different = set(asked)
     if len(different.intersection(given)) < 0.6 * len(different):
@@ -246,10 +339,10 @@ def reply_defect(prompt: str | None, reply: str | None) -> str | None:
     asked, given = words(prompt), words(reply)
     if is_copy(prompt, reply, asked, given):
         return "copy"
-    of_reply = language(given)
+    of_reply = script(reply) or language(given)
     if of_reply is None:
         return None
-    of_prompt = language(asked)
+    of_prompt = script(prompt) or language(asked)
     if of_prompt is None or of_prompt == of_reply or of_reply in asked_languages(prompt):
         return None
     return "other_language"

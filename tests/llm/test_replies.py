@@ -25,11 +25,42 @@ def test_endings(text, want):
     assert cuts.ending(text) == want
 
 
+def length_rows(source, rng, cap=600, ending=cuts.WHOLE, at_cap=cuts.BROKEN):
+    lengths = [rng.randrange(100, 600) for _ in range(600)]
+    return [(source, "k", min(cap, n), at_cap if n >= cap else ending) for n in lengths]
+
+
 def test_limits_stand_out_of_their_neighbours(spark):
     rng = random.Random(1)
-    rows = [("s", "k", min(360, rng.randrange(100, 600))) for _ in range(600)] + [("t", "k", rng.randrange(100, 600)) for _ in range(600)]
-    got = cuts.length_limits(spark.createDataFrame(rows, "source string, kind string, length int")).collect()
+    rows = length_rows("s", rng, 360) + length_rows("t", rng) + length_rows("stock", rng, 360, at_cap=cuts.WHOLE)
+    rows += [("s", "k", None, cuts.WHOLE), (None, "k", 5, cuts.WHOLE), ("s", "k", 0, cuts.EMPTY)]
+    schema = "source string, kind string, length int, ending int"
+    got = cuts.length_limits(spark.createDataFrame(rows, schema)).collect()
     assert [(r.source, r.length) for r in got] == [("s", 360)]
+    assert cuts.length_limits(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_lengths_where_no_text_ends_count(spark):
+    # few and far between: every 9th length occurs twice, one of them eight times
+    rows = [("s", "k", n, cuts.WHOLE) for n in range(100, 1000, 9) for _ in range(2)] + [("s", "k", 550, cuts.BROKEN)] * 8
+    got = cuts.length_limits(spark.createDataFrame(rows, "source string, kind string, length int, ending int")).collect()
+    at_risk = sum(r[2] >= 550 for r in rows)
+    assert [r.length for r in got] == [550] and got[0].expected < 0.15 * at_risk / 9
+
+
+def test_the_limits_decide_what_is_cut_at_them(spark):
+    rng = random.Random(2)
+    rows = [(f"r{i}", 0, *r) for i, r in enumerate(length_rows("s", rng, 360, at_cap=cuts.OPEN) + length_rows("t", rng, 600, cuts.OPEN))]
+    df = spark.createDataFrame(rows, "record_id string, msg_pos int, source string, kind string, length int, ending int")
+    limits = cuts.length_limits(df)
+    cut = cuts.cut_units(df, limits).where("cut").groupBy("source", "how").count().collect()
+    assert [(r.source, r.how, r["count"]) for r in cut] == [("s", "limit", sum(r[2] == "s" and r[4] == 360 for r in rows))]
+    assert cuts.cut_units(df, limits.where("false")).where("cut").count() == 0
+
+
+@pytest.mark.parametrize("text", ["The answer is 42", "def f(x): return x", "x = [1, 2]; y = {}", "It costs $4.50"])
+def test_bare_answers_and_code_may_be_left_open(text):
+    assert cuts.ending(text) == cuts.OPEN
 
 
 PROBES = "id string, provenance struct<source:string>, messages array<struct<role:string,content:string,tool_call_id:string,tool_calls:array<struct<id:string>>>>, length int"
@@ -66,6 +97,14 @@ ASK = "Write a short scene in which the keeper finds the lantern and the tailor
         ("I'm sorry, but I can’t help with that request.", "refusal"),
         ("Hello! As a language model, I must decline to continue the mill passage. Thank you for understanding.", "refusal"),
         ("Lo siento, pero no puedo ayudar con esa petición.", "refusal"),
+        ("Apologies, producing this is off the table for me.", "refusal"),
+        ("That is not something I'm comfortable writing.", "refusal"),
+        ("I'd rather not draft a scene of that kind.", "refusal"),
+        ("I cannot help with this request. " + "The topic goes beyond what my guidelines cover, so please rephrase your request. " * 8, "refusal"),
+        ("I cannot write, the keeper thought. " + (EN + " ") * 5, None),
+        ("Il guardiano non trovò la lanterna perché il vento era forte e la barca che aspettava era già partita con gli altri.", "other_language"),
+        ("Смотритель поставил фонарь на стол и спросил, ушёл ли паром до бури.", "other_language"),
+        ("灯台守はランプをテーブルに置き、嵐の前に渡し船が出たかどうか尋ねた。", "other_language"),
         ('"I\'m sorry, I can\'t help you," said the baker, and the ferry left before anyone had asked.', None),
         ("I can't confirm who moved it. " + EN * 4, None),
         (ASK, "copy"), ("You asked: " + ASK, "copy"), ("> " + ASK.replace("boat", "cart"), "copy"), (ASK.lower(), "copy"),
@@ -214,6 +253,14 @@ def test_plain_language_is_none(reader, text):
     assert reader.score(text) == {}
 
 
+def test_short_prompts_can_be_copied_and_languages_asked_for():
+    assert pairs.reply_defect("Who wins?", "Who wins?") == "copy"
+    assert pairs.reply_defect("Who wins?", "Nobody wins.") is None and pairs.reply_defect("Hello", "Hello") is None
+    russian = "Смотритель поставил фонарь на стол и спросил, ушёл ли паром до бури."
+    assert pairs.reply_defect("Tell me in Russian what the keeper did with the lantern and the ferry.", russian) is None
+    assert pairs.reply_defect(russian, EN) == "other_language" and pairs.reply_defect(russian, "Кузнец взял письмо и ушёл домой до утра.") is None
+
+
 def test_the_likeliest_reading_needs_no_lexicon():
     model, known = abuse.model_of(["The docks were full of ducks near the dock"] * 2000)
     assert [abuse.decode(t, model, known) for t in ("d*cks", "d0ck", "l1c3", "w*rthless")] == ["docks", "dock", "lice", "worthless"]
