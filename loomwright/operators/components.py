@@ -4,8 +4,9 @@ Edges are contracted in two ways that alternate until nothing changes. Within ea
 partition a union-find replaces the edges by stars to the smallest node it knows, which
 shortens long chains at once. Then the large-star and small-star steps link every node to
 the smallest node around it (Kiveris and others, 2014, "Connected Components in MapReduce
-and Beyond"). The minimum around a node is a grouped aggregate, combined before the
-exchange, so a hub's edges are never gathered in one place.
+and Beyond"). A node's edges are dealt into ``PARTS`` parts by their other end: the minimum
+around a node is taken by part first, and goes back to the edges by part, so that a hub's
+edges are never gathered in one task.
 
 Defined results: loops and repeated edges don't matter; an empty graph gives no rows; a
 node without an edge is not listed.
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from loomwright.session import staged
 
 _EDGE = "u long, v long"
+PARTS = 256
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,8 +55,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step on edges ``u > v``."""
     down = edges.select("u", "v")
     around = down.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else down
-    lowest = around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    linked = around.join(lowest, "u")
+    around = around.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)))
+    by_part = around.groupBy("u", "part").agg(F.min("v").alias("m"))
+    lowest = by_part.groupBy("u").agg(F.min("m").alias("m")).withColumn("m", F.least("u", "m"))
+    linked = around.join(by_part.select("u", "part").join(lowest, "u"), ["u", "part"])
     moved = (
         linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         if large

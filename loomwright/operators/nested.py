@@ -194,21 +194,66 @@ def check_table(nodes: DataFrame, label: str = "checks", marker: str = "kind") -
     )
 
 
-def call_table(df: DataFrame, record_id: str, messages: str) -> DataFrame:
-    """One row for each tool call in an array of message structs; parent ``messages[i]``."""
-    return (
+def call_nodes(df: DataFrame, record_id: str, messages: str, keep: Iterable[str]) -> DataFrame:
+    """The adjacency rows of the tool calls in an array of message structs, with the scalars of ``keep``.
+
+    A call is an object under ``tool_calls``, its scalar fields and those of its
+    ``function`` are its scalar children. The fields are typed, so the rows come from
+    expressions; they have the columns of :func:`shred`, but nodes count calls only.
+    """
+    calls = (
         df.select(F.col(record_id).cast("string").alias("record_id"), F.posexplode(messages).alias("i", "m"))
         .where("m.tool_calls is not null")
-        .select("record_id", "i", F.posexplode("m.tool_calls").alias("child_pos", "c"))
+        .select("record_id", "i", F.posexplode("m.tool_calls").alias("j", "c"))
         .where("c is not null")
-        .select(
-            "record_id",
-            F.format_string("messages[%d]", "i").alias("parent_path"),
-            F.lit("tool_call").alias("child_kind"),
-            "child_pos",
-            F.coalesce(F.col("c.id"), F.lit("")).alias("child_id"),
+        .withColumn("node", F.expr("shiftleft(cast(i as bigint), 32) + j"))
+    )
+    fields = {f.name: f.dataType for f in calls.schema["c"].dataType.fields}
+    scalars = [(n, F.col(f"c.{n}")) for n, kind in fields.items() if not hasattr(kind, "fields")]
+    if "function" in fields and hasattr(fields["function"], "fields"):
+        scalars += [(f.name, F.col(f"c.function.{f.name}")) for f in fields["function"].fields]
+    wanted = frozenset(keep)
+
+    def row(kind: str, label: str, ordinal: Column, scalar: Column, own: bool) -> Column:
+        return F.struct(
+            (F.col("node") if own else F.lit(None).cast("bigint")).alias("node"),
+            (F.col("i").cast("bigint") if own else F.col("node")).alias("parent"),
+            F.format_string("messages[%d].tool_calls[%d]", "i", "j").alias("path"),
+            F.lit(label).alias("label"),
+            ordinal.cast("int").alias("ordinal"),
+            F.lit(kind).alias("kind"),
+            F.lit("tool_calls" if own else "").alias("parent_label"),
+            F.lit("array" if own else "object").alias("parent_kind"),
+            scalar.cast("string").alias("scalar"),
         )
-        .distinct()
+
+    rows = [row("object", "", F.col("j"), F.lit(None), True)]
+    rows += [row("scalar", name, F.lit(place), value, False) for place, (name, value) in enumerate(scalars) if name in wanted]
+    listed = calls.select("record_id", F.explode(F.array(*rows)).alias("n")).select("record_id", "n.*")
+    return listed.where("kind = 'object' or scalar is not null")
+
+
+def call_table(df: DataFrame, record_id: str, messages: str) -> DataFrame:
+    """One row for each tool call in an array of message structs; parent ``messages[i]``."""
+    return entities(call_nodes(df, record_id, messages, ["id"]), ["id"]).select(
+        "record_id",
+        F.split_part("path", F.lit("."), F.lit(1)).alias("parent_path"),
+        F.lit("tool_call").alias("child_kind"),
+        F.col("ordinal").alias("child_pos"),
+        F.coalesce("s_id", F.lit("")).alias("child_id"),
+    )
+
+
+def call_entities(df: DataFrame, record_id: str, messages: str) -> DataFrame:
+    """``(record_id, message, place, id, name, arguments)``: the calls with their fields."""
+    names = ["id", "name", "arguments"]
+    return entities(call_nodes(df, record_id, messages, names), names).select(
+        "record_id",
+        F.col("parent").cast("int").alias("message"),
+        F.col("ordinal").alias("place"),
+        F.col("s_id").alias("id"),
+        F.col("s_name").alias("name"),
+        F.col("s_arguments").alias("arguments"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwright.operators.nested import nested_children
+from loomwright.operators.nested import call_entities, nested_children
 from loomwright.session import table
 
 
@@ -19,7 +19,12 @@ def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("child_kind").count().withColumnRenamed("count", "n")
 
 
-QUERIES = {"p4_found": p4_found, "p4_counts": p4_counts}
+def p4_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entity table of the calls: place, id, function name and arguments."""
+    return call_entities(table(spark, sf_dir, "sft_mask_probes"), "id", "messages")
+
+
+QUERIES = {"p4_found": p4_found, "p4_counts": p4_counts, "p4_calls": p4_calls}
 
 _P4 = """
 with calls as (
@@ -65,5 +70,9 @@ found as (
 
 ORACLES = {
     "p4_found": _P4 + "select record_id, parent_path, child_kind, child_pos, child_id from found",
+    "p4_calls": """select distinct id as record_id, cast(i - 1 as integer) as message, cast(j - 1 as integer) as place, messages[i].tool_calls[j].id as id,
+ messages[i].tool_calls[j]."function".name as name, messages[i].tool_calls[j]."function".arguments as arguments
+ from (select id, messages, i, unnest(generate_series(1, len(messages[i].tool_calls))) as j
+       from (select id, messages, unnest(generate_series(1, len(messages))) as i from sft_mask_probes)) where messages[i].tool_calls[j] is not null""",
     "p4_counts": _P4 + "select child_kind, count(*) as n from found group by child_kind",
 }
