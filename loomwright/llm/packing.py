@@ -205,3 +205,36 @@ def packing_report(documents: DataFrame, capacities: DataFrame, path: str = VOCA
         "tokens",
         (F.col("tokens") / (F.col("windows") * F.col("capacity_tokens"))).alias("filled"),
     )
+
+
+def placement_faults(placed: DataFrame, sizes: DataFrame, capacities: DataFrame) -> DataFrame:
+    """``(pack_id, documents, misplaced, overfull)`` of a placement of ``sizes (doc_id, tokens)``.
+
+    A document is misplaced if its pieces don't follow each other from its first token to
+    its last, or if it is divided though it fits; a window is overfull above its capacity.
+    """
+    caps = capacities.where("capacity_tokens > 0").select("pack_id", "capacity_tokens").distinct()
+    pieces = placed.groupBy("pack_id", "doc_id").agg(
+        F.sum("tokens").alias("held"),
+        F.max(F.col("first_token") + F.col("tokens")).alias("last"),
+        F.count_distinct("first_token").alias("starts"),
+        F.count("*").alias("pieces"),
+    )
+    wanted = sizes.select("doc_id", F.col("tokens").alias("size")).join(F.broadcast(caps))
+    whole = (F.col("held") == F.col("size")) & (F.col("last") == F.col("size")) & (F.col("starts") == F.col("pieces"))
+    fits = (F.col("pieces") == 1) | (F.col("size") > F.col("capacity_tokens"))
+    documents = (
+        wanted.join(pieces, ["pack_id", "doc_id"], "full")
+        .groupBy("pack_id")
+        .agg(F.count("held").alias("documents"), F.count_if(~F.coalesce(whole & fits, F.lit(False))).alias("misplaced"))
+    )
+    windows = (
+        placed.groupBy("pack_id", "window_id").agg(F.sum("tokens").alias("held")).join(F.broadcast(caps), "pack_id")
+        .groupBy("pack_id").agg(F.count_if(F.col("held") > F.col("capacity_tokens")).alias("overfull"))
+    )
+    return documents.join(windows, "pack_id")
+
+
+def check_placement(documents: DataFrame, capacities: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """The faults of the placement of whole documents."""
+    return placement_faults(packed_documents(documents, capacities, path), token_counts(documents, path), capacities)

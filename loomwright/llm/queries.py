@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomwright.llm import abuse, cuts, leaks, neardup, overlap, packing, pairs, similar, splits
 from loomwright.session import table
@@ -30,6 +31,19 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_pairs(_passages(spark, sf_dir), 0.7)
 
 
+def p1_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every record with a text: records of one class hold the same bag of words."""
+    return neardup.near_duplicates(_passages(spark, sf_dir), 0.7)[1].select(
+        F.col("rid").alias("record_id"), F.col("cid").alias("class_id")
+    )
+
+
+def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes; with ``p1_members`` every pair of ``p1_found`` in linear space."""
+    links = neardup.near_duplicates(_passages(spark, sf_dir), 0.7)[0]
+    return links.select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), "similarity")
+
+
 def _sided(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.sided_texts(
         table(spark, sf_dir, "starter_design"),
@@ -87,6 +101,16 @@ def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.split_report(p2_assignment(spark, sf_dir))
 
 
+def p2_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of the assignment: none of its groups is parted and the shares are met."""
+    return splits.split_faults(_keyed(spark, sf_dir))
+
+
+def p7_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of the placement: none."""
+    return packing.check_placement(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_capacities"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold passages of held-out items."""
     return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"))
@@ -122,7 +146,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.abuse_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
 
 
-QUERIES = {"p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates, "p7_placement": p7_placement, "p7_report": p7_report, "p8_found": p8_found, "p8_report": p8_report, "p1_found": p1_found, "p2_found": p2_found, "p2_assignment": p2_assignment, "p2_shares": p2_shares, "p3_found": p3_found, "p3_rates": p3_rates, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_report": p6_report}
+QUERIES = {"p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates, "p7_placement": p7_placement, "p7_report": p7_report, "p8_found": p8_found, "p8_report": p8_report, "p1_found": p1_found, "p1_members": p1_members, "p1_links": p1_links, "p2_found": p2_found, "p2_assignment": p2_assignment, "p2_shares": p2_shares, "p2_check": p2_check, "p7_check": p7_check, "p3_found": p3_found, "p3_rates": p3_rates, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_report": p6_report}
 _P2 = """
 with recursive cleaned as (
   select id as record_id, regexp_replace(lower(trim(k, E' \\t\\n\\r')), '[\\s_-]+', '-', 'g') as k,
@@ -174,8 +198,17 @@ ORACLES: dict = {
     "p6_report": _P6.replace(
         "select distinct least(a.rid, b.rid) as id_a, greatest(a.rid, b.rid) as id_b from s join t a on a.tid = s.x join t b on b.tid = s.y",
         """, h as (select distinct a.rid from s join t a on a.tid = s.x),
- n as (select distinct rid, case when rid in (select id from starter_design) then 'starter_design' when rid in (select id from pilot_matched_v1) then 'pilot_matched_v1' else 'sft_mask_probes' end as source from t where side = 'e')
- select source, count(*) as records, count(h.rid) as overlapping from n left join h using (rid) group by source""",
+ n as (select distinct id as rid, 'starter_design' as "table", case lower(trim(split)) when 'test' then 'test' else 'validation' end as split, 'archive-' || book as source
+       from starter_design where prose is not null or source is not null
+ union select id, 'pilot_matched_v1', case when lower(trim(role)) in ('dev', 'development') then 'development' else 'final_eval' end, provenance from pilot_matched_v1 where text is not null
+ union select id, 'sft_mask_probes', case lower(trim(split)) when 'test' then 'test' else 'validation' end, provenance.source from sft_mask_probes where messages is not null)
+ select n."table", n.split, n.source, count(*) as records, count(h.rid) as overlapping from n left join h using (rid)
+ where rid in (select rid from t where side = 'e') group by all""",
     ),
+    # each document placed once for each capacity, its pieces in order, none divided that fits, no window overfull
+    "p7_check": """select p.pack_id, count(distinct d.doc_id) as documents, 0::bigint as misplaced, 0::bigint as overfull from pack_capacities p
+ cross join (select distinct doc_id from documents where text is not null and text <> '') d group by p.pack_id""",
+    "p2_check": """select count(distinct id) as records, 0::bigint as parted, 0.0::double as deviation
+ from (select id from starter_design union all select id from sft_mask_probes)""",
     "p2_found": _P2 + "select distinct record_id, group_key from placed join parted using (group_key)",
 }

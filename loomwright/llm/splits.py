@@ -9,7 +9,8 @@ parallel: components are dealt into blocks of about ``BLOCK``, every block is an
 block is kept. As every block meets the proportions, so does their sum. Components above
 ``GIANT`` of all records can't be balanced inside a block: there are at most
 ``1 / GIANT`` of them, so they are placed first and what they leave over is shared out as
-the blocks' target.
+the blocks' target. The ``LABELS`` - 1 most frequent labels are balanced one by one, the
+others as one label.
 
 Keys are compared after trimming, lower-casing and reading runs of blanks, ``_`` and
 ``-`` as one ``-``; null, empty, ``unknown``, ``anonymous`` and ``n/a`` are no keys.
@@ -192,7 +193,12 @@ def assign_splits(records: DataFrame, proportions: dict[str, float] | None = Non
     names = sorted(asked)
     shares = np.array([asked[n] for n in names]) / sum(asked.values())
     placed = staged(record_components(records), "split-components")
-    bins = placed.withColumn("bin", F.pmod(F.xxhash64("label"), F.lit(LABELS)).cast("int"))
+    ranked = placed.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LABELS - 1).collect()
+    spark = records.sparkSession
+    named = spark.createDataFrame([(r["label"], n) for n, r in enumerate(ranked)], "name string, bin int")
+    bins = placed.join(F.broadcast(named), F.col("label").eqNullSafe(F.col("name")), "left").select(
+        "component", F.coalesce("bin", F.lit(LABELS - 1)).alias("bin")
+    )
     counts = bins.groupBy("component", "bin").agg(F.count("*").alias("n"))
     totals = counts.groupBy("component").agg(
         F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("bins")
@@ -212,7 +218,6 @@ def assign_splits(records: DataFrame, proportions: dict[str, float] | None = Non
     left = np.maximum(room, 0)
     rest = left / left.sum() if left.sum() > 0 else shares
     blocks = max(1, math.ceil((number - len(giant)) / BLOCK))
-    spark = records.sparkSession
     large = spark.createDataFrame(put, "component long, split string")
     small = totals.join(large.select("component"), "component", "left_anti")
     dealt = small.withColumn("block", F.pmod(F.xxhash64("component", F.lit(17)), F.lit(blocks)))
@@ -258,3 +263,19 @@ def split_report(assigned: DataFrame) -> DataFrame:
     sizes = assigned.groupBy("split").agg(F.count("*").alias("records"))
     total = F.sum("records").over(Window.partitionBy(F.lit(0)))  # as many rows as splits
     return sizes.select("split", "records", (F.col("records") / total).alias("share"))
+
+
+def split_faults(records: DataFrame, proportions: dict[str, float] | None = None) -> DataFrame:
+    """``(records, parted, deviation)`` of an assignment: its records, the groups it parts,
+    and the largest distance of a split's share from the asked one, to two places."""
+    asked = proportions or PROPORTIONS
+    assigned = staged(assign_splits(records, asked), "split-assigned")
+    parted = (
+        assigned.where("group_key is not null")
+        .groupBy("group_key")
+        .agg((F.min("split") != F.max("split")).alias("parted"))
+        .agg(F.count_if("parted").alias("parted"))
+    )
+    shares = [F.abs(F.count_if(F.col("split") == name) / F.count("*") - F.lit(float(share))) for name, share in sorted(asked.items())]
+    sizes = assigned.agg(F.count("*").alias("records"), F.round(F.greatest(*shares), 2).alias("deviation"))
+    return sizes.join(parted).select("records", "parted", "deviation")  # one row each

@@ -72,6 +72,27 @@ def test_a_giant_component_goes_where_there_is_room(spark):
     assert splits.assign_splits(spark.createDataFrame([], RECORDS)).count() == 0
 
 
+def test_labels_are_balanced_one_by_one(spark):
+    rows = [(f"r{i}", None, f"l{i % 20}", [f"k{i // 2}"]) for i in range(4000)]
+    df = spark.createDataFrame([*rows, rows[0], ("null", None, None, None)], RECORDS).distinct()
+    got = {r.record_id: r.split for r in splits.assign_splits(df).collect()}
+    for label in range(20):
+        mine = [got[r[0]] for r in rows if r[2] == f"l{label}"]
+        assert abs(mine.count("train") / len(mine) - 0.8) <= 0.03
+    fault = splits.split_faults(df).first()
+    assert tuple(fault) == (4001, 0, 0.0)
+
+
+def test_faults_of_a_placement_are_told(spark):
+    sizes = spark.createDataFrame([(1, 30), (2, 150), (3, 10)], "doc_id long, tokens int")
+    caps = spark.createDataFrame([(1, 100), (2, None)], "pack_id int, capacity_tokens int")
+    good = [(1, "a", 0, 1, 0, 0, 30), (1, "b", 0, 2, 0, 0, 100), (1, "a", 1, 2, 1, 100, 50), (1, "a", 2, 3, 0, 0, 10)]
+    bad = [(1, "a", 0, 1, 0, 0, 15), (1, "b", 0, 1, 1, 15, 15), (1, "c", 0, 2, 0, 0, 150)]
+    schema = "pack_id int, window_id string, place int, doc_id long, piece int, first_token int, tokens int"
+    got = [tuple(packing.placement_faults(spark.createDataFrame(x, schema), sizes, caps).first()) for x in (good, bad)]
+    assert got == [(1, 3, 0, 0), (1, 2, 2, 1)]  # document 1 is divided, 3 missing
+
+
 def test_annealing_keeps_the_best():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 9, (60, 3)).astype(float)
