@@ -113,24 +113,71 @@ def matches_any(path: Column, patterns: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [path.rlike(glob_regex(p)) for p in patterns], F.lit(False))
 
 
+# Residue of web pages; fixed values.
+WEB_RESIDUE = (
+    r"(copyright|all rights reserved|privacy policy|\bcookies?\b|subscribe|sign in|log in|share this|follow us|"
+    r"contact us|terms of use|click here|read more|advertisement|sponsored|powered by)"
+)
+
+
 def clean_web(text: Column, min_words: int = 40) -> Column:
     """The lines of a page without navigation, credits and rules; null if little is left.
 
     A line goes if it is blank, has two bars or more, is a short residue line, or has no
     letters.
     """
-    lines = F.transform(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), strip)
-    residue = r"(?i)(cookie|privacy policy|terms of (use|service)|all rights reserved|subscribe|sign up|log in|share this|read more|copyright)"
+    lines = F.transform(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), strip)
     kept = F.filter(
         lines,
         lambda x: (x != "")
         & (F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit(""))) < 2)
-        & ~(x.rlike(residue) & (F.size(spaced(x)) < 12))
+        & ~(x.rlike("(?i)" + WEB_RESIDUE) & (F.size(spaced(x)) < 12))
         & ~x.rlike(r"^[^\p{L}]+$"),
     )
     return F.when(F.size(spaced(F.array_join(kept, " "))) >= min_words, F.array_join(kept, "\n"))
 
 
+def paragraphs(text: Column) -> Column:
+    """The trimmed paragraphs of a text, which blank lines part."""
+    return F.filter(F.transform(F.split(text, r"\n(?U:\s)*\n"), strip), lambda x: x != "")
+
+
+def opening(text: Column, min_chars: int = 800, max_chars: int = 2200) -> Column:
+    """The first prose paragraphs up to ``min_chars`` characters; null if there is none.
+
+    Title pages, production credits, chapter heads and short lines are passed over; a
+    result above ``max_chars`` ends at the last blank before.
+    """
+    letters = lambda x: F.length(F.regexp_replace(x, r"[^\p{L}]", ""))
+    capitals = lambda x: F.length(F.regexp_replace(x, r"[^\p{Lu}]", ""))
+    blanks = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
+    prose = F.filter(
+        paragraphs(text),
+        lambda x: ~x.rlike(r"(?i)^produced by\b")
+        & ~((letters(x) > 0) & (capitals(x) > 0.8 * letters(x)) & (F.length(x) < 120))
+        & ~(x.rlike(r"(?i)^(chapter|book|part|letter)\b") & (F.length(x) < 40))
+        & ~((F.length(x) < 80) & (blanks(x) < 8)),
+    )
+    start = F.struct(F.array().cast("array<string>").alias("taken"), F.lit(0).alias("size"))
+    more = lambda s, x: F.struct(F.concat(s["taken"], F.array(x)).alias("taken"), (s["size"] + F.length(x)).alias("size"))
+    body = F.aggregate(
+        prose, start, lambda s, x: F.when(s["size"] < min_chars, more(s, x)).otherwise(s), lambda s: F.array_join(s["taken"], "\n\n")
+    )
+    cut = strip(F.regexp_replace(F.substring(body, 1, max_chars), r" [^ ]*$", ""))
+    return F.when(F.length(body) > max_chars, cut).when(body != "", body)
+
+
+def fence(text: Column) -> Column:
+    """A run of backticks longer than any in the text, three at least."""
+    longest = F.array_max(F.transform(F.regexp_extract_all(text, F.lit("`+"), F.lit(0)), F.length))
+    return F.repeat(F.lit("`"), F.greatest(F.lit(3), F.coalesce(longest, F.lit(0)) + 1))
+
+
+def author_of(title: Column) -> Column:
+    """What stands after the last " by " of a title; null without one."""
+    return F.nullif(F.regexp_extract(title, r"(?s)^.* by (.*)$", 1), F.lit(""))
+
+
 def strip_wrapper(text: Column) -> Column:
     """The text between START and END markers of an archive; null without a START."""
     begin = r"(?is)\*\*\*\s*START OF (?:THE|THIS)[^*]*\*\*\*"

@@ -9,32 +9,105 @@ from loomwright.functions import text as T
 from loomwright.session import staged
 
 
+PREPARED = ("_body", "_folded", "_words", "_stripped", "_absent")
+
+
+def prepared(df: DataFrame, text: str = "text") -> DataFrame:
+    """The forms of a text that checks ask for, made once before a text meets its checks."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    return df.select(
+        *[c for c in df.columns if c != text],
+        body.alias("_body"),
+        T.fold(body).alias("_folded"),
+        F.size(T.spaced(body)).alias("_words"),
+        (T.strip(body) != "").alias("_stripped"),
+        F.col(text).isNull().alias("_absent"),
+    )
+
+
 def evaluate(df: DataFrame, text: str = "text") -> DataFrame:
     """Apply the check of each row to its text: adds ``status`` and ``passed``.
 
-    Columns of a check: ``kind``, ``wanted`` (array of strings), ``low``, ``high``. A
-    missing text fails the kinds that forbid something (the check has no subject); an
-    unknown kind is ``unknown_kind``; an unscored check has a null ``passed``.
+    Columns of a check: ``kind``, ``wanted`` (array of strings), ``low``, ``high``. The text
+    is a column, or stands in the columns of :func:`prepared`. A missing text fails the
+    kinds that forbid something (the check has no subject); an unknown kind is
+    ``unknown_kind``; an unscored check has a null ``passed``.
     """
-    body, folded = F.coalesce(F.col(text), F.lit("")), T.fold(F.coalesce(F.col(text), F.lit("")))
-    words = F.size(T.spaced(body))
-    holds = lambda w: F.contains(folded, T.fold(w))
+    kept = df.columns
+    rows = df if "_body" in kept else prepared(df.withColumn("_text", F.col(text)), "_text")
+    holds = lambda w: F.contains("_folded", T.fold(w))
     rules: dict[str, Column] = {
-        "nonempty": T.strip(body) != "",
+        "nonempty": F.col("_stripped"),
         "contains": F.exists("wanted", holds),
         "excludes": ~F.exists("wanted", holds),
         "excludes_all": ~F.exists("wanted", holds),
-        "word_range": words.between(F.col("low"), F.col("high")),
-        "exact": F.exists("wanted", lambda w: w == body),
-        "alias_answer": F.exists("wanted", lambda w: T.alias(w) == T.alias(body)),
+        "word_range": F.col("_words").between(F.col("low"), F.col("high")),
+        "exact": F.exists("wanted", lambda w: w == F.col("_body")),
+        "alias_answer": F.exists("wanted", lambda w: T.alias(w) == T.alias(F.col("_body"))),
     }
     passed, known = F.lit(None).cast("boolean"), list(rules)
     for kind, rule in rules.items():
         passed = F.when(F.col("kind") == kind, rule).otherwise(passed)
-    absent = F.col(text).isNull() & F.col("kind").isin("excludes", "excludes_all", "exact")
-    return df.withColumn(
-        "status", F.when(~F.col("kind").isin(*known), "unknown_kind").when(absent, "unscored").otherwise("ok")
-    ).withColumn("passed", F.when(absent, False).otherwise(passed))
+    absent = F.col("_absent") & F.col("kind").isin("excludes", "excludes_all", "exact")
+    status = F.when(~F.col("kind").isin(*known), "unknown_kind").when(absent, "unscored").otherwise("ok")
+    return rows.select(*kept, status.alias("status"), F.when(absent, False).otherwise(passed).alias("passed"))
+
+
+_LINK = r"\\[\\[([^\\]|#]+)(?:[#|][^\\]]*)?\\]\\]"
+
+
+def evaluate_files(df: DataFrame, before: str = "before", after: str = "after", seen: str = "seen") -> DataFrame:
+    """Apply the file check of each row: adds ``passed``, null for an unknown kind.
+
+    Columns: two file maps, ``seen`` (what successful reads and searches returned), and a
+    check with ``kind``, ``path``, ``wanted`` (array of strings) and ``high``. Kinds:
+
+    * ``protected``: the file at ``path`` is as it was; with ``wanted``, its first text
+      stands in the file before and after;
+    * ``allowed_changes``: every path that was added, removed or changed fits a pattern;
+    * ``kb_word_budget``: the files under ``kb/`` have at most ``high`` words;
+    * ``wiki_links``: ``kb/`` has two pages or more, all their ``[[links]]`` name pages, and
+      ``path`` (else ``kb/index.md``) reaches every page;
+    * ``evidence_exposed``: some of ``seen`` holds a wanted text, letter case aside.
+    """
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    rows = df.withColumns({
+        "_b": F.coalesce(before, none), "_a": F.coalesce(after, none), "_w": F.coalesce("wanted", F.array().cast("array<string>")),
+    }).withColumn("_kb", F.map_filter("_a", lambda p, t: p.startswith("kb/")))
+    was, now = F.try_element_at("_b", F.col("path")), F.try_element_at("_a", F.col("path"))
+    wanted = F.get("_w", F.lit(0))
+    protected = F.when(F.size("_w") == 0, was.eqNullSafe(now)).otherwise(
+        F.coalesce(F.contains(now, wanted) & F.contains(was, wanted), F.lit(False))
+    )
+    paths = F.array_union(F.map_keys("_b"), F.map_keys("_a"))
+    changed = F.filter(paths, lambda p: ~F.try_element_at("_b", p).eqNullSafe(F.try_element_at("_a", p)))
+    allowed = F.forall(changed, lambda p: F.exists("_w", lambda g: p.rlike(_glob(g))))
+    words = F.aggregate(F.transform(F.map_values("_kb"), lambda t: F.size(T.spaced(t))), F.lit(0), lambda s, n: s + n)
+    reach = F.expr(
+        "aggregate(sequence(1, greatest(size(_kb), 1)), array(coalesce(path, 'kb/index.md')), (s, _) -> array_distinct(concat(s, "
+        f"flatten(transform(filter(s, p -> map_contains_key(_kb, p)), p -> transform(regexp_extract_all(_kb[p], '{_LINK}', 1), "
+        "l -> concat('kb/', trim(l), '.md')))))))"
+    )
+    links = (
+        (F.size("_kb") >= 2)
+        & F.forall(reach, lambda p: F.map_contains_key("_kb", p))
+        & (F.size(F.array_except(F.map_keys("_kb"), reach)) == 0)
+    )
+    exposed = F.exists("_w", lambda w: F.exists(F.coalesce(seen, F.array().cast("array<string>")), lambda s: F.contains(T.fold(s), T.fold(w))))
+    kinds = {
+        "protected": protected, "allowed_changes": allowed, "kb_word_budget": words <= F.col("high"),
+        "wiki_links": links, "evidence_exposed": exposed,
+    }
+    passed = F.lit(None).cast("boolean")
+    for kind, rule in kinds.items():
+        passed = F.when(F.col("kind") == kind, rule).otherwise(passed)
+    return rows.select(*df.columns, passed.alias("passed"))
+
+
+def _glob(pattern: Column) -> Column:
+    """A shell pattern of ``*`` and ``?`` as an anchored regular expression."""
+    quoted = F.regexp_replace(pattern, r"([\\.^$+{}()|\[\]])", r"\\$1")
+    return F.concat(F.lit("^(?s:"), F.regexp_replace(F.regexp_replace(quoted, r"\*", ".*"), r"\?", "."), F.lit(")$"))
 
 
 def roll_up(checks: DataFrame, keys: list[str]) -> DataFrame:

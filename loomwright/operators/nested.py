@@ -292,3 +292,21 @@ def nested_children(probes: DataFrame, longform: DataFrame) -> DataFrame:
     nodes = shred(longform, F.col("spec_id"), F.col("body"), embedded=["checks"], keep=["id", "kind"])
     checks = check_table(nodes).where(F.col("parent_path").rlike(r"^cases\[\d+\](\.followups\[\d+\])?$"))
     return calls.unionByName(tools).unionByName(checks)
+
+
+def first_difference(pairs: DataFrame, key: str, left: str, right: str) -> DataFrame:
+    """``(key, path)``: the first path, members in key order and elements by place, where two
+    JSON documents differ; null where they are equal.
+
+    Both sides are shredded; a path differs if only one side has it or if kind or value
+    do. The root's path is empty. A document that is no JSON has no paths.
+    """
+    sides = [
+        shred(pairs, F.col(key), F.col(c)).select("record_id", "path", F.struct("kind", F.coalesce("scalar", F.lit("")).alias("scalar")).alias(name))
+        for c, name in ((left, "l"), (right, "r"))
+    ]
+    both = sides[0].join(sides[1], ["record_id", "path"], "full").where(~F.col("l").eqNullSafe(F.col("r")))
+    steps = F.transform(F.split("path", r"[.\[]"), lambda x: F.when(x.rlike(r"^\d+\]$"), F.lpad(x, 12, "0")).otherwise(x))
+    first = both.groupBy("record_id").agg(F.min(F.struct(steps.alias("steps"), "path"))["path"].alias("path"))
+    named = pairs.select(F.col(key).cast("string").alias("record_id")).distinct()
+    return named.join(first, "record_id", "left").select(F.col("record_id").alias(key), "path")

@@ -115,12 +115,21 @@ def rouge(df: DataFrame, key: str, reference: str, candidate: str) -> DataFrame:
 
 
 def manifest(df: DataFrame, group: str, key: str, value: str) -> DataFrame:
-    """``(group, members, digest)``: one hash over the ordered hashes of a group's members."""
-    each = df.select(F.col(group).alias("group"), F.col(key).alias("key"), F.sha2(F.col(value), 256).alias("h")).distinct()
+    """``(group, members, digest)``: one hash over the hashes of a group's members.
+
+    Members are dealt into blocks by the first four digits of their key's hash; a block's
+    hash is over its members in order, the digest over the hashes of the blocks in order,
+    so that no task gathers a whole group, only its at most 65,536 block hashes.
+    """
+    each = df.select(
+        F.col(group).alias("group"), F.substring(F.sha2(F.col(key), 256), 1, 4).alias("block"), F.col(key).alias("key"), F.sha2(F.col(value), 256).alias("h")
+    ).distinct()
     lines = F.transform(F.array_sort(F.collect_list(F.struct("key", "h"))), lambda x: F.concat(x["key"], F.lit(":"), x["h"]))
-    return each.where("h is not null").groupBy("group").agg(
-        F.count("*").alias("members"), F.sha2(F.array_join(lines, "\n"), 256).alias("digest")
+    blocks = each.where("h is not null").groupBy("group", "block").agg(
+        F.count("*").alias("n"), F.sha2(F.array_join(lines, "\n"), 256).alias("b")
     )
+    told = F.transform(F.array_sort(F.collect_list(F.struct("block", "b"))), lambda x: x["b"])
+    return blocks.groupBy("group").agg(F.sum("n").alias("members"), F.sha2(F.array_join(told, "\n"), 256).alias("digest"))
 
 
 def unresolved(df: DataFrame, reference: str, targets: DataFrame, target: str) -> DataFrame:

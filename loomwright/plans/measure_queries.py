@@ -61,7 +61,8 @@ def _rubric(spark, sf_dir) -> DataFrame:
         )
         for i, m, k, w, lo, hi, wt, rq in CHECKS
     ])
-    return C.evaluate(docs.withColumn("c", F.explode(wanted)).select("doc_id", "source", "text", "c.*")).drop("text")
+    told = C.prepared(docs).withColumn("c", F.explode(wanted))
+    return C.evaluate(told.select("doc_id", "source", *C.PREPARED, "c.*")).drop(*C.PREPARED)
 
 
 def checks_weighted(spark, sf_dir):
@@ -197,7 +198,8 @@ ORACLES = {
  m as (select l, r, avg(k) as k from k group by l, r)
  select m.l as "left", m.r as "right", round(x.k + y.k - 2 * m.k, 7) as mmd_squared from m left join m x on x.l = m.l and x.r = m.l left join m y on y.l = m.r and y.r = m.r where m.l <> m.r""",
     "nearest_vectors": f"with {_NEAR} select key, cast(place as integer) as place, neighbour, round(distance, 6) as distance from r where place < 5",
-    "bandwidth_median": f"with {_NEAR} select round(median(distance), 6) as sigma from r where place < 25 and distance > 0",
+    "bandwidth_median": f"""with e as (select vec_id, embedding::double[] as v from embeddings), d as (select {_DIST} as distance from e a join e b on a.vec_id < b.vec_id)
+ select round(median(distance), 6) as sigma from d where distance > 0""",
     "checks_weighted": f"""with {_CHECKED} select source, metric, round(sum(case when status = 'ok' and passed then weight else 0 end) / sum(case when status = 'ok' then weight end), 9) as value,
  case when bool_and(status = 'ok') then 'ok' else 'pending' end as status, count(*) filter (where status <> 'ok') as pending from k group by source, metric""",
     "checks_verdict": f"""with {_CHECKED}, v as (select source, doc_id, case when bool_or(required and not passed) then 0 when bool_or(required and status <> 'ok') then null else 1 end as verdict from k group by source, doc_id)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomwright.functions import numbers as N
 from loomwright.functions import text as T
 from loomwright.operators import records as R
+from loomwright.operators.nested import first_difference
 from loomwright.plans.relational_queries import _names, statement
 from loomwright.session import table
 
@@ -21,8 +23,7 @@ def document_sections(spark, sf_dir):
 
 
 def anchor_containment(spark, sf_dir):
-    """How many documents of any kind hold the title of each held-out item. The statement
-    of this name searches briefs only."""
+    """How many documents hold the title of each held-out item."""
     items = table(spark, sf_dir, "heldout_items").select("item_id", "title")
     held = _docs(spark, sf_dir).select("text").join(F.broadcast(items), F.contains(F.col("text"), F.col("title")))
     rows = held.select("item_id", F.lit(1).alias("n")).unionAll(items.select("item_id", F.lit(0)))
@@ -112,12 +113,13 @@ def search_lines(spark, sf_dir):
     return found.orderBy("doc_id", "line_number").limit(100)
 
 
-def same_rows(spark, sf_dir):
-    """Two plans of one count agree row for row; the result is empty."""
-    orders = table(spark, sf_dir, "orders")
-    one = orders.groupBy("o_custkey").agg(F.count("*").alias("n"))
-    two = orders.select("o_custkey", F.lit(1).alias("x")).groupBy("o_custkey").agg(F.sum("x").alias("n"))
-    return one.exceptAll(two).unionAll(two.exceptAll(one))
+def first_differences(spark, sf_dir):
+    """Where the bodies of two neighbouring long-form records first differ."""
+    bodies = table(spark, sf_dir, "longform_v1").select("spec_id", "body").where("body is not null").dropDuplicates(["spec_id"])
+    order = Window.partitionBy("role").orderBy("spec_id")
+    roles = table(spark, sf_dir, "longform_v1").select("spec_id", "role").distinct()
+    pairs = bodies.join(roles, "spec_id").withColumn("other", F.lag("body").over(order)).where("other is not null")
+    return first_difference(pairs, "spec_id", "other", "body")
 
 
 STATEMENTS = {
@@ -133,7 +135,7 @@ STATEMENTS = {
     "derived_key_join": "select count(*) as matched from (select distinct parent_id from {pilot_matched_v1}) p join (select distinct concat('archive-', cast(book as varchar(30))) as k from {starter_design} where book is not null) s on s.k = p.parent_id",
     "matched_references": "select p.genre, count(distinct p.id) as passages, count(distinct s.id) as designs from {pilot_matched_v1} p join {starter_design} s on concat('archive-', cast(s.book as varchar(30))) = p.parent_id group by p.genre",
     "binding_mismatch": "select count(*) as rows_differing from (select distinct id, title, parent_id from {pilot_matched_v1}) p join (select distinct book, title from {starter_design} where book is not null) s on concat('archive-', cast(s.book as varchar(30))) = p.parent_id and s.title <> p.title",
-    "anchor_containment": "select h.item_id, count(d.doc_id) as holders from {heldout_items} h left join {documents} d on contains(d.text, h.title) and d.kind = 'brief' group by h.item_id",
+    "anchor_containment": "select h.item_id, count(d.doc_id) as holders from {heldout_items} h left join {documents} d on contains(d.text, h.title) group by h.item_id",
     "missing_results": "select count(*) as missing from (select distinct doc_id from {documents}) d left join (select distinct doc_id from {doc_labels}) l on l.doc_id = d.doc_id where l.doc_id is null",
     # J14, J15, A31, A32, W16, W17
     "span_credit_join": """select sum(case when c.orders is null then 1 else 0 end) as uncovered, sum(case when t.lines is null then 1 else 0 end) as loose, count(*) as spans from
@@ -177,7 +179,7 @@ QUERIES = {name: statement(sql) for name, sql in STATEMENTS.items()} | {
     f.__name__: f
     for f in (
         document_sections, anchor_containment, delimited_prose, blinded_packets, evidence_quotes, rouge_of_outputs, source_manifests,
-        unresolved_parents, chosen_edges, exact_rewards, token_bytes, resolved_links, held_out_authors, search_lines, same_rows,
+        unresolved_parents, chosen_edges, exact_rewards, token_bytes, resolved_links, held_out_authors, search_lines, first_differences,
     )
 }
 
@@ -194,7 +196,7 @@ def _bag(n: int) -> str:
 
 
 ORACLES = {
-    "document_sections": rf"""with c as (select doc_id as key, string_split(regexp_replace(text, '(?m)^(#{{1,6}}[ \x{{a0}}]+\S)', chr(1) || '\1', 'g'), chr(1)) as l from documents where kind in ('wiki', 'notes') and text is not null),
+    "document_sections": rf"""with c as (select doc_id as key, string_split(regexp_replace(text, '(?m)^(#{{1,6}}[ \x{{a0}}]+\S)', chr(1) || '\1', 'g'), chr(1)) as l from documents where text is not null),
  e as (select key, i - 1 as ordinal, l[i] as body from (select *, unnest(generate_series(1, len(l))) as i from c)),
  t as (select key, ordinal, body, regexp_replace(regexp_extract(body, '^#{{1,6}}[ \x{{a0}}]+([^\n\r]*)', 1), '^{_BLANK}+|{_BLANK}+$', '', 'g') as title from e where ordinal > 0 or body <> ''),
  s as (select *, {_SLUG} as base from t), n as (select *, row_number() over (partition by key, base order by ordinal) - 1 as n from s)
@@ -209,8 +211,9 @@ ORACLES = {
     "rouge_of_outputs": f"""with t as (select distinct review_id as k, {_TOK.format('packet.brief')} as r, {_TOK.format('packet.output')} as c from judgment_review where packet.brief is not null and packet.output is not null),
  {_bag(1)}, {_bag(2)} select b1.k as key, case when b1.p > 0 and b1.q > 0 then round(2.0 * coalesce(b1.s, 0) / (b1.p + b1.q), 9) end as rouge1,
  case when b2.p > 0 and b2.q > 0 then round(2.0 * coalesce(b2.s, 0) / (b2.p + b2.q), 9) end as rouge2 from b1 join b2 using (k)""",
-    "source_manifests": """with h as (select distinct style, id, sha256(source) as h from worlds where source is not null)
- select style as "group", count(*) as members, sha256(string_agg(id || ':' || h, chr(10) order by id)) as digest from h group by style""",
+    "source_manifests": """with h as (select distinct style, id, substr(sha256(id), 1, 4) as k, sha256(source) as h from worlds where source is not null),
+ b as (select style, k, count(*) as n, sha256(string_agg(id || ':' || h, chr(10) order by id)) as b from h group by style, k)
+ select style as "group", sum(n)::bigint as members, sha256(string_agg(b, chr(10) order by k)) as digest from b group by style""",
     "unresolved_parents": "select parent_id as reference, count(*) as rows from pilot_matched_v1 where parent_id is not null and parent_id not in (select 'archive-' || book from starter_design where book is not null) group by parent_id",
     "chosen_edges": """with l as (select distinct l_partkey, l_quantity, l_suppkey::varchar as s from lineitem), m as (select l_partkey, min(l_quantity) as q from l group by l_partkey)
  select l.l_partkey, case when count(*) = 1 then min(s) end as edge, case when count(*) > 1 then 'tie' else 'ok' end as status from l join m on m.l_partkey = l.l_partkey and m.q = l.l_quantity group by l.l_partkey""",
@@ -225,5 +228,4 @@ ORACLES = {
     "search_lines": r"""with l as (select doc_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) as l from documents where text is not null),
  e as (select doc_id, i as line_number, l[i] as line from (select *, unnest(generate_series(1, len(l))) as i from l))
  select doc_id, line_number::integer as line_number, substr(line, 1, 1000) as line from e where contains(replace(lower(line), 'ß', 'ss'), 'lantern') order by doc_id, line_number limit 100""",
-    "same_rows": "select o_custkey, count(*) as n from orders where false group by o_custkey",
 } | {name: sql.format(**{n: n for n in _names(sql)}) for name, sql in STATEMENTS.items()}

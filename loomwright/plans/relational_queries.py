@@ -116,8 +116,6 @@ STATEMENTS = {
  window w as (partition by user_id order by ts, event_id rows between unbounded preceding and unbounded following)) t""",
     "request_assignment": """select c_custkey as slot, c_custkey % 6 as family, cast(floor(c_custkey / 6) as bigint) % 25 as source, cast(floor(c_custkey / 150) as bigint) % 3 as variant from {customer}""",
     "inspect_plan": "select count(*) as attempts, sum(p_size) as minutes from {part} where p_size > 10",
-    "recursive_chain": """with recursive walk(node, parent, depth) as (select c_custkey, cast(floor(c_custkey / 2) as bigint), 0 from {customer} where c_custkey in (7, 100, 149)
- union all select c.c_custkey, cast(floor(c.c_custkey / 2) as bigint), depth + 1 from walk join {customer} c on c.c_custkey = walk.parent where walk.node > 0) select node, depth from walk""",
     # annotated trajectories and reviews
     "judge_mean": "select source, count(*) as outputs, count(packet.output) as answered from {judgment_review} group by source",
     "coverage_grouping_sets": """select split, family, review_status, count(*) as n from {sft_mask_probes} group by grouping sets ((split), (family), (review_status))""",
@@ -151,8 +149,7 @@ def props_usage_merge(spark, sf_dir):
 
 
 def recursive_chain(spark, sf_dir):
-    """The ancestry of every customer: ``(start, node, depth)``, by the half of each key. The
-    statement of this name walks from three customers only."""
+    """The ancestry of every customer: ``(start, node, depth)``, by the half of each key."""
     customers = table(spark, sf_dir, "customer").where("c_custkey is not null").select(F.col("c_custkey").cast("long").alias("node"))
     walk = customers.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth"))
     out = walk
@@ -169,6 +166,8 @@ QUERIES = {name: statement(sql) for name, sql in STATEMENTS.items()} | {
 }
 ORACLES = {name: sql.format(**{n: n for n in _names(sql)}) for name, sql in STATEMENTS.items()} | {
     "pivot_status": """select o_orderpriority, count(*) filter (where o_orderstatus = 'F') as "F", count(*) filter (where o_orderstatus = 'O') as "O", count(*) filter (where o_orderstatus = 'P') as "P" from orders group by 1""",
+    "recursive_chain": """with recursive walk(start, node, depth) as (select c_custkey::bigint, c_custkey::bigint, 0 from customer
+ union all select w.start, c.c_custkey::bigint, depth + 1 from walk w join customer c on c.c_custkey = w.node // 2 where w.node > 0) select start, node, depth from walk""",
     "props_usage_merge": """select path, round(sum(v), 6) as total, count(*) as n from (select unnest(json_keys(props)) as path, props from events) t,
  lateral (select cast(json_extract(props, '$.' || path) as double) as v) group by path""",
 }

@@ -134,39 +134,37 @@ def wrapper_strip(spark, sf_dir):
     return wrapped.select("doc_id", F.length(T.strip_wrapper(F.col("text"))).alias("length"))
 
 
-def opening_prose(spark, sf_dir):
-    """the first prose lines up to 800 characters, without titles and credits.
+def _parted(spark, sf_dir):
+    """Documents whose scenes are parted by blank lines: every line end is doubled."""
+    return _docs(spark, sf_dir).select("doc_id", F.regexp_replace("text", r"\r\n?|\n", "\n\n").alias("text"))
 
-    Lines are paragraphs; a line is taken while the lines before it stay under the bound.
-    """
-    lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", r"\r\n?|\n")).alias("pos", "raw"))
-    p = lines.select("doc_id", "pos", T.strip(F.col("raw")).alias("p")).where("p <> ''")
-    letters = F.length(F.regexp_replace("p", r"[^\p{L}]", ""))
-    upper = F.length(F.regexp_replace("p", r"[^\p{Lu}]", ""))
-    blanks = F.length("p") - F.length(F.replace("p", F.lit(" "), F.lit("")))
-    kept = p.where(
-        ~((letters > 0) & (upper > 0.8 * letters) & (F.length("p") < 120))
-        & ~(F.col("p").rlike("(?i)^(produced by|chapter)") & (F.length("p") < 40))
-        & ~((F.length("p") < 80) & (blanks < 8))
-    )
-    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    taken = kept.withColumn("sum", F.coalesce(F.sum(F.length("p")).over(before), F.lit(0))).where("sum < 800")
-    return taken.groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.sum(F.length("p")).alias("characters"))
+
+def opening_prose(spark, sf_dir):
+    """the first prose paragraphs of each document."""
+    return _parted(spark, sf_dir).select("doc_id", F.sha2(T.opening(F.col("text")), 256).alias("opening"))
 
 
 def eligible_first3(spark, sf_dir):
-    """The first three lines of 30 to 300 words of each document."""
-    lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", r"\r\n?|\n")).alias("pos", "raw"))
-    sized = lines.select("doc_id", "pos", F.size(T.spaced(T.strip(F.col("raw")))).alias("words"))
+    """The first three paragraphs of 100 to 300 words of each document."""
+    listed = _parted(spark, sf_dir).select("doc_id", F.posexplode(T.paragraphs(F.col("text"))).alias("pos", "p"))
+    sized = listed.select("doc_id", "pos", F.size(T.spaced(F.col("p"))).alias("words"))
     first = Window.partitionBy("doc_id").orderBy("pos")
     return (
-        sized.where("words between 30 and 300")
+        sized.where("words between 100 and 300")
         .withColumn("k", F.row_number().over(first))
         .where("k <= 3")
         .select("doc_id", "pos", "words", "k")
     )
 
 
+def fenced_items(spark, sf_dir):
+    """The fence each item needs, and the author a title names."""
+    items = table(spark, sf_dir, "heldout_items").select(
+        "item_id", F.concat("text", F.repeat(F.lit("`"), (F.col("item_id") % 7).cast("int"))).alias("text"), F.concat("title", F.lit(" by "), "lang").alias("title")
+    )
+    return items.select("item_id", F.length(T.fence(F.col("text"))).alias("fence"), T.author_of(F.col("title")).alias("author"))
+
+
 def alias_answers(spark, sf_dir):
     """Titles as aliases and slugs."""
     items = table(spark, sf_dir, "heldout_items")
@@ -200,7 +198,7 @@ QUERIES = {
         lexical_by_lang, sentence_shape, distinct_macro_pooled, ngram_l2_lang, overlap_with_heldout,
         duplicate_output_rate, self_bleu_items, cross_jaccard_items, content_fingerprint, exact_dup_first,
         sample_power_source, clean_web_lines, wrapper_strip, opening_prose, eligible_first3, alias_answers,
-        seed_values, path_rules,
+        seed_values, path_rules, fenced_items,
     )
 }
 
@@ -272,19 +270,22 @@ ORACLES = {
  select source, kind, lang, samples, metric, case when samples < floor then 'insufficient_samples' else 'ok' end as status,
   case when samples < floor then null when samples >= enough then 'ok' else 'low' end as power from g, f""",
     "clean_web_lines": rf"""with l as (select * from {_LINES} where not (p = '' or len(p) - len(replace(p, '|', '')) >= 2
-   or (regexp_matches(p, '(?i)(cookie|privacy policy|terms of (use|service)|all rights reserved|subscribe|sign up|log in|share this|read more|copyright)') and len(list_filter(regexp_split_to_array(p, '{_BLANK}+'), lambda y: y <> '')) < 12)
+   or (regexp_matches(p, '(?i){T.WEB_RESIDUE}') and len(list_filter(regexp_split_to_array(p, '{_BLANK}+'), lambda y: y <> '')) < 12)
    or regexp_full_match(p, '[^\p{{L}}]+'))),
  j as (select doc_id, string_agg(p, chr(10) order by pos) as t from l group by doc_id)
  select d.doc_id, case when len(list_filter(regexp_split_to_array(j.t, '{_BLANK}+'), lambda y: y <> '')) >= 40 then sha256(j.t) end as cleaned from documents d left join j using (doc_id)""",
     "wrapper_strip": f"""select doc_id, case when doc_id % 2 = 0 then len({_strip('text')}) end as length from documents""",
-    "opening_prose": rf"""with k as (select * from {_LINES} where p <> ''
+    "fenced_items": """select item_id, greatest(3, item_id % 7 + 1)::integer as fence, lang as author from heldout_items""",
+    "opening_prose": rf"""with k as (select doc_id, row_number() over (partition by doc_id order by pos) as n, p from {_LINES} where p <> ''
+   and not regexp_matches(p, '(?i)^produced by\b')
    and not (len(regexp_replace(p, '[^\p{{L}}]', '', 'g')) > 0 and len(regexp_replace(p, '[^\p{{Lu}}]', '', 'g')) > 0.8 * len(regexp_replace(p, '[^\p{{L}}]', '', 'g')) and len(p) < 120)
-   and not (regexp_matches(p, '(?i)^(produced by|chapter)') and len(p) < 40) and not (len(p) < 80 and len(p) - len(replace(p, ' ', '')) < 8)),
- s as (select *, coalesce(sum(len(p)) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) as s from k)
- select doc_id, count(*) as paragraphs, sum(len(p))::bigint as characters from s where s < 800 group by doc_id""",
-    "eligible_first3": rf"""with w as (select doc_id, pos, len(list_filter(regexp_split_to_array(p, '{_BLANK}+'), lambda y: y <> '')) as words from {_LINES}),
- k as (select *, row_number() over (partition by doc_id order by pos) as k from w where words between 30 and 300)
- select doc_id, pos, words, k from k where k <= 3""",
+   and not (regexp_matches(p, '(?i)^(chapter|book|part|letter)\b') and len(p) < 40) and not (len(p) < 80 and len(p) - len(replace(p, ' ', '')) < 8)),
+ s as (select *, coalesce(sum(len(p)) over (partition by doc_id order by n rows between unbounded preceding and 1 preceding), 0) as s from k),
+ j as (select doc_id, string_agg(p, chr(10) || chr(10) order by n) as b from s where s < 800 group by doc_id)
+ select distinct d.doc_id, sha256(case when len(b) > 2200 then {_strip("regexp_replace(substr(b, 1, 2200), ' [^ ]*$', '')")} else b end) as opening from documents d left join j using (doc_id)""",
+    "eligible_first3": rf"""with w as (select doc_id, row_number() over (partition by doc_id order by pos) - 1 as pos, len(list_filter(regexp_split_to_array(p, '{_BLANK}+'), lambda y: y <> '')) as words from {_LINES} where p <> ''),
+ k as (select *, row_number() over (partition by doc_id order by pos) as k from w where words between 100 and 300)
+ select doc_id, cast(pos as integer) as pos, words, k from k where k <= 3""",
     "alias_answers": r"""select item_id, regexp_replace(trim(regexp_replace(replace(lower(title || '  .'), 'ß', 'ss'), '\s+', ' ', 'g')), '^[.!?]+|[.!?]+$', '', 'g') as alias,
  regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug from heldout_items""",
     "seed_values": """select item_id, ('0x' || substr(sha256(item_id::varchar), 1, 16))::ubigint::decimal(20, 0) as seed, sha256('item' || chr(0) || title) as domain_hash from heldout_items""",

@@ -9,6 +9,7 @@ from __future__ import annotations
 import html.parser
 import io
 import posixpath
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -25,20 +26,36 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, line, raw)``: lines numbered within a file from 1, blank ones included.
+
+    Files are read in splits: a line's number is its place in the split plus the lines of
+    the splits before, so no file has to fit in a task.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("place"),
+        F.col("value").alias("raw"),
+    )
+    splits = lines.groupBy("path", "split").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    return lines.join(offsets, ["path", "split"]).select(
+        "file", (F.col("place") - F.col("first") + F.col("before") + 1).alias("line"), "raw"
+    )
+
+
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """``(file, line, record, reason)``: a line that is no object with unique keys keeps a reason.
 
     Lines are numbered within a file, blank ones included, from 1.
     """
-    whole = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("n", "raw")
-    )
-    kept = whole.where(T.strip(F.col("raw")) != "")
+    kept = numbered_lines(spark, path).where(T.strip(F.col("raw")) != "")
     parsed = F.expr("schema_of_variant(try_parse_json(raw))")
     reason = F.when(parsed.isNull(), "invalid JSON or repeated key").when(~parsed.startswith("OBJECT"), "not an object")
-    return kept.select(
-        "file", (F.col("n") + 1).alias("line"), F.when(reason.isNull(), F.from_json("raw", schema)).alias("record"), reason.alias("reason")
-    )
+    return kept.select("file", "line", F.when(reason.isNull(), F.from_json("raw", schema)).alias("record"), reason.alias("reason"))
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -48,15 +65,26 @@ def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
 
 def read_positional_csv(spark: SparkSession, path: str) -> DataFrame:
-    """``(id, title, url, year)`` where only the title may hold commas."""
+    """``(id, title, url, year, reason)`` where only the title may hold commas; a line with
+    fewer than three commas keeps a reason, its text stands in ``title``."""
     line = F.col("value")
     pattern = r"^([^,]*),(.*),([^,]*),([^,]*)$"
     names = ("id", "title", "url", "year")
-    return spark.read.text(path).where(line.rlike(pattern)).select(
-        *[F.regexp_extract(line, pattern, k + 1).alias(n) for k, n in enumerate(names)]
+    fits = line.rlike(pattern)
+    return spark.read.text(path).select(
+        *[F.when(fits, F.regexp_extract(line, pattern, k + 1)).otherwise(line if n == "title" else F.lit(None)).alias(n) for k, n in enumerate(names)],
+        F.when(~fits, "fewer than four fields").alias("reason"),
     )
 
 
+def list_dir(files: DataFrame, path: str, folder: str, most: int = 500) -> DataFrame:
+    """The first ``most`` entries of a folder in order, folders marked by a slash."""
+    prefix = folder.strip("/") + "/" if folder.strip("/") else ""
+    inside = files.where(F.col(path).startswith(prefix)).select(F.substring(F.col(path), F.lit(len(prefix) + 1), F.length(path)).alias("rest"))
+    entry = F.when(F.contains("rest", F.lit("/")), F.concat(F.split_part("rest", F.lit("/"), F.lit(1)), F.lit("/"))).otherwise(F.col("rest"))
+    return inside.where("rest <> ''").select(entry.alias("entry")).distinct().orderBy("entry").limit(most)
+
+
 def read_text_tree(spark: SparkSession, path: str) -> DataFrame:
     """``(id, text)`` of a tree of text files; the id is the file's stem, bad bytes are replaced.
 
@@ -67,42 +95,47 @@ def read_text_tree(spark: SparkSession, path: str) -> DataFrame:
     return files.select(name.alias("id"), F.expr("decode(content, 'UTF-8')").alias("text"))
 
 
-_BLOCKS = frozenset("p div br li h1 h2 h3 h4 h5 h6 tr section article blockquote pre header footer ul ol table hr".split())
-_HIDDEN = frozenset(("script", "style", "nav", "template", "noscript"))
+# Tags that part blocks and tags that hide what they hold; fixed values.
+_PARTS_BEFORE = frozenset("p div br h1 h2 h3 li".split())
+_PARTS_AFTER = frozenset("p div h1 h2 h3 li".split())
+_HIDDEN = frozenset("script style nav".split())
+_EMPTY_LINES = re.compile(r"\n[ \t]*\n(?:[ \t]*\n)+")
 
 
 class _Text(html.parser.HTMLParser):
+    """Collects visible text; ``depth`` counts the hidden tags that are open."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
-        self.hidden: list[str] = []
+        self.text = io.StringIO()
+        self.depth = 0
+
+    def _part(self, tag: str, tags: frozenset[str]) -> None:
+        if self.depth == 0 and tag in tags:
+            self.text.write("\n\n")
 
     def handle_starttag(self, tag, attrs):
-        if tag in _HIDDEN:
-            self.hidden.append(tag)
-        elif tag in _BLOCKS:
-            self.parts.append("\n\n")
+        self.depth += tag in _HIDDEN
+        self._part(tag, _PARTS_BEFORE)
 
     def handle_endtag(self, tag):
-        if tag in self.hidden:
-            del self.hidden[self.hidden.index(tag) :]
-        elif tag in _BLOCKS:
-            self.parts.append("\n\n")
+        if tag in _HIDDEN and self.depth:
+            self.depth -= 1
+        self._part(tag, _PARTS_AFTER)
 
     def handle_data(self, data):
-        if not self.hidden:
-            self.parts.append(data)
+        if self.depth == 0:
+            self.text.write(data)
 
 
 def html_to_text(page: str | None) -> str | None:
-    """Visible text; blocks are parted by a blank line, runs of blanks are one."""
+    """Visible text; blocks are parted by one blank line."""
     if page is None:
         return None
     reader = _Text()
     reader.feed(page)
     reader.close()
-    blocks = (" ".join(b.split()) for b in "".join(reader.parts).split("\n\n"))
-    return "\n\n".join(b for b in blocks if b)
+    return _EMPTY_LINES.sub("\n\n", reader.text.getvalue()).strip()
 
 
 def html_text(pages: DataFrame, key: str, page: str) -> DataFrame:

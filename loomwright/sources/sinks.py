@@ -77,6 +77,6 @@ def commit_conflicts(commits: DataFrame) -> DataFrame:
 
 def markdown_report(groups: DataFrame, order: list[str]) -> str:
     """A small report table as Markdown; the groups are a bounded summary."""
-    rows = groups.orderBy(*order).limit(1000).collect()
+    rows = groups.orderBy(*order).toLocalIterator()
     head = "| " + " | ".join(groups.columns) + " |\n|" + "-|" * len(groups.columns)
     return "\n".join([head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)])

@@ -33,7 +33,7 @@ def test_csv_cells_may_hold_lines_and_quotes(spark, tmp_path):
 def test_positional_csv_keeps_commas_of_the_title(spark, tmp_path):
     (tmp_path / "a.csv").write_text("7,One, two, three,http://x,1999\nbroken\n")
     assert [tuple(r) for r in readers.read_positional_csv(spark, str(tmp_path / "a.csv")).collect()] == [
-        ("7", "One, two, three", "http://x", "1999")
+        ("7", "One, two, three", "http://x", "1999", None), (None, "broken", None, None, "fewer than four fields")
     ]
 
 
