@@ -81,7 +81,7 @@ def evaluate_files(df: DataFrame, before: str = "before", after: str = "after",
     )
     paths = F.array_union(F.map_keys("_b"), F.map_keys("_a"))
     changed = F.filter(paths, lambda p: ~F.try_element_at("_b", p).eqNullSafe(F.try_element_at("_a", p)))
-    allowed = F.forall(changed, lambda p: F.exists("_w", lambda g: p.rlike(_glob(g))))
+    allowed = F.forall(changed, lambda p: F.exists("_w", lambda g: F.rlike(p, _glob(g))))
     words = F.aggregate(F.transform(F.map_values("_kb"), lambda t: F.size(T.spaced(t))), F.lit(0), lambda s, n: s + n)
     reach = F.expr(
         "aggregate(sequence(1, greatest(size(_kb), 1)), array(coalesce(path, 'kb/index.md')), (s, _) -> array_distinct(concat(s, "

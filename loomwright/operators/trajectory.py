@@ -37,15 +37,49 @@ def _rule(name: str, broken: Column) -> Column:
     return F.when(F.coalesce(broken, F.lit(False)), F.lit(name))
 
 
+_TOOLS = """
+transform(filter(coalesce(tools, cast(array() as array<string>)), t -> t is not null), t -> named_struct(
+  'kind', get_json_object(t, '$.type'), 'wrapped', get_json_object(t, '$.function'), 'name', get_json_object(t, '$.function.name'),
+  'parameters', get_json_object(t, '$.function.parameters')))
+"""
+_CALLS = """
+flatten(filter(transform(messages, m -> filter(m.tool_calls, c -> c is not null)), x -> x is not null))
+"""
+
+
+def repeated_contents(records: DataFrame) -> DataFrame:
+    """``(id, contents)`` of ids that stand on more than one content; deliveries of one
+    content are one record. Null ids are told by :func:`violations`."""
+    told = [c for c in records.columns if c not in ("id", "loaded_at", "created_at")]
+    content = F.sha2(F.to_json(F.struct(*told)), 256)
+    return (
+        records.where("id is not null").select("id", content.alias("content")).groupBy("id")
+        .agg(F.count_distinct("content").alias("contents")).where("contents > 1")
+    )
+
+
 def violations(records: DataFrame) -> DataFrame:
     """``(id, rule)`` for every broken rule of every distinct record.
 
-    A null message array breaks ``messages_required``; null fields break the rule that
+    Tools are JSON documents that must be function schemas: a ``type`` of function, a
+    name of their own and an object of parameters. Calls must be of that type, name an
+    offered tool, and give their arguments as an object. A null message array breaks ``messages_required``; null fields break the rule that
     asks for them; empty tables have no violations.
     """
     calls = "coalesce(size(m.tool_calls), 0)"
     unsafe = lambda c: F.exists(F.map_keys(c), lambda p: ~T.safe_path(p))
+    tools, made = F.expr(_TOOLS), F.expr(_CALLS)
+    nameless = lambda n: F.coalesce(n, F.lit("")) == ""
+    names = F.transform(tools, lambda t: t["name"])
     listed = F.array(
+        _rule("id", F.coalesce("id", F.lit("")) == ""),
+        _rule("tool_type", F.exists(tools, lambda t: ~t["kind"].eqNullSafe("function") | ~F.coalesce(t["wrapped"].startswith("{"), F.lit(False)))),
+        _rule("tool_name", F.exists(names, nameless) | (F.size(F.array_distinct(names)) < F.size(names))),
+        _rule("tool_parameters", F.exists(tools, lambda t: ~F.coalesce(t["parameters"].startswith("{"), F.lit(False)))),
+        _rule("call_type", F.exists(made, lambda c: ~c["type"].eqNullSafe("function"))),
+        _rule("call_name", F.exists(made, lambda c: c["function"]["name"].isNull())),
+        _rule("unavailable_tool", F.exists(made, lambda c: c["function"]["name"].isNotNull() & ~F.coalesce(F.array_contains(F.array_compact(names), c["function"]["name"]), F.lit(False)))),
+        _rule("arguments_object", F.expr(f"exists({_CALLS.strip()}, c -> not coalesce(startswith(schema_of_variant(try_parse_json(c.function.arguments)), 'OBJECT'), false))")),
         _rule("schema_version", ~F.col("schema_version").eqNullSafe(1)),
         _rule("split", ~F.coalesce(F.col("split").isin("train", "validation", "test"), F.lit(False))),
         *[
@@ -63,11 +97,12 @@ def violations(records: DataFrame) -> DataFrame:
             F.expr(f"exists(slice(messages, -1, 1), m -> m.role <> 'assistant' or {calls} > 0)"),
         ),
     )
+    twice = repeated_contents(records).select("id", F.lit("duplicate_id").alias("rule"))
     sequence = F.when(F.size("messages") > 0, F.expr(_SEQUENCE)).otherwise(F.array().cast("array<string>"))
     return records.select(
         "id",
         F.explode(F.array_distinct(F.array_compact(F.concat(listed, F.array_compact(sequence))))).alias("rule"),
-    ).distinct()
+    ).unionByName(twice).distinct()
 
 
 def crossing_splits(records: DataFrame, keys: dict[str, Column]) -> DataFrame:
@@ -190,15 +225,58 @@ def call_arguments(records: DataFrame, most_bytes: int = 65_536) -> DataFrame:
 
 # Rejection codes and what they tell; fixed values, compared whole, never by substring.
 REJECTIONS = {
-    "missing_id": "call has no id",
-    "repeated_id": "call id was used before",
-    "unknown_tool": "tool is not available",
-    "bad_arguments": "arguments are not an object",
+    "call_envelope_limit": "Tool call envelope exceeds size or nesting limit",
+    "invalid_envelope": "Invalid tool call envelope",
+    "envelope_size_limit": "Tool call envelope exceeds size limit",
+    "invalid_function_envelope": "Invalid tool function envelope",
+    "missing_id": "Tool call needs an id",
+    "duplicate_id": "Duplicate tool call id",
+    "invalid_function_name": "Invalid tool function",
+    "invalid_arguments_json": "Invalid tool arguments JSON",
+    "arguments_not_object": "Tool arguments must be an object",
+    "ask_author_arguments_shape": "ask_author needs exact structured arguments",
+    "ask_author_question_shape": "ask_author question must be nonempty text",
+    "ask_author_decision_ids_shape": "ask_author decision_ids must be nonempty text IDs",
+    "ask_author_duplicate_decision_id": "ask_author repeats a decision ID",
+    "ask_author_proposals_shape": "ask_author proposals need exact id/text pairs",
+    "ask_author_duplicate_proposal_id": "ask_author repeats a proposal ID",
+    "ask_author_option_refs_shape": "ask_author option_refs must be text IDs",
+    "ask_author_duplicate_option_ref": "ask_author repeats an option reference",
+    "arguments_not_utf8_strings": "Tool arguments must be an object of UTF-8 strings",
+    "unsafe_path": "Unsafe or noncanonical workspace path",
+    "tool_unavailable": "Tool is not available in this condition",
+    "mixed_control_file_batch": "Mixed control and file-tool batch is forbidden",
+    "tool_calls_not_array": "tool_calls must be an array",
+    "ask_author_unavailable": "ask_author is unavailable",
+    "ask_author_question_limit": "ask_author question exceeds limit",
+    "ask_author_decision_count_limit": "ask_author has too many decision IDs",
+    "ask_author_undeclared_decision": "ask_author names undeclared decision ID",
+    "ask_author_proposal_limit": "ask_author proposals exceed limits",
+    "ask_author_option_ref_limit": "ask_author option references exceed limits",
+    "ask_author_undeclared_proposal": "ask_author references an undeclared proposal",
+    "ask_author_redefined_proposal": "ask_author redefines a prior proposal",
+    "tool_call_budget_exceeded": "Tool-call budget exceeded",
+    "author_call_budget_exceeded": "Author-call budget exceeded",
+    "read_token_budget_exceeded": "Read-token budget exceeded",
 }
+CONTROL_TOOL = "ask_author"
+MOST_ARGUMENT_BYTES, MOST_CALL_BYTES = 65_536, 131_072
+
+
+def rejection_code(message: Column) -> Column:
+    """The code of a rejection message that is equal to it; null for any other text."""
+    known = F.create_map(*[F.lit(x) for code, told in REJECTIONS.items() for x in (told, code)])
+    return F.try_element_at(known, message)
 
 
 def admission(records: DataFrame) -> DataFrame:
-    """Each call accepted or rejected, by the first rule of the ladder that holds."""
+    """``(id, pos, place, code, reason)``: each call accepted (null) or rejected.
+
+    The ladder, first rule that holds: sizes, envelopes, id, name, arguments as a JSON
+    object, of strings unless it is the control tool's, a safe ``path`` among them, an
+    offered tool. In a message of several calls with the control tool among them, every
+    call is rejected as mixed, whatever the ladder says.
+    """
     names = F.expr(
         "transform(filter(coalesce(tools, array()), t -> t is not null), "
         "t -> coalesce(get_json_object(t, '$.function.name'), get_json_object(t, '$.name')))"
@@ -206,28 +284,45 @@ def admission(records: DataFrame) -> DataFrame:
     calls = (
         records.select("id", names.alias("names"), F.posexplode("messages").alias("pos", "m"))
         .where("size(m.tool_calls) > 0")
-        .select("id", "names", "pos", F.posexplode("m.tool_calls").alias("place", "c"))
+        .withColumn("mixed", F.expr(f"size(m.tool_calls) > 1 and exists(m.tool_calls, c -> coalesce(c.function.name = '{CONTROL_TOOL}', false))"))
+        .select("id", "names", "mixed", "pos", F.posexplode("m.tool_calls").alias("place", "c"))
+        .dropDuplicates(["id", "pos", "place"])
     )
-    kind = F.expr("schema_of_variant(try_parse_json(c.function.arguments))")
-    judged = calls.select(
-        "id",
-        "pos",
-        "place",
-        F.col("c.id").alias("call_id"),
-        F.coalesce(F.array_contains("names", F.col("c.function.name")), F.lit(False)).alias("known"),
-        F.coalesce(kind.startswith("OBJECT"), F.lit(False)).alias("sound"),
-    ).dropDuplicates(["id", "pos", "place"])
+    arguments, name = F.col("c.function.arguments"), F.col("c.function.name")
+    told = calls.select(
+        "id", "pos", "place", "names", "mixed", F.col("c.id").alias("call_id"), F.col("c.type").alias("type"), name.alias("name"),
+        (F.col("c").isNull() | F.col("c.type").isNull()).alias("bare"),
+        F.col("c.function").isNull().alias("unwrapped"),
+        (F.coalesce(F.octet_length(F.to_json("c")), F.lit(0))).alias("bytes"),
+        F.coalesce(F.octet_length(arguments), F.lit(0)).alias("argument_bytes"),
+        F.expr("schema_of_variant(try_parse_json(c.function.arguments))").alias("shape"),
+        F.from_json(arguments, "map<string,string>").alias("given"),
+    )
     before = Window.partitionBy("id", "call_id").orderBy("pos", "place")
+    control = name_is(CONTROL_TOOL)
+    texts = F.coalesce(F.regexp_replace("shape", r": STRING(, |>)", "").rlike(r"^OBJECT<([^:]*)$"), F.lit(False))
+    path = F.try_element_at("given", F.lit("path"))
     code = (
-        F.when(F.coalesce("call_id", F.lit("")) == "", "missing_id")
-        .when(F.row_number().over(before) > 1, "repeated_id")
-        .when(~F.col("known"), "unknown_tool")
-        .when(~F.col("sound"), "bad_arguments")
-    )
-    told = F.create_map(*[F.lit(x) for pair in REJECTIONS.items() for x in pair])
-    return judged.select("id", "pos", "place", code.alias("code")).withColumn(
-        "reason", F.try_element_at(told, F.col("code"))
+        F.when(F.col("mixed"), "mixed_control_file_batch")
+        .when(F.col("bytes") > MOST_CALL_BYTES, "call_envelope_limit")
+        .when(F.col("bare") | (F.col("type") != "function"), "invalid_envelope")
+        .when(F.col("argument_bytes") > MOST_ARGUMENT_BYTES, "envelope_size_limit")
+        .when(F.col("unwrapped"), "invalid_function_envelope")
+        .when(F.trim(F.coalesce("call_id", F.lit(""))) == "", "missing_id")
+        .when(F.row_number().over(before) > 1, "duplicate_id")
+        .when(F.coalesce("name", F.lit("")).rlike(r"^\s*$|\p{Cntrl}"), "invalid_function_name")
+        .when(F.col("shape").isNull(), "invalid_arguments_json")
+        .when(~F.col("shape").startswith("OBJECT"), "arguments_not_object")
+        .when(~control & ~texts, "arguments_not_utf8_strings")
+        .when(path.isNotNull() & ~T.safe_path(path), "unsafe_path")
+        .when(~F.coalesce(F.array_contains("names", F.col("name")), F.lit(False)), "tool_unavailable")
     )
+    reasons = F.create_map(*[F.lit(x) for pair in REJECTIONS.items() for x in pair])
+    return told.select("id", "pos", "place", code.alias("code")).withColumn("reason", F.try_element_at(reasons, F.col("code")))
+
+
+def name_is(name: str) -> Column:
+    return F.coalesce(F.col("name") == name, F.lit(False))
 
 
 def changed_paths(records: DataFrame, before: str, after: str) -> DataFrame:

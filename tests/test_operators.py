@@ -222,7 +222,7 @@ def probe(id, messages, **over):
     row = {
         "schema_version": 1, "id": id, "split": "train", "review_status": "accepted",
         "provenance": ("a", "w", "s", "l"), "initial_files": {}, "expected_files": {"kb/a.md": "x"},
-        "tools": [json.dumps({"type": "function", "function": {"name": "read"}})], "messages": messages, "extra": None,
+        "tools": [json.dumps({"type": "function", "function": {"name": "read", "parameters": {}}})], "messages": messages, "extra": None,
     }
     return tuple((row | over).values())
 
@@ -238,6 +238,15 @@ def test_each_rule_fires_on_its_own_row(spark):
         probe("orphan", [GOOD[0], message("tool", "r", answers="zz"), GOOD[3]]),
         probe("twice", GOOD[:3] + [message("assistant", None, [("c1", "read", "{}")]), message("tool", "r", answers="c1"), GOOD[3]]),
         probe("end", GOOD[:3]),
+        probe("", GOOD),
+        probe("double", GOOD), probe("double", GOOD[:1] + [message("assistant", "x")]), probe("again", GOOD), probe("again", GOOD),
+        probe("kind", GOOD, tools=[json.dumps({"type": "tool", "function": {"name": "read", "parameters": {}}})]),
+        probe("names", GOOD, tools=[json.dumps({"type": "function", "function": {"name": "read", "parameters": {}}})] * 2),
+        probe("shape", GOOD, tools=[json.dumps({"type": "function", "function": {"name": "read"}})]),
+        probe("other", [GOOD[0], message("assistant", None, [("c1", "write", "{}")]), *GOOD[2:]]),
+        probe("unnamed", [GOOD[0], message("assistant", None, [("c1", None, "{}")]), *GOOD[2:]]),
+        probe("text", [GOOD[0], message("assistant", None, [("c1", "read", '"{}"')]), *GOOD[2:]]),
+        probe("typed", [GOOD[0], ("assistant", None, None, [("c1", None, ("read", "{}"))]), *GOOD[2:]]),
     ]
     df = spark.createDataFrame(rows, PROBE)
     got: dict = {}
@@ -252,7 +261,9 @@ def test_each_rule_fires_on_its_own_row(spark):
         "orphan": {"unmatched_tool_response"},
         "twice": {"bad_call_id"},
         "end": {"final_answer"},
-    }
+        "": {"id"}, "double": {"duplicate_id"}, "kind": {"tool_type"}, "names": {"tool_name"}, "shape": {"tool_parameters"},
+        "other": {"unavailable_tool"}, "unnamed": {"call_name"}, "text": {"arguments_object"}, "typed": {"call_type"},
+    }
     assert trajectory.violations(df.where("false")).count() == 0
 
 
@@ -265,11 +276,81 @@ def test_call_results_and_admission(spark):
     got = sorted((r.id, r.call_id, r.status) for r in trajectory.call_results(df).collect())
     assert got == [("a", "c", "paired"), ("a", "c1", "orphan"), ("a", "d", "not_executed"), ("b", "", "missing"), ("b", "e", "not_executed")]
     codes = sorted((r.id, r.pos, r.place, r.code) for r in trajectory.admission(df).select("id", "pos", "place", F.coalesce("code", F.lit("")).alias("code")).collect())
-    assert codes == [("a", 1, 0, ""), ("a", 1, 1, "unknown_tool"), ("b", 1, 0, "missing_id"), ("b", 3, 0, "bad_arguments")]
+    assert codes == [("a", 1, 0, ""), ("a", 1, 1, "tool_unavailable"), ("b", 1, 0, "missing_id"), ("b", 3, 0, "arguments_not_object")]
     states = sorted(r.state for r in trajectory.call_arguments(df).collect())
     assert states == ["encoded_twice", "object", "object", "object"]
 
 
+def test_each_admission_rule_fires(spark):
+    tools = [json.dumps({"type": "function", "function": {"name": n, "parameters": {}}}) for n in ("read", "ask_author")]
+    cases = {
+        "": ("1", "read", '{"path": "a/b.md"}'), "missing_id": (" ", "read", "{}"), "invalid_function_name": ("1", " ", "{}"),
+        "invalid_arguments_json": ("1", "read", "{"), "arguments_not_object": ("1", "read", "[]"),
+        "arguments_not_utf8_strings": ("1", "read", '{"n": 1}'), "unsafe_path": ("1", "read", '{"path": "../x"}'),
+        "tool_unavailable": ("1", "write", "{}"), "envelope_size_limit": ("1", "read", json.dumps({"x": "y" * 66_000})),
+        "call_envelope_limit": ("1", "read", json.dumps({"x": "y" * 140_000})),
+    }
+    rows = [probe(code or "ok", [GOOD[0], message("assistant", None, [call])], tools=tools) for code, call in cases.items()]
+    rows += [
+        probe("invalid_envelope", [("assistant", None, None, [("1", "tool", ("read", "{}"))])], tools=tools),
+        probe("invalid_function_envelope", [("assistant", None, None, [("1", "function", None)])], tools=tools),
+        probe("free", [message("assistant", None, [("1", "ask_author", '{"n": [1]}')])], tools=tools),
+        probe("mixed", [message("assistant", None, [("1", "read", "{}"), ("2", "ask_author", "{}")])], tools=tools),
+        probe("twice", [message("assistant", None, [("1", "read", "{}"), ("1", "read", "{}")])], tools=tools),
+    ]
+    got: dict = {}
+    for r in trajectory.admission(spark.createDataFrame(rows, PROBE)).orderBy("id", "pos", "place").collect():
+        got.setdefault(r.id, []).append(r.code)
+        assert r.reason == trajectory.REJECTIONS.get(r.code)
+    alone = {code: [code] for code in [*cases, "invalid_envelope", "invalid_function_envelope"] if code}
+    assert got == alone | {"ok": [None], "free": [None], "mixed": ["mixed_control_file_batch"] * 2, "twice": [None, "duplicate_id"]}
+    told = spark.createDataFrame([("Tool call needs an id",), ("tool call needs an id",), (None,)], "m string")
+    assert [r[0] for r in told.select(trajectory.rejection_code(F.col("m"))).collect()] == ["missing_id", None, None]
+
+
+def test_file_checks(spark):
+    wiki = {"kb/index.md": "See [[a]] and [[b|that]].", "kb/a.md": "[[index]]", "kb/b.md": "[[a#part]]"}
+    rows = [
+        ("protected", "x", None, None, {"x": "1"}, {"x": "1"}, None, True), ("protected", "x", [], None, {"x": "1"}, {}, None, False),
+        ("protected", "x", ["keep"], None, {"x": "a keep b"}, {"x": "keep"}, None, True), ("protected", "x", ["keep"], None, {}, {"x": "keep"}, None, False),
+        ("allowed_changes", None, ["kb/*", "a?.md"], None, {"kb/x": "1"}, {"kb/x": "2", "ab.md": ""}, None, True),
+        ("allowed_changes", None, ["kb/*"], None, {"kbx": "1"}, {}, None, False), ("allowed_changes", None, None, None, None, None, None, True),
+        ("kb_word_budget", None, None, 3, None, {"kb/a": "one two", "kb/b": "three", "c": "four five"}, None, True),
+        ("kb_word_budget", None, None, 2, None, {"kb/a": "one two", "kb/b": "three"}, None, False),
+        ("wiki_links", None, None, None, None, wiki, None, True), ("wiki_links", "kb/a.md", None, None, None, wiki, None, True),
+        ("wiki_links", None, None, None, None, wiki | {"kb/c.md": "alone"}, None, False), ("wiki_links", None, None, None, None, wiki | {"kb/a.md": "[[gone]]"}, None, False),
+        ("wiki_links", None, None, None, None, {"kb/index.md": ""}, None, False), ("wiki_links", None, None, None, None, None, None, False),
+        ("evidence_exposed", None, ["Lamp"], None, None, None, ["no", "a LAMP"], True), ("evidence_exposed", None, ["Lamp"], None, None, None, None, False),
+        ("other", None, None, None, None, None, None, None),
+    ]
+    schema = "kind string, path string, wanted array<string>, high int, before map<string,string>, after map<string,string>, seen array<string>, want boolean"
+    got = checks.evaluate_files(spark.createDataFrame(rows, schema)).collect()
+    assert [(r.kind, r.passed) for r in got] == [(r[0], r[7]) for r in rows]
+
+
+def test_first_difference(spark):
+    rows = [
+        ("same", '{"a": [1, 2]}', '{"a":[1,2]}'), ("value", '{"b": 1, "a": {"x": "1", "c": 2}}', '{"b": 2, "a": {"x": "1", "c": 3}}'),
+        ("place", json.dumps({"a": list(range(12))}), json.dumps({"a": [0, 1, 9, *range(3, 10), 99, 11]})),
+        ("shape", '{"a": []}', '{"a": {}}'), ("gone", '{"a": 1, "b": 2}', '{"b": 2}'), ("null", None, None),
+    ]
+    got = {r.k: r.path for r in nested.first_difference(spark.createDataFrame(rows, "k string, l string, r string"), "k", "l", "r").collect()}
+    assert got == {"same": None, "value": "a.c", "place": "a[2]", "shape": "a", "gone": "a", "null": None}
+
+
+def test_fences_and_authors(spark):
+    df = spark.createDataFrame([("a ```` b `", "One by two by Three"), ("none", "Bye"), (None, None)], "t string, b string")
+    got = [tuple(r) for r in df.select(T.fence(F.col("t")), T.author_of(F.col("b"))).collect()]
+    assert got == [("`````", "Three"), ("```", None), ("```", None)]
+
+
+def test_openings(spark):
+    long = "The keeper put the lantern down and waited for the ferry that never came. " * 8
+    rows = [("THE LAMP\n\nProduced by Some One\n\nChapter 1\n\nshort\n\n" + long + "\n \n" + long + "\n\n" + long,), ("TITLE",), (None,), (long * 5,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(T.opening(F.col("t"))).collect()]
+    assert got[:3] == [long.strip() + "\n\n" + long.strip(), None, None] and 2100 < len(got[3]) <= 2200 and (long * 5).startswith(got[3])
+
+
 def test_changed_paths_tell_missing_from_empty(spark):
     df = spark.createDataFrame([probe("a", GOOD, initial_files={"x": "", "y": "1"}, expected_files={"y": "2", "z": ""})], PROBE)
     got = {(r.path, r.change) for r in trajectory.changed_paths(df, "initial_files", "expected_files").collect()}

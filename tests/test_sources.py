@@ -30,6 +30,24 @@ def test_csv_cells_may_hold_lines_and_quotes(spark, tmp_path):
     ]
 
 
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    for name, count in (("a.jsonl", 400), ("b.jsonl", 90)):
+        (tmp_path / name).write_text("".join('{"id": "%s%d"}\n' % (name, n) if n % 5 else "\n" for n in range(1, count + 1)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = readers.read_records(spark, str(tmp_path), "id string").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert len(rows) == 392 and all(r.record.id == f"{r.file}{r.line}" and r.reason is None for r in rows)
+
+
+def test_folders_are_listed_in_order(spark):
+    df = spark.createDataFrame([("kb/b.md",), ("kb/a/x.md",), ("kb/a/y.md",), ("other",)], "p string")
+    assert [r.entry for r in readers.list_dir(df, "p", "kb").collect()] == ["a/", "b.md"]
+    assert [r.entry for r in readers.list_dir(df, "p", "").collect()] == ["kb/", "other"] and [r.entry for r in readers.list_dir(df, "p", "", 1).collect()] == ["kb/"]
+
+
 def test_positional_csv_keeps_commas_of_the_title(spark, tmp_path):
     (tmp_path / "a.csv").write_text("7,One, two, three,http://x,1999\nbroken\n")
     assert [tuple(r) for r in readers.read_positional_csv(spark, str(tmp_path / "a.csv")).collect()] == [
@@ -47,7 +65,7 @@ def test_text_tree(spark, tmp_path):
 
 
 def test_html_hides_scripts_and_parts_blocks(spark):
-    page = "<nav>menu</nav><p>One &amp; two</p><script>var x = '</p>'</script><p>three<br>four</p><!-- no -->"
+    page = "<nav>menu<script>x</script></nav><p>One &amp; two</p><script>var x = '</p>'</script><p>three<br>four</p><!-- no -->"
     assert readers.html_to_text(page) == "One & two\n\nthree\n\nfour"
     df = spark.createDataFrame([(1, page), (2, None), (3, "")], "id long, html string")
     assert {r.key: r.text for r in readers.html_text(df, "id", "html").collect()} == {
