@@ -254,21 +254,29 @@ def script(text: str) -> str | None:
 _SCRIPT_NAMES = frozenset(SCRIPTS.split())
 
 
-def _clearest(tokens: list[str], telling: dict[str, list[str]], langs: Iterable[str]) -> str | None:
+def _counts(tokens: list[str], telling: dict[str, list[str]], langs: Iterable[str]) -> list[tuple[str, float]]:
+    """Function words of each language, the most first; a word of several languages is shared out."""
     counts = dict.fromkeys(langs, 0.0)
     for t in tokens:
         of = telling.get(t)
         if of:
             for lang in of:
                 counts[lang] += 1.0 / len(of)
-    (best, n), (_, second) = sorted(counts.items(), key=lambda x: -x[1])[:2]
-    return best if n >= 2 and n >= 1.6 * second and n >= 0.12 * len(tokens) else None
+    return sorted(counts.items(), key=lambda x: -x[1])
 
 
 def language(tokens: list[str]) -> str | None:
-    """The clear language of a text, by its function words; null if none is clear."""
-    found = _clearest(tokens, _TELLING, FUNCTION_WORDS)
-    return found or _clearest(tokens, _FURTHER, FURTHER_WORDS)
+    """The clear language of a text, by its function words; null if none is clear.
+
+    A further language must also stand out from the likeliest of the first four.
+    """
+    ranked = _counts(tokens, _TELLING, FUNCTION_WORDS)
+    (best, n), (_, second) = ranked[:2]
+    if n >= 2 and n >= 1.6 * second and n >= 0.12 * len(tokens):
+        return best
+    (other, m), (_, next_best) = _counts(tokens, _FURTHER, FURTHER_WORDS)[:2]
+    clear = m >= 2 and m >= 1.6 * max(next_best, n) and m >= 0.12 * len(tokens)
+    return other if clear else None
 
 
 def asked_languages(prompt: str) -> set[str]:

@@ -253,6 +253,12 @@ def test_plain_language_is_none(reader, text):
     assert reader.score(text) == {}
 
 
+def test_unclear_texts_have_no_further_language():
+    spanish = "Decían en la escuela que la aprendiz de paso movió la lámpara de aceite; la tía de la parroquia reparó una barca."
+    assert pairs.language(pairs.words(spanish)) in ("es", None)
+    assert pairs.language(pairs.words("Het meisje zag dat de boot niet van hem was en dat hij ook voor het huis bleef.")) == "nl"
+
+
 def test_short_prompts_can_be_copied_and_languages_asked_for():
     assert pairs.reply_defect("Who wins?", "Who wins?") == "copy"
     assert pairs.reply_defect("Who wins?", "Nobody wins.") is None and pairs.reply_defect("Hello", "Hello") is None
