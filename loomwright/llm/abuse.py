@@ -44,11 +44,11 @@ LISTED = 4.0
 FIT = 4000
 """The most labelled documents that the scores are fitted on."""
 CUE, BIAS = 8.0, -4.0
-CUE_SPREAD, WORD_SPREAD = 1.5, 0.4
+CUE_SPREAD, WORD_SPREAD = 1.5, 0.3
 """Prior weights of a cue and of none, and how far the labels may move a cue and a word."""
 WRONG_TOXIC, WRONG_CLEAN = 0.05, 0.05
 """Assumed shares of toxic labels on clean documents and of the other way round."""
-LEADS, SUPPORT = 0.4, 4
+LEADS, SUPPORT = 0.3, 4
 """Weight from which a learned word makes a sentence worth scoring; documents it must stand in."""
 COMMON_SHARE = 0.0005
 ALPHABET = "abcdefghijklmnopqrstuvwxyzàâäáçéèêëíîïñóôöúùûüßœæ"
