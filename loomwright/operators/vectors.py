@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 256
+BLOCK = 1024
 BINS = 4096
 _INFINITY = 0x7FF0000000000000
 
