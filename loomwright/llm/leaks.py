@@ -184,6 +184,23 @@ def _holds(doc: list[int], item: list[int], diagonal: int) -> bool:
     return False
 
 
+def _may_hold(doc: np.ndarray, item: np.ndarray, diagonal: int) -> bool:
+    """A bound of :func:`_holds`: whether some run is long enough if every item word that
+    the band meets at all counts as met in its place, and no word as added."""
+    count = len(item)
+    if count < PASSAGE or len(doc) == 0:
+        return False
+    at = np.arange(diagonal - BAND, diagonal + BAND + count)
+    around = doc[np.clip(at, 0, len(doc) - 1)]
+    inside = (at >= 0) & (at < len(doc))
+    met = np.zeros(count, dtype=bool)
+    for k in range(2 * BAND + 1):
+        met |= (around[k : k + count] == item) & inside[k : k + count]
+    score = np.concatenate([[0], np.cumsum(np.where(met, 1, 1 - ERRORS))])
+    lowest = np.minimum.accumulate(score[: count + 1 - PASSAGE])
+    return bool((score[PASSAGE:] >= lowest).any())
+
+
 def leaked(doc: np.ndarray, at: np.ndarray, window: np.ndarray, index: WindowIndex) -> list[int]:
     """Items of the index that a document holds, from its near windows."""
     out = []
@@ -206,6 +223,8 @@ def leaked(doc: np.ndarray, at: np.ndarray, window: np.ndarray, index: WindowInd
             if done_to is not None and any(abs(centre - d) <= 1 for d in done_to):
                 continue
             done_to = [*(done_to or []), centre]
+            if not _may_hold(doc, item, centre):
+                continue
             if words is None:
                 words = doc.tolist()
             if _holds(words, item.tolist(), centre):

@@ -253,6 +253,23 @@ def test_plain_language_is_none(reader, text):
     assert reader.score(text) == {}
 
 
+def test_the_bound_of_an_alignment_loses_nothing():
+    rng = random.Random(9)
+    held = 0
+    for _ in range(400):
+        item = np.array([rng.randrange(60) for _ in range(rng.randrange(10, 60))])
+        told = [w for w in item.tolist() if rng.random() > 0.06]
+        told = [rng.randrange(60) if rng.random() < 0.06 else w for w in told]
+        before = rng.randrange(0, 20)
+        doc = np.array([rng.randrange(60, 90) for _ in range(before)] + told + [rng.randrange(60) for _ in range(5)])
+        for diagonal in (before, before - 3, before + 9):
+            if leaks._holds(doc.tolist(), item.tolist(), diagonal):
+                held += 1
+                assert leaks._may_hold(doc, item, diagonal)
+    assert held > 40
+    assert not leaks._may_hold(np.arange(0), item, 0) and not leaks._may_hold(np.arange(100, 200), np.arange(40), 5)
+
+
 def test_unclear_texts_have_no_further_language():
     spanish = "Decían en la escuela que la aprendiz de paso movió la lámpara de aceite; la tía de la parroquia reparó una barca."
     assert pairs.language(pairs.words(spanish)) in ("es", None)
