@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
 from loomwright.session import staged
 
 
+SAMPLE, STOCK = 10_000, 3
+"""Texts from which the stock shingles are told, and how many of them hold one."""
+PLACES = 1 << 18
+"""Places of the filter on keys: its size, and so what is broadcast, is fixed."""
+MORE = 50
+"""A text is asked for one more meeting for every so many shingles."""
+FLUSH = 1 << 22
+"""Shingles after which a batch is handed on."""
+
 PREPARED = ("_body", "_folded", "_words", "_stripped", "_absent")
 
 
@@ -168,25 +183,142 @@ def overlap_audit(df: DataFrame, key: str, text: str = "text", threshold: float
     pairs are between classes, :func:`overlap_members` lists the texts of each class. All
     near-duplicate texts are the members of a pair of classes, and those of one class.
     Pairs that share none of their smallest hashes are not candidates.
+
+    Stock shingles among the smallest hashes are shared by pairs without number, so classes
+    don't meet on these. They meet on a prefix: in any order of all shingles, two sets that
+    reach the threshold share ``more`` of their first ``n - ceil(threshold * n) + more``
+    shingles, and behind each of these meetings enough shingles must be left. Stock shingles
+    come last in the order, and ``more`` grows with the set, so that few pairs meet by
+    chance. Pairs that met are then held to the smallest hashes, and what is left to the
+    shingles of both, made again for these texts alone. No filter loses a pair.
     """
+    kind = df.schema[key].dataType.simpleString()
+    words = _joined(df, key, text)
+    shared = df.sparkSession.sparkContext.broadcast(_stock(words, df.count()))
+
+    def sign(s: np.ndarray) -> tuple:
+        stock, counts = shared.value
+        at = np.searchsorted(stock, s)
+        often = np.where(stock[np.minimum(at, len(stock) - 1)] == s, counts[np.minimum(at, len(stock) - 1)], 0) if len(stock) else at
+        least = max(1, math.ceil(threshold * len(s) - 1e-9))
+        more = min(1 + len(s) // MORE, least)
+        first = s[np.argsort(often, kind="stable")[: len(s) - least + more]]
+        return len(s), more, s[:sketch].view(np.int64), first.view(np.int64)
+
+    signed = _hashed(words, kind, sign, {"n": "int", "more": "int", "low": "array<bigint>", "prefix": "array<bigint>"})
     classes = staged(
-        shingle_classes(df, key, text).groupBy("cls").agg(F.min("key").alias("key"), F.first("s").alias("s")).select("key", "s"),
-        "shingles",
+        signed.groupBy("cls")
+        .agg(F.min("key").alias("key"), F.first(F.struct("n", "more", "low", "prefix")).alias("one"))
+        .select("cls", "key", "one.*"),
+        "classes",
+    )
+    rows = classes.select("cls", "n", "more", F.posexplode("prefix").alias("at", "h")).select("h", "cls", "n", "more", F.expr("n - at as rest"))
+    needed = F.lit(threshold / (1 + threshold)) * F.expr("a.n + b.n") - 1e-9
+    met = (
+        rows.alias("a")
+        # of the first `more` that two sets share, the last has `more - 1` shared ones before it
+        .join(rows.alias("b"), F.expr("a.h = b.h and a.cls < b.cls") & (F.expr("least(a.rest, b.rest) + least(a.more, b.more) - 1") >= needed))
+        .groupBy(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"), F.expr("least(a.more, b.more) as asked"))
+        .count()
+        .where("count >= asked")
+        .select("a", "b")
+    )
+    # the smallest hashes go by the key, as keys name the pairs: a repeated key has those of all its classes
+    low = F.flatten(F.collect_list("low").over(Window.partitionBy("key"))).alias("low")
+    told = classes.select("cls", "key", low)
+    near = (
+        met.join(told.select(F.col("cls").alias("a"), F.col("key").alias("ka"), F.col("low").alias("la")), "a")
+        .join(told.select(F.col("cls").alias("b"), F.col("key").alias("kb"), F.col("low").alias("lb")), "b")
+        .where("ka <> kb and arrays_overlap(la, lb)")
+    )
+    ends = [F.struct(F.col("ka").alias("key"), F.col("a").alias("cls")), F.struct(F.col("kb").alias("key"), F.col("b").alias("cls"))]
+    pairs = staged(near.select(F.least(*ends).alias("l"), F.greatest(*ends).alias("r")), "class-pairs")
+
+    wanted = staged(pairs.select("l.key").union(pairs.select("r.key")).distinct(), "wanted-keys")
+    place = F.pmod(F.xxhash64(F.col(key)), F.lit(PLACES))
+    places = wanted.select(F.pmod(F.xxhash64("key"), F.lit(PLACES)).alias("_place")).distinct()
+    held = (
+        df.select(key, text, place.alias("_place"))
+        .join(F.broadcast(places), "_place", "left_semi")
+        .join(wanted.withColumnRenamed("key", key), key, "left_semi")
     )
-    index = classes.select("key", F.explode(F.slice("s", 1, sketch)).alias("h"))
-    a, b = index.alias("a"), index.alias("b")
-    pairs = a.join(b, F.expr("a.h = b.h and a.key < b.key")).select(F.col("a.key").alias("l"), F.col("b.key").alias("r")).distinct()
     sets = (
-        pairs.join(classes.select(F.col("key").alias("l"), F.col("s").alias("ls")), "l")
-        .join(classes.select(F.col("key").alias("r"), F.col("s").alias("rs")), "r")
+        _hashed(_joined(held, key, text), kind, lambda s: (s.view(np.int64),), {"s": "array<bigint>"})
+        .groupBy("cls")
+        .agg(F.first("s").alias("s"))
     )
     both = F.size(F.array_intersect("ls", "rs"))
     value = both / (F.size("ls") + F.size("rs") - both)
-    return sets.select(F.col("l").alias("left"), F.col("r").alias("right"), value.alias("jaccard")).where(
-        F.col("jaccard") >= threshold
+    return (
+        pairs.select(F.col("l.key").alias("left"), F.col("l.cls").alias("lc"), F.col("r.key").alias("right"), F.col("r.cls").alias("rc"))
+        .join(sets.select(F.col("cls").alias("lc"), F.col("s").alias("ls")), "lc")
+        .join(sets.select(F.col("cls").alias("rc"), F.col("s").alias("rs")), "rc")
+        .select("left", "right", value.alias("jaccard"))
+        .where(F.col("jaccard") >= threshold)
     )
 
 
+def _joined(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, w)``: the words of each text, joined by blanks."""
+    return df.select(F.col(key).alias("key"), F.array_join(T.tokens(F.col(text), T.PLAIN_TOKEN), " ").alias("w"))
+
+
+def _shingles(words: str | None) -> np.ndarray:
+    """The different hashes of the runs of five words, smallest first: the first eight bytes of SHA-256."""
+    body = (words or "").encode()
+    cuts = [-1, *np.flatnonzero(np.frombuffer(body, np.uint8) == 32).tolist(), len(body)]
+    made = b"".join([hashlib.sha256(body[i + 1 : j]).digest() for i, j in zip(cuts, cuts[5:])])
+    return np.unique(np.frombuffer(made, ">u8")[::4].astype(np.uint64))
+
+
+def _hashed(words: DataFrame, kind: str, make: Callable[[np.ndarray], tuple], columns: dict[str, str]) -> DataFrame:
+    """``(key, cls, *columns)`` of each text of five words or more: a hash of all its shingles and what is made of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> pa.RecordBatch:
+            out = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(cls, pa.int64())]
+            for kind, values in zip(columns.values(), zip(*rows)):
+                if kind == "int":
+                    out.append(pa.array(values, pa.int32()))
+                else:
+                    offsets = np.cumsum([0, *map(len, values)]).astype(np.int32)
+                    out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values), pa.int64())))
+            return pa.RecordBatch.from_arrays(out, names=["key", "cls", *columns])
+
+        for batch in batches:
+            at, cls, rows, held = [], [], [], 0
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                s = _shingles(text)
+                if not len(s):
+                    continue
+                at.append(k)
+                cls.append(int.from_bytes(hashlib.sha256(s.tobytes()).digest()[:8], "little", signed=True))
+                rows.append(make(s))
+                held += len(s)
+                if held > FLUSH:
+                    yield made()
+                    at, cls, rows, held = [], [], [], 0
+            if at:
+                yield made()
+
+    return words.mapInArrow(run, ", ".join([f"key {kind}", "cls bigint", *[f"{n} {t}" for n, t in columns.items()]]))
+
+
+def _stock(words: DataFrame, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that stand in ``STOCK`` or more of about ``SAMPLE`` texts, sorted, and in how many.
+
+    They only order the shingles; any order gives the same pairs. As the texts of the
+    sample are so many at most, so are the shingles, whatever the size of the table.
+    """
+    some = words.where(F.pmod(F.xxhash64("key"), F.lit(max(1, texts // SAMPLE))) == 0)
+    kind = words.schema["key"].dataType.simpleString()
+    sets = _hashed(some, kind, lambda s: (s.view(np.int64),), {"s": "array<bigint>"})
+    often = sets.select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= STOCK).toArrow()
+    stock, counts = (often.column(c).to_numpy() for c in ("h", "n"))
+    order = np.argsort(stock.view(np.uint64))
+    return stock.view(np.uint64)[order], counts[order]
+
+
 def overlap_members(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``(key, class)``: every text of five words or more with the smallest key of its class,
     by which :func:`overlap_audit` tells it; texts of a class have similarity 1."""

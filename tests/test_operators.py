@@ -1,8 +1,10 @@
 """Hand values and edge cases of the core operators."""
 
+import hashlib
 import itertools
 import json
 import math
+import random
 import statistics
 
 import pytest
@@ -199,6 +201,70 @@ def test_every_copy_is_a_member_of_its_class(spark):
     assert all({r.left, r.right} <= known for r in checks.overlap_audit(df, "id").collect())
 
 
+def audited(rows, threshold=0.85, sketch=12):
+    """The pairs of classes by comparing all of them: ``(left, right, jaccard)``."""
+    classes = {}
+    for key, text in rows:
+        words = text.split()
+        runs = {" ".join(words[i : i + 5]) for i in range(len(words) - 4)}
+        if runs:
+            s = tuple(sorted(hashlib.sha256(r.encode()).hexdigest()[:16] for r in runs))
+            classes[s] = min(key, classes.get(s, key))
+    told = [(key, set(s), set(s[:sketch])) for s, key in classes.items()]
+    both = [(a, b) for a in told for b in told if a[0] < b[0]]
+    named = {(a[0], b[0]) for a, b in both if a[2] & b[2]}
+    near = [(a[0], b[0], len(a[1] & b[1]) / len(a[1] | b[1])) for a, b in both if (a[0], b[0]) in named]
+    return sorted((x, y, round(j, 9)) for x, y, j in near if j >= threshold)
+
+
+def edited_texts(seed, count):
+    """Texts of 1 to 300 words and edited copies of them, near the threshold on either side; some ids come twice."""
+    draw, rows = random.Random(seed), []
+    for _ in range(count):
+        words = [f"w{draw.randrange(4000)}" for _ in range(draw.choice([1, 5, 6, 12, 30, 49, 50, 51, 120, 300]))]
+        for _ in range(draw.randrange(1, 4)):
+            other = list(words)
+            for _ in range(draw.randrange(1 + max(1, len(words) // 40))):
+                other[draw.randrange(len(other))] = f"new{draw.randrange(9)}"
+            if draw.random() < 0.7:  # at the ends an edit costs one shingle
+                other = words[draw.randrange(1 + len(words) // 12) :] + [f"end{draw.randrange(9)}"] * draw.randrange(3)
+            rows.append((len(rows) if draw.random() < 0.9 else draw.randrange(len(rows) + 1), " ".join(other)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_audit_equals_comparing_all(spark, seed):
+    rows = edited_texts(seed, 150)
+    got = checks.overlap_audit(spark.createDataFrame(rows, "id long, text string").repartition(3), "id").collect()
+    want = audited(rows)
+    assert sorted((r.left, r.right, round(r.jaccard, 9)) for r in got) == want and len(want) > 50
+    texts = [(f"k{key}", text) for key, text in rows]
+    got = checks.overlap_audit(spark.createDataFrame(texts, "id string, text string"), "id").collect()
+    assert sorted((r.left, r.right, round(r.jaccard, 9)) for r in got) == audited(texts)
+    assert checks.overlap_audit(spark.createDataFrame(rows, "id long, text string").where("false"), "id").count() == 0
+
+
+def test_audit_of_a_stock_phrase_moves_no_pairs(spark):
+    phrase = min((f"all of them say {i}" for i in range(4000)), key=lambda p: hashlib.sha256(p.encode()).hexdigest())
+    rows = [(i, phrase + " " + " ".join(f"x{i}y{j}" for j in range(40))) for i in range(600)]
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(5)]
+    df, context = spark.createDataFrame(rows, "id long, text string"), spark.sparkContext._jsc.sc()
+
+    def moved():
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before, limit = moved(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = checks.overlap_audit(df, "id").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sorted((r.left, r.right, round(r.jaccard, 9)) for r in got) == audited(rows)
+    # 605 texts hold 24,000 shingles; 183,000 pairs share the phrase
+    assert len(got) == 5 and moved() - before < 4_000_000
+
+
 def message(role, content=None, calls=None, answers=None):
     made = [(i, "function", (n, a)) for i, n, a in calls] if calls else None
     return (role, content, answers, made)
