@@ -21,6 +21,8 @@ PLACES = 1 << 18
 """Places of the filter on keys: its size, and so what is broadcast, is fixed."""
 MORE = 50
 """A text is asked for one more meeting for every so many shingles."""
+BINS = 64
+"""Bins by which the shingles of a set are counted."""
 FLUSH = 1 << 22
 """Shingles after which a batch is handed on."""
 
@@ -203,12 +205,14 @@ def overlap_audit(df: DataFrame, key: str, text: str = "text", threshold: float
         least = max(1, math.ceil(threshold * len(s) - 1e-9))
         more = min(1 + len(s) // MORE, least)
         first = s[np.argsort(often, kind="stable")[: len(s) - least + more]]
-        return len(s), more, s[:sketch].view(np.int64), first.view(np.int64)
+        bins = np.bincount((s % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+        return len(s), more, s[:sketch].view(np.int64), first.view(np.int64), bins
 
-    signed = _hashed(words, kind, sign, {"n": "int", "more": "int", "low": "array<bigint>", "prefix": "array<bigint>"})
+    columns = {"n": "int", "more": "int", "low": "array<bigint>", "prefix": "array<bigint>", "bins": "array<int>"}
+    signed = _hashed(words, kind, sign, columns)
     classes = staged(
         signed.groupBy("cls")
-        .agg(F.min("key").alias("key"), F.first(F.struct("n", "more", "low", "prefix")).alias("one"))
+        .agg(F.min("key").alias("key"), F.first(F.struct(*columns)).alias("one"))
         .select("cls", "key", "one.*"),
         "classes",
     )
@@ -225,11 +229,17 @@ def overlap_audit(df: DataFrame, key: str, text: str = "text", threshold: float
     )
     # the smallest hashes go by the key, as keys name the pairs: a repeated key has those of all its classes
     low = F.flatten(F.collect_list("low").over(Window.partitionBy("key"))).alias("low")
-    told = classes.select("cls", "key", low)
+    told = classes.select("cls", "key", "n", low, "bins")
+    ours, theirs = (
+        told.select(F.col("cls").alias(x), *[F.col(c).alias(c[0] + x) for c in ("key", "n", "low", "bins")]) for x in "ab"
+    )
+    # shingles of one set only are at least as many as the counts of the bins differ by
+    apart = F.expr("aggregate(zip_with(ba, bb, (x, y) -> abs(x - y)), 0, (s, x) -> s + x)")
     near = (
-        met.join(told.select(F.col("cls").alias("a"), F.col("key").alias("ka"), F.col("low").alias("la")), "a")
-        .join(told.select(F.col("cls").alias("b"), F.col("key").alias("kb"), F.col("low").alias("lb")), "b")
+        met.join(ours, "a")
+        .join(theirs, "b")
         .where("ka <> kb and arrays_overlap(la, lb)")
+        .where(apart <= F.lit((1 - threshold) / (1 + threshold)) * F.expr("na + nb") + 1e-9)
     )
     ends = [F.struct(F.col("ka").alias("key"), F.col("a").alias("cls")), F.struct(F.col("kb").alias("key"), F.col("b").alias("cls"))]
     pairs = staged(near.select(F.least(*ends).alias("l"), F.greatest(*ends).alias("r")), "class-pairs")
@@ -282,7 +292,8 @@ def _hashed(words: DataFrame, kind: str, make: Callable[[np.ndarray], tuple], co
                     out.append(pa.array(values, pa.int32()))
                 else:
                     offsets = np.cumsum([0, *map(len, values)]).astype(np.int32)
-                    out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values), pa.int64())))
+                    item = pa.int32() if kind == "array<int>" else pa.int64()
+                    out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values), item)))
             return pa.RecordBatch.from_arrays(out, names=["key", "cls", *columns])
 
         for batch in batches:
